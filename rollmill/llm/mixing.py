@@ -51,6 +51,11 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOC
     return per.select("source", "docs", "source_size", "weight", target.alias("target"))
 
 
+def ticket(doc_id: Column, epoch: Column) -> Column:
+    """A document's place in the shuffled order of an epoch: equal in every run."""
+    return F.md5(F.concat_ws(":", F.coalesce(doc_id.cast("string"), F.lit("")), epoch.cast("string")).cast("binary"))
+
+
 def _share(h: Column, groups: Column) -> Column:
     """Group number 0 .. groups-1 from the first six digits of a hexadecimal hash, in hash order."""
     return F.floor(F.conv(F.substring(h, 1, 6), 16, 10).cast("long") * groups / F.lit(1 << 24)).cast("long")
@@ -60,27 +65,27 @@ def virtual_times(sized: DataFrame, targets: DataFrame, max_epochs: int = MAX_EP
     """One row per document and epoch in which it may be served.
 
     ``sized`` holds ``(row, doc_id, source, size)`` and any further columns. Adds
-    ``source_size, target, epoch, start, finish, taken``; start and finish are virtual
+    ``source_size, target, epoch, ticket, start, finish, taken``; documents of a source are served in order of their tickets, start and finish are virtual
     times, taken counts the words served before the budget is spent.
     """
     joined = sized.join(targets.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")), "left")
     epochs = F.greatest(F.lit(1), F.least(F.lit(max_epochs), F.ceil(F.col("target") / F.col("source_size")))).cast("int")
     rows = joined.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.coalesce(epochs, F.lit(1)) - 1)))
-    rows = rows.withColumn("__h", F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("epoch").cast("string"))))
-    rows = rows.withColumn("__g", _share(F.col("__h"), F.ceil(F.col("docs") / GROUP_ROWS)))
+    rows = rows.withColumn("ticket", ticket(F.col("doc_id"), F.col("epoch")))
+    rows = rows.withColumn("__g", _share(F.col("ticket"), F.ceil(F.col("docs") / GROUP_ROWS)))
     rows = rows.withColumn("__source", F.coalesce(F.col("source"), F.lit(""))).withColumn("__null", F.col("source").isNull())
     keys = ["__source", "__null", "epoch", "__g"]
     sums = rows.groupBy(*keys).agg(F.sum("size").alias("__sum"))
     ahead = Window.partitionBy("__source", "__null", "epoch").orderBy("__g").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("__before", F.coalesce(F.sum("__sum").over(ahead), F.lit(0))).drop("__sum")
-    within = Window.partitionBy(*keys).orderBy("__h", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = Window.partitionBy(*keys).orderBy("ticket", "size", "row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.join(sums, keys)
     end = F.col("__before") + F.sum("size").over(within) + F.col("epoch") * F.col("source_size")
     rows = rows.withColumn("__end", end)
     begin = F.col("__end") - F.col("size")
     taken = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target").cast("long") - begin))
     rows = rows.withColumn("start", F.coalesce(begin / F.col("target"), F.lit(0.0))).withColumn("finish", F.coalesce(F.col("__end") / F.col("target"), F.lit(0.0)))
-    return rows.withColumn("taken", taken.cast("long")).drop("__h", "__g", "__before", "__end", "__source", "__null", "docs", "weight")
+    return rows.withColumn("taken", taken.cast("long")).drop("__g", "__before", "__end", "__source", "__null", "docs", "weight")
 
 
 def mix_order(times: DataFrame) -> DataFrame:
@@ -114,3 +119,20 @@ def mix_times(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -
     sized = materialize(sized.withColumn("row", F.monotonically_increasing_id()), "sizes")
     targets = materialize(source_targets(sized, weights, max_epochs), "targets")
     return virtual_times(sized, targets, max_epochs)
+
+
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """The mixed rows of ``docs``: as often as the mix takes them, whole; the one at each source's cut stays if it is taken by half.
+
+    In each epoch a source's documents are taken up to some ticket, so a small table of these
+    decides where the texts lie, without a shuffle of texts.
+    """
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    times = mix_times(sized, weights, max_epochs).where((F.col("taken") > 0) & (2 * F.col("taken") >= F.col("size")))
+    cuts = times.groupBy("source", "epoch").agg(F.max("ticket").alias("last"))
+    cuts = cuts.groupBy(F.col("source").alias("__source")).agg(F.collect_list(F.struct("epoch", "last")).alias("__cuts"))
+    cuts = materialize(cuts, "cuts")
+    rows = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__id"), F.col(source_col).alias("__own"), n_words(F.col(text_col)).alias("__size"))
+    rows = rows.where("__size > 0").join(cuts, F.col("__own").eqNullSafe(F.col("__source")))
+    taken = F.filter("__cuts", lambda c: ticket(F.col("__id"), c["epoch"]) <= c["last"])
+    return rows.select("__row", F.explode(taken)).select("__row.*")

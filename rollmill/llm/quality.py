@@ -99,34 +99,39 @@ def certified_cutoffs(labelled: DataFrame, stratum: str = "stratum", good: str =
     ).select(stratum, "rule", "b.*")
 
 
-def quality_verdicts(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = RISK, delta: float = DELTA, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept`` (and ``carry``).
+def quality_verdicts(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """Per document: ``doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept``.
 
     ``labels`` holds ``(doc_id, quality)``; quality 1 is good. Strata without enough labelled
     documents certify nothing, so only the base rule rejects there. A null stratum is one of
     its own, null texts count as empty (and fail the base rule), repeated rows are judged each. Without labels only the base rule acts.
     """
-    stats = measured(docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("text"), *carry))
+    stats = measured(docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("text")))
     stats = materialize(stats.drop("text"), "stats")
-    return verdicts(stats, labels, id_col, risk, delta)
+    return verdicts(stats, None if labels is None else cutoff_table(stats, labels, id_col, risk, delta))
 
 
-def verdicts(stats: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """``kept`` for rows with the columns of ``text_stats``, ``doc_id`` and ``stratum``."""
-    rules = stats.withColumns({k: F.expr(v) for k, v in RULES.items()})
+def cutoff_table(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", risk: float = RISK, delta: float = DELTA) -> DataFrame:
+    """``(__stratum, __<rule> ...)``: one row per stratum with the certified cutoffs; a rule without one is null."""
+    good = labels.where(F.col("quality") == 1).select(F.col(id_col).alias("doc_id")).distinct().withColumn("good", F.lit(True))
+    labelled = with_rules(stats).select("doc_id", "stratum", *RULES).join(good, "doc_id")
+    chosen = certified_cutoffs(labelled, risk=risk, delta=delta)
+    wide = chosen.groupBy(F.col("stratum").alias("__stratum")).agg(*[F.max(F.when(F.col("rule") == k, F.col("cutoff"))).alias(f"__{k}") for k in RULES])
+    return materialize(wide, "cutoffs")
+
+
+def with_rules(stats: DataFrame) -> DataFrame:
+    return stats.withColumns({k: F.expr(v) for k, v in RULES.items()})
+
+
+def verdicts(stats: DataFrame, cutoffs: DataFrame | None) -> DataFrame:
+    """Adds ``base_failed`` and ``kept`` to rows with the columns of ``measured`` and ``stratum``; drops the stratum."""
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    rules = rules.withColumn("base_failed", failed)
+    out = with_rules(stats).withColumn("base_failed", failed)
     bad = F.lit(False)
-    if labels is not None:
-        good = labels.select(F.col(id_col).alias("doc_id"), (F.col("quality") == 1).alias("good")).where("good").groupBy("doc_id").agg(F.first("good").alias("good"))
-        labelled = rules.select("doc_id", "stratum", *RULES).join(good, "doc_id")
-        chosen = certified_cutoffs(labelled, risk=risk, delta=delta)
-        wide = chosen.groupBy(F.col("stratum").alias("__stratum")).agg(*[F.max(F.when(F.col("rule") == k, F.col("cutoff"))).alias(f"__{k}") for k in RULES])
-        wide = materialize(wide, "cutoffs")
-        rules = rules.join(wide, F.col("stratum").eqNullSafe(F.col("__stratum")), "left")
+    if cutoffs is not None:
+        out = out.join(cutoffs, F.col("stratum").eqNullSafe(F.col("__stratum")), "left")
         for k in RULES:
             bad = bad | F.coalesce(F.col(k) > F.col(f"__{k}"), F.lit(False))
-        rules = rules.withColumn("kept", ~F.col("base_failed") & ~bad).drop("__stratum", *[f"__{k}" for k in RULES])
-    else:
-        rules = rules.withColumn("kept", ~F.col("base_failed"))
-    return rules.drop(*RULES, "stratum", "n_lines")
+    out = out.withColumn("kept", ~failed & ~bad)
+    return out.drop(*RULES, "stratum", "n_lines", "__stratum", *[f"__{k}" for k in RULES])

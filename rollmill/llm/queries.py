@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality, simhash
+from . import linededup, mixing, packing, quality, simhash, tokencount
 from .common import documents
 
 
@@ -19,6 +20,23 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(documents(spark, sf_dir))
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of 1024 tokens."""
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without repeated three-line windows: what went and a digest of what is left."""
+    out = linededup.dedup_lines(documents(spark, sf_dir))
+    kept = F.coalesce("kept_text", F.lit(""))
+    return out.select("__row.doc_id", "n_lines", "n_removed", F.length(kept).cast("long").alias("kept_chars"), F.md5(kept.cast("binary")).alias("kept_md5"))
+
+
+def op5_tokencount(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts of all documents and whether they exceed 2048."""
+    return tokencount.token_counts(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base and risk-controlled quality verdicts of all documents, by language."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -28,6 +46,9 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
+    "op3_packing": op3_packing,
+    "op4_linededup": op4_linededup,
+    "op5_tokencount": op5_tokencount,
     "op6_quality": op6_quality,
 }
 

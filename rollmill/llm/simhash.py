@@ -261,6 +261,13 @@ def near_groups(fps: DataFrame, k: int = 3, max_key: int = MAX_KEY) -> DataFrame
     return connected_components(edges).select(F.col("node").alias("fp"), F.col("component").alias("root"))
 
 
+def classes(rows: DataFrame, k: int = 3, max_key: int = MAX_KEY) -> DataFrame:
+    """``(fp, root)`` for every fingerprint among ``rows``: equal root, same group."""
+    fps = materialize(rows.select("fp").distinct(), "fps")
+    linked = near_groups(fps, k, max_key)
+    return materialize(fps.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "classes")
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 3, max_key: int = MAX_KEY) -> DataFrame:
     """Per document ``doc_id, fingerprint (16 hex digits), component_id``.
 
@@ -269,10 +276,6 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     linked like any other. A null doc_id takes part, counting as greater than any id (null where alone). Repeated rows stay repeated.
     """
     rows = materialize(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))), "fingerprints")
-    groups = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    groups = materialize(groups, "groups")
-    linked = materialize(near_groups(groups.select("fp"), k, max_key), "linked")
-    classes = groups.join(linked, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.where(F.col("root").isNotNull()).select("fp", "root").join(least, "root").select("fp", "component_id")
+    groups = classes(rows, k, max_key)
+    named = groups.join(rows.join(groups, "fp").groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

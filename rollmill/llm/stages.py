@@ -5,9 +5,49 @@ The columns of the input pass through whatever their names: a row travels as one
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality
+from . import linededup, mixing, packing, quality, simhash
+from .common import materialize
 
-STAGES: list = []
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go. Cutoffs come from the labelled ones among those that are left."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id"), F.col("lang").alias("stratum"), F.col("text"))
+    stats = quality.measured(rows)
+    cutoffs = quality.cutoff_table(stats.drop("__row", "text"), labels)
+    return quality.verdicts(stats, cutoffs).where("kept").select("__row.*")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Later occurrences of three-line windows go; n_chars follows the text that is left."""
+    out = linededup.dedup_lines(docs)
+    changed = {"text": F.col("kept_text"), "n_chars": F.when(F.col("n_removed") > 0, F.length("kept_text").cast("long")).otherwise(F.col("__row.n_chars"))}
+    return out.select(*[changed.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near copies the document with the smallest id stays."""
+    keyed = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__th"))
+    own = docs.select(F.col("doc_id"), F.xxhash64("text").alias("th"), F.col("text"))
+    fps = materialize(simhash.fingerprints(own, ("doc_id", "th")), "fingerprints")
+    classes = simhash.classes(fps)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th"))
+    stay = fps.join(classes, "fp").groupBy("root").agg(first.alias("first")).select(F.col("first.doc_id").alias("__kid"), F.col("first.th").alias("__kth"))
+    kept = keyed.join(stay, F.col("__id").eqNullSafe(F.col("__kid")) & (F.col("__th") == F.col("__kth")))
+    return kept.dropDuplicates(["__id", "__th"]).select("__row.*")
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources by weight 5, 2, 1; a source that is short of its target is repeated, up to three times in all."""
+    return mixing.mix_documents(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_dedup), ("mixing", mix), ("packing", pack)]
