@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, packing, quality, simhash, tokencount
+from . import linededup, mixing, packing, pii, quality, simhash, tokencount, toxicity
 from .common import documents
 
 
@@ -43,6 +43,18 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(documents(spark, sf_dir), labels)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of all documents, by a model fitted on labelled ones that are not held out."""
+    docs = documents(spark, sf_dir)
+    return toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for personal data."""
+    out = pii.replace_pii(documents(spark, sf_dir))
+    return out.select("__row.doc_id", F.col("safe_text").alias("text"), "n_entities")
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
@@ -50,6 +62,8 @@ QUERIES = {
     "op4_linededup": op4_linededup,
     "op5_tokencount": op5_tokencount,
     "op6_quality": op6_quality,
+    "op9_toxicity": op9_toxicity,
+    "op10_pii": op10_pii,
 }
 
 ORACLES: dict[str, str] = {}
