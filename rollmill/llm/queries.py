@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, linededup, mixing, packing, pii, quality, simhash, tokencount, toxicity
+from . import embeddings, linededup, mixing, packing, pii, quality, simhash, substring, tokencount, toxicity
 from .common import documents
 
 
@@ -43,6 +43,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(documents(spark, sf_dir), labels)
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 400-byte strings that occur twice: what went and a digest of what is left."""
+    return substring.remove_repeats(documents(spark, sf_dir))
+
+
 def op8_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of all embeddings with a cosine of 0.93 or more, within labels."""
     return embeddings.embedding_groups(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
@@ -67,6 +72,7 @@ QUERIES = {
     "op4_linededup": op4_linededup,
     "op5_tokencount": op5_tokencount,
     "op6_quality": op6_quality,
+    "op7_substring": op7_substring,
     "op8_embeddings": op8_embeddings,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
