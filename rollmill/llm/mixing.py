@@ -69,7 +69,7 @@ def virtual_times(sized: DataFrame, targets: DataFrame, max_epochs: int = MAX_EP
     times, taken counts the words served before the budget is spent.
     """
     joined = sized.join(targets.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")), "left")
-    epochs = F.greatest(F.lit(1), F.least(F.lit(max_epochs), F.ceil(F.col("target") / F.col("source_size")))).cast("int")
+    epochs = F.greatest(F.lit(1), F.least(F.lit(max_epochs), F.ceil(F.try_divide(F.col("target"), F.col("source_size"))))).cast("int")
     rows = joined.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.coalesce(epochs, F.lit(1)) - 1)))
     rows = rows.withColumn("ticket", ticket(F.col("doc_id"), F.col("epoch")))
     rows = rows.withColumn("__g", _share(F.col("ticket"), F.ceil(F.col("docs") / GROUP_ROWS)))
@@ -84,7 +84,7 @@ def virtual_times(sized: DataFrame, targets: DataFrame, max_epochs: int = MAX_EP
     rows = rows.withColumn("__end", end)
     begin = F.col("__end") - F.col("size")
     taken = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target").cast("long") - begin))
-    rows = rows.withColumn("start", F.coalesce(begin / F.col("target"), F.lit(0.0))).withColumn("finish", F.coalesce(F.col("__end") / F.col("target"), F.lit(0.0)))
+    rows = rows.withColumn("start", F.coalesce(F.try_divide(begin, F.col("target")), F.lit(0.0))).withColumn("finish", F.coalesce(F.try_divide(F.col("__end"), F.col("target")), F.lit(0.0)))
     return rows.withColumn("taken", taken.cast("long")).drop("__g", "__before", "__end", "__source", "__null", "docs", "weight")
 
 
