@@ -34,6 +34,7 @@ RANGE, SPLITS = 48, 2
 MAX_CORE = 4096
 #: Symbols of one suffix array, about.
 SYMBOLS = 60_000
+MAX_TASKS = 50_000
 #: Bytes hashed at a time; a longer text is worked through in overlapping parts.
 PART = 1 << 22
 #: Bits of the filter that keeps untouched texts out of the shuffle: at most 2 MB, whatever the data.
@@ -243,7 +244,10 @@ def _ranged_repeats(ranges: DataFrame) -> DataFrame:
     rows = functools.reduce(DataFrame.unionByName, groups) if groups else None
     out = functools.reduce(DataFrame.unionByName, covers)
     if rows is not None:
-        rows = rows.withColumn("size", F.length("lt") + F.length("rt") + 2).repartition("k1", "k2").sortWithinPartitions("k1", "k2")
+        rows = rows.withColumn("size", F.length("lt") + F.length("rt") + 2)
+        # few bytes but much work: a number of tasks by symbols, which adaptive execution does not merge
+        tasks = -(-(rows.agg(F.sum("size")).first()[0] or 0) // (2 * SYMBOLS))
+        rows = rows.repartition(max(1, min(MAX_TASKS, tasks)), "k1", "k2").sortWithinPartitions("k1", "k2")
         out = out.unionByName(rows.select("k1", "k2", "windows", "size", "row", "start", "lt", "rt").mapInArrow(_sorted_suffixes, "row long, a int, b int"))
     return out
 
