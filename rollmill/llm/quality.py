@@ -50,29 +50,35 @@ def text_stats(docs: DataFrame, text_col: str = "text") -> DataFrame:
     out = out.withColumn("__lines", F.filter(F.split("__text", "\n"), lambda x: F.length(_without(x, ASCII_SPACE)) > 0))
     out = out.withColumn("n_lines", F.size("__lines").cast("long"))
     out = out.withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
-    # hashes of the windows by doubling: of 2, 4, then 8 words; only a text with an equal pair
-    # goes on to sort them and to measure the union of the repeated windows
-    out = out.withColumn("__h", F.expr("transform(__words, w -> xxhash64(w))"))
-    for step in (1, 2, 4):
-        out = out.withColumn("__h", F.expr(f"zip_with(slice(__h, 1, greatest(size(__h) - {step}, 0)), slice(__h, {step + 1}, greatest(size(__h) - {step}, 0)), (a, b) -> xxhash64(a, b))"))
-    out = out.withColumn("__twice", F.size("__h") > F.size(F.array_distinct("__h")))
-    return out
-
-
-def _covered(h: str) -> str:
-    """SQL for the words that repeated windows cover, ``h`` being the array of window hashes."""
-    ordered = f"array_sort(zip_with({h}, sequence(1, size({h})), (a, i) -> struct(a, i)))"
+    return out.withColumn("n_repeat_words", F.expr(_repeats("__words")))
+
+
+def _let(name: str, value: str, body: str) -> str:
+    """SQL that evaluates ``value`` once, whatever the optimizer inlines."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _repeats(words: str) -> str:
+    """SQL for the words that repeated windows cover.
+
+    Hashes of the windows by doubling, of 2, 4, then 8 words; only a text with an equal pair goes on to sort them and to
+    measure the union of the repeated windows.
+    """
+    double = lambda h, step: f"zip_with(slice({h}, 1, greatest(size({h}) - {step}, 0)), slice({h}, {step + 1}, greatest(size({h}) - {step}, 0)), (a, b) -> xxhash64(a, b))"
+    ordered = "array_sort(zip_with(h, sequence(1, size(h)), (a, i) -> struct(a, i)))"
     flagged = "array_sort(transform(filter(sequence(1, size(s)), k -> (k > 1 and element_at(s, k - 1).a = element_at(s, k).a) or (k < size(s) and element_at(s, k + 1).a = element_at(s, k).a)), k -> element_at(s, k).i))"
     union = f"aggregate(p, struct(0L as n, -{WINDOW} as last), (z, i) -> struct(z.n + least({WINDOW}, i - z.last) as n, i as last), z -> z.n)"
-    one = lambda name, value, body: f"element_at(transform(array({value}), {name} -> {body}), 1)"
-    return one("s", ordered, one("p", flagged, union))
+    measured = f"CASE WHEN size(h) > size(array_distinct(h)) THEN {_let('s', ordered, _let('p', flagged, union))} ELSE 0L END"
+    return _let("one", f"transform({words}, w -> xxhash64(w))", _let("two", double("one", 1), _let("four", double("two", 2), _let("h", double("four", 4), measured))))
 
 
 def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``text_stats`` with all helper columns dropped."""
-    out = text_stats(docs, text_col)
-    out = out.withColumn("n_repeat_words", F.expr(f"CASE WHEN __twice THEN {_covered('__h')} ELSE 0L END"))
-    return out.drop("__text", "__words", "__lines", "__h", "__twice")
+    """``text_stats`` with all helper columns dropped.
+
+    Computed behind a column that depends on the task, ``__task``: filters on the results stay above it and do not
+    compute them again.
+    """
+    return text_stats(docs, text_col).withColumn("__task", F.spark_partition_id()).drop("__text", "__words", "__lines")
 
 
 def certified_cutoffs(labelled: DataFrame, stratum: str = "stratum", good: str = "good", risk: float = RISK, delta: float = DELTA, cutoffs=CUTOFFS) -> DataFrame:
@@ -107,7 +113,7 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame | None, id_col: str = "d
     its own, null texts count as empty (and fail the base rule), repeated rows are judged each. Without labels only the base rule acts.
     """
     stats = measured(docs.select(F.col(id_col).alias("doc_id"), F.col(stratum_col).alias("stratum"), F.col(text_col).alias("text")))
-    stats = materialize(stats.drop("text"), "stats")
+    stats = materialize(stats.drop("text", "__task"), "stats")
     return verdicts(stats, None if labels is None else cutoff_table(stats, labels, id_col, risk, delta))
 
 

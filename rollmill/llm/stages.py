@@ -18,8 +18,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     rows = docs.select(F.struct("*").alias("__row"), F.col("doc_id"), F.col("lang").alias("stratum"), F.col("text"))
     stats = quality.measured(rows)
-    cutoffs = quality.cutoff_table(stats.drop("__row", "text"), labels)
-    return quality.verdicts(stats, cutoffs).where("kept").select("__row.*")
+    cutoffs = quality.cutoff_table(stats.drop("__row", "text", "__task"), labels)
+    return quality.verdicts(stats, cutoffs).where("kept AND __task >= 0").select("__row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
