@@ -35,6 +35,8 @@ TABLES, BAND = 20, 12
 SIGMAS = 5.0
 #: Vectors under one key that one task compares; more are cut into blocks.
 BLOCK = 1024
+#: Keys with at most this many vectors are compared together.
+SMALL = 24
 
 
 @functools.lru_cache(maxsize=4)
@@ -83,83 +85,124 @@ def _keys(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(keys), pa.list_(pa.int64()))], names=["v", "keys"])
 
 
-def _compare(left: tuple, right: tuple | None, band: int, limit: float):
-    """Links among ``left``, or between ``left`` and ``right``: counts by vector number, forest edges.
+class _Side:
+    """Vectors with all that comparing them takes: numbers, counts, raw and rotated values, signs, factors, bands' keys."""
 
-    A side: numbers, counts of equal vectors, raw vectors.
-    """
-    sides = (left, right if right is not None else left)
-    unit = [_unit(s[2]) for s in sides]
-    signs = [codes(u)[0] for u in unit]
-    factor = codes(unit[0])[1]
-    turned = unit[1] @ rotation(unit[1].shape[1])
-    keys = [_band_keys(s) for s in signs]
-    n, m = len(unit[0]), len(unit[1])
-    sums = [np.zeros(n, np.int64), np.zeros(m, np.int64)]
-    forest, edges = Forest(n + m if right is not None else n), []
-    shift = n if right is not None else 0
-    step = max(1, (1 << 22) // max(1, m))
-    for at in range(0, n, step):
-        rows = slice(at, min(n, at + step))
-        est, bound = estimates(signs[0][rows], factor[rows], turned)
+    def __init__(self, table: pa.Table | None = None, parts: tuple | None = None):
+        if parts is None:
+            self.x = _matrix(table.column("vec").combine_chunks())
+            unit = _unit(self.x)
+            self.signs, self.factor = codes(unit)
+            self.turned = unit @ rotation(unit.shape[1])
+            self.keys = _band_keys(self.signs)
+            self.v, self.n = table.column("v").to_numpy(), table.column("n").to_numpy()
+        else:
+            self.x, self.signs, self.factor, self.turned, self.keys, self.v, self.n = parts
+
+    def take(self, rows) -> _Side:
+        return _Side(parts=tuple(c[rows] for c in (self.x, self.signs, self.factor, self.turned, self.keys, self.v, self.n)))
+
+    def __len__(self) -> int:
+        return len(self.v)
+
+
+def _decide(left: _Side, right: _Side, i: np.ndarray, j: np.ndarray, band, limit: float) -> np.ndarray:
+    """Which of the pairs are links that no earlier band has met."""
+    earlier = np.arange(TABLES) < np.broadcast_to(np.asarray(band), i.shape)[:, None]
+    keep = np.flatnonzero(~((left.keys[i] == right.keys[j]) & earlier).any(axis=1))
+    x, y = left.x[i[keep]], right.x[j[keep]]
+    exact = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
+    return keep[exact >= limit]
+
+
+class _Found:
+    """Counts and forest edges of rows 0 .. len - 1 of a side, or of two one after the other."""
+
+    def __init__(self, v: np.ndarray, n: np.ndarray):
+        self.v, self.n, self.sums, self.forest, self.edges = v, n, np.zeros(len(v), np.int64), Forest(len(v)), []
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        np.add.at(self.sums, a, self.n[b])
+        np.add.at(self.sums, b, self.n[a])
+        used = self.forest.join(a, b)
+        self.edges.append((self.v[a[used]], self.v[b[used]]))
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        has = self.sums > 0
+        a = np.concatenate([e[0] for e in self.edges]) if self.edges else np.zeros(0, np.int64)
+        b = np.concatenate([e[1] for e in self.edges]) if self.edges else np.zeros(0, np.int64)
+        return np.concatenate((self.v[has], a)), np.concatenate((self.sums[has], np.zeros(len(a), np.int64))), np.concatenate((np.full(has.sum(), -1), b))
+
+
+def _compare(left: _Side, right: _Side | None, band: int, limit: float):
+    """All pairs within ``left``, or between ``left`` and ``right``, by blocks of estimates."""
+    other = left if right is None else right
+    shift = 0 if right is None else len(left)
+    found = _Found(left.v, left.n) if right is None else _Found(np.concatenate((left.v, right.v)), np.concatenate((left.n, right.n)))
+    step = max(1, (1 << 21) // max(1, len(other)))
+    for at in range(0, len(left), step):
+        est, bound = estimates(left.signs[at : at + step], left.factor[at : at + step], other.turned)
         i, j = np.nonzero(est + bound >= limit)
         i += at
         if right is None:
             i, j = i[i < j], j[i < j]
-        # met in an earlier band: counted there
-        fresh = np.ones(len(i), bool)
-        for t in range(band):
-            fresh &= keys[0][i, t] != keys[1][j, t]
-        i, j = i[fresh], j[fresh]
-        for part in range(0, len(i), 1 << 16):
-            a, b = i[part : part + (1 << 16)], j[part : part + (1 << 16)]
-            x, y = sides[0][2][a], sides[1][2][b]
-            exact = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
-            a, b = a[exact >= limit], b[exact >= limit]
-            np.add.at(sums[0], a, sides[1][1][b])
-            np.add.at(sums[1], b, sides[0][1][a])
-            used = forest.join(a, b + shift)
-            edges.append((sides[0][0][a[used]], sides[1][0][b[used]]))
-    a = np.concatenate([e[0] for e in edges]) if edges else np.zeros(0, np.int64)
-    b = np.concatenate([e[1] for e in edges]) if edges else np.zeros(0, np.int64)
-    if right is None:
-        return left[0], sums[0] + sums[1], a, b
-    return np.concatenate((left[0], right[0])), np.concatenate(sums), a, b
+        for part in range(0, len(i), 1 << 15):
+            a, b = i[part : part + (1 << 15)], j[part : part + (1 << 15)]
+            links = _decide(left, other, a, b, band, limit)
+            found.add(a[links], b[links] + shift)
+    return found.rows()
+
+
+def _compare_small(side: _Side, task: np.ndarray, band: np.ndarray, run: np.ndarray, limit: float):
+    """All pairs within runs of few rows, for all such runs at once: rows at distance 1, then 2, and so on."""
+    found, bits = _Found(side.v, side.n), side.signs.shape[1]
+    bound = np.sqrt(np.maximum(0, 1 - side.factor**2)) / side.factor * SIGMAS / math.sqrt(bits - 1)
+    for d in range(1, SMALL):
+        a = np.flatnonzero((task[:-d] == task[d:]) & (run[:-d] <= SMALL)) if d < len(task) else np.zeros(0, np.int64)
+        if not len(a):
+            break
+        est = np.einsum("ij,ij->i", side.signs[a], side.turned[a + d]) / math.sqrt(bits) / side.factor[a]
+        a = a[est + bound[a] >= limit]
+        links = _decide(side, side, a, a + d, band[a], limit)
+        found.add(a[links], a[links] + d)
+    return found.rows()
 
 
 def _tasks(batches, limit: float):
-    """Rows arrive in runs of a task; a row: task key (label, dim, band, key, i, j), side, number, count, vector."""
+    """Rows arrive in runs of a task, which is a key or a pair of blocks of one; yields counts (w = -1) and edges."""
     held: list[pa.RecordBatch] = []
 
     def solve(table: pa.Table):
-        vs, cs, side, band = (table.column(c).to_numpy() for c in ("v", "n", "side", "band"))
-        x = _matrix(table.column("vec").combine_chunks())
-        pick = lambda where: (vs[where], cs[where], x[where])
-        one, two = side == 0, side == 1
-        return _compare(pick(one), pick(two) if two.any() else None, int(band[0]), limit) if len(vs) > 1 else None
-
-    def flush(table: pa.Table, last: bool):
-        task = table.column("task").to_numpy()
-        starts = np.concatenate(([0], np.flatnonzero(task[1:] != task[:-1]) + 1, [len(task)]))
-        out, rest = [], table.slice(0, 0)
-        for k in range(len(starts) - 1):
-            if k == len(starts) - 2 and not last:
-                rest = table.slice(starts[k])
-                break
-            if starts[k + 1] - starts[k] > 1 and (got := solve(table.slice(starts[k], starts[k + 1] - starts[k]))):
-                v, n, a, b = got
-                out.append((np.concatenate((v[n > 0], a)), np.concatenate((n[n > 0], np.zeros(len(a), np.int64))), np.concatenate((np.full((n > 0).sum(), -1), b))))
+        task, side, band = (table.column(c).to_numpy() for c in ("task", "side", "band"))
+        starts = np.concatenate(([0], np.flatnonzero(task[1:] != task[:-1]) + 1))
+        size = np.diff(np.append(starts, len(task)))
+        dims = np.diff(table.column("vec").combine_chunks().offsets.to_numpy())
+        # runs of one row, and those whose both sides are large, aside
+        small = np.repeat((size > 1) & (size <= SMALL) & (np.maximum.reduceat(side, starts) == 0), size)
+        run = np.repeat(size, size)
+        out = []
+        for d in np.unique(dims[small]):
+            rows = np.flatnonzero(small & (dims == d))
+            out.append(_compare_small(_Side(table.take(pa.array(rows))), task[rows], band[rows], run[rows], limit))
+        for k in np.flatnonzero((size > 1) & ~small[starts]):
+            part = slice(starts[k], starts[k] + size[k])
+            own = _Side(table.slice(starts[k], size[k]))
+            two = side[part] == 1
+            out.append(_compare(own.take(~two), own.take(two) if two.any() else None, int(band[starts[k]]), limit))
         made = [np.concatenate([o[c] for o in out]) if out else np.zeros(0, np.int64) for c in range(3)]
-        return pa.RecordBatch.from_arrays([pa.array(m, pa.int64()) for m in made], names=["v", "links", "w"]), rest
+        return pa.RecordBatch.from_arrays([pa.array(m, pa.int64()) for m in made], names=["v", "links", "w"])
 
     for batch in batches:
         held.append(batch)
         if sum(b.num_rows for b in held) >= 4 * BLOCK:
-            out, rest = flush(pa.Table.from_batches(held), False)
-            held = rest.to_batches()
-            yield out
+            table = pa.Table.from_batches(held).combine_chunks()
+            task = table.column("task").to_numpy()
+            cut = int(np.flatnonzero(task != task[-1])[-1]) + 1 if (task != task[-1]).any() else 0
+            if cut:
+                yield solve(table.slice(0, cut))
+                held = table.slice(cut).combine_chunks().to_batches()
     if held:
-        yield flush(pa.Table.from_batches(held), True)[0]
+        yield solve(pa.Table.from_batches(held).combine_chunks())
 
 
 def embedding_groups(vectors: DataFrame, limit: float = LIMIT, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", block: int = BLOCK) -> DataFrame:
