@@ -24,7 +24,7 @@ from .packing import byte_symbols
 
 LIMIT = 2048
 #: Words and chunks whose counts a worker remembers.
-REMEMBERED = 600_000
+REMEMBERED = 1_500_000
 #: Stands for the end of a word inside the matcher; no byte maps to it.
 END = "\n"
 NEVER = 1 << 60
