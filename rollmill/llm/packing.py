@@ -26,7 +26,7 @@ LENGTH = 1024
 #: Rests that one task packs at a time; more leave less padding.
 GROUP = 4096
 #: Segments of text whose ids a worker remembers.
-REMEMBERED = 300_000
+REMEMBERED = 800_000
 
 
 def byte_symbols() -> dict[int, str]:
