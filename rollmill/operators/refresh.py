@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.columns import in_range
 from ..spec import Rollup
@@ -52,7 +51,3 @@ def raw_delta(rollup: Rollup, raw: DataFrame, start: int | None, end: int | None
     """The raw points that a delta reads: filters and range reach the scan."""
     return in_time(apply_filters(raw, rollup.filters), rollup.mt, start, end)
 
-
-def touched_dates(delta: DataFrame) -> DataFrame:
-    """Dates whose partitions a delta rewrites."""
-    return delta.select(F.to_date("bucket").alias("date")).distinct()

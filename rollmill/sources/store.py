@@ -1,4 +1,4 @@
-"""Rollups on disk: partitioned by the buckets' date, with a catalog of what they hold."""
+"""Rollups on disk: partitioned by the day or year of their buckets, with a catalog of what they hold."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..spec import MetricTable, Rollup, RollupMeta
 
@@ -33,19 +34,26 @@ def catalog_row(spark: SparkSession, meta: RollupMeta) -> DataFrame:
     return spark.createDataFrame([row], CATALOG)
 
 
+def period(window: int):
+    """The partition of a bucket: its day, or its year where windows are of a day or more (a few files each, not one per bucket)."""
+    return F.date_format("bucket", "yyyy-MM-dd" if window < 86400 else "yyyy")
+
+
 def save_rollup(rollup: Rollup, path: str) -> None:
-    """Writes the dates that the rollup holds and replaces just these; its catalog row replaces the old one.
+    """Writes the periods (days or years, see ``period``) that the rollup touches and replaces just these, as a whole; its catalog row replaces the old one.
 
     ``rollup`` may not be read lazily from ``path`` itself: materialise it first.
     """
     spark = rollup.df.sparkSession
-    dated = rollup.df.withColumn("date", F.to_date("bucket"))
+    dated = rollup.df.withColumn("date", period(rollup.meta.window))
     dated.repartition("date").sortWithinPartitions("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(f"{path}/data")
-    catalog_row(spark, rollup.meta).withColumn("meta", F.lit(json.dumps(asdict(rollup.meta)))).coalesce(1).write.mode("overwrite").parquet(f"{path}/catalog")
+    stored = [F.lit(json.dumps(asdict(rollup.meta))).alias("meta"), F.lit(dated.schema.json()).alias("schema")]
+    catalog_row(spark, rollup.meta).select("*", *stored).coalesce(1).write.mode("overwrite").parquet(f"{path}/catalog")
 
 
 def load_rollup(spark: SparkSession, path: str, mt: MetricTable, filters=()) -> Rollup:
-    """A stored rollup; filters on ``bucket`` prune row groups, ``date`` prunes partitions."""
-    meta = json.loads(spark.read.parquet(f"{path}/catalog").first()["meta"])
-    meta = RollupMeta(**{k: tuple(v) if isinstance(v, list) else v for k, v in meta.items()})
-    return Rollup(spark.read.parquet(f"{path}/data").drop("date"), mt, meta, tuple(filters))
+    """A stored rollup, with the schema its catalog names; filters on ``bucket`` prune row groups, on ``date`` partitions."""
+    row = spark.read.schema("meta string, schema string").parquet(f"{path}/catalog").first()
+    meta = RollupMeta(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(row["meta"]).items()})
+    schema = T.StructType.fromJson(json.loads(row["schema"]))
+    return Rollup(spark.read.schema(schema).parquet(f"{path}/data").drop("date"), mt, meta, tuple(filters))
