@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -34,8 +35,9 @@ def stream_upsert(stream: DataFrame, mt: MetricTable, window: int | str, tags, p
 
     def write(batch: DataFrame, n: int) -> None:
         if horizon is not None:
-            latest = batch.agg(F.max(mt.time).alias("latest"))
-            batch = batch.join(F.broadcast(latest), F.col(mt.time) >= F.col("latest") - F.make_dt_interval(secs=F.lit(horizon))).drop("latest")
+            latest = batch.agg(F.max(mt.time)).first()[0]  # one value
+            if latest is not None:
+                batch = batch.where(F.col(mt.time) >= F.lit(latest - timedelta(seconds=horizon)))
         build_rollup(batch, mt, window, tags, (), fns).df.write.mode("overwrite").parquet(f"{path}/batch_id={n}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -40,3 +40,10 @@ def test_points_behind_the_watermark_are_dropped(spark, tmp_path):
         q = live.writeStream.outputMode("update").foreachBatch(lambda b, n: found.extend(b.collect())).option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
         q.awaitTermination()
     assert sum(r["v__n"] for r in found if r.bucket.hour == 0) == 1
+
+
+def test_points_beyond_the_horizon_are_left_out(spark, tmp_path):
+    src, out, check = (str(tmp_path / x) for x in ("src", "out", "check"))
+    spark.sql("SELECT id, timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, id, 0, 0) AS time, 'h' AS host, 1.0D AS v FROM range(5)").coalesce(1).write.parquet(src)
+    S.stream_upsert(spark.readStream.schema(SCHEMA).parquet(src), MT, 600, ("host",), out, check, horizon=7200).awaitTermination()
+    assert sorted(r.bucket.hour for r in S.read_upserted(spark, out, MT, 600, ("host",)).df.collect()) == [2, 3, 4]
