@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linededup, mixing, packing, quality, simhash
+from . import linededup, mixing, neardup, packing, quality, simhash
 from .common import materialize
 
 
@@ -29,18 +29,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.select(*[changed.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
 
 
-def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near copies the document with the smallest id stays."""
+def _first_of_groups(docs: DataFrame, grouped: DataFrame) -> DataFrame:
+    """The row with the smallest id of every ``root`` of ``grouped (doc_id, th, root)``."""
     keyed = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__th"))
-    own = docs.select(F.col("doc_id"), F.xxhash64("text").alias("th"), F.col("text"))
-    fps = materialize(simhash.fingerprints(own, ("doc_id", "th")), "fingerprints")
-    classes = simhash.classes(fps)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th"))
-    stay = fps.join(classes, "fp").groupBy("root").agg(first.alias("first")).select(F.col("first.doc_id").alias("__kid"), F.col("first.th").alias("__kth"))
+    stay = grouped.groupBy("root").agg(first.alias("first")).select(F.col("first.doc_id").alias("__kid"), F.col("first.th").alias("__kth"))
     kept = keyed.join(stay, F.col("__id").eqNullSafe(F.col("__kid")) & (F.col("__th") == F.col("__kth")))
     return kept.dropDuplicates(["__id", "__th"]).select("__row.*")
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of op2 (fingerprints of three-word shingles within 3 bits) the document with the smallest id stays."""
+    own = docs.select(F.col("doc_id"), F.xxhash64("text").alias("th"), F.col("text"))
+    fps = materialize(simhash.fingerprints(own, ("doc_id", "th")), "fingerprints")
+    return _first_of_groups(docs, fps.join(simhash.classes(fps), "fp"))
+
+
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near copies (five-word shingles, similarity 0.8 or more) the document with the smallest id stays."""
+    return _first_of_groups(docs, neardup.near_copies(docs))
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources by weight 5, 2, 1; a source that is short of its target is repeated, up to three times in all."""
     return mixing.mix_documents(docs)
@@ -50,4 +59,4 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
-STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_dedup), ("mixing", mix), ("packing", pack)]
+STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("near dedup", near_copies), ("mixing", mix), ("packing", pack)]
