@@ -5,7 +5,8 @@ served one after the other; a document's virtual start and finish times are the
 its source has served before and after it, over the source's target. Served in the
 order of their finish times, all sources reach their targets at virtual time 1, which is
 where the total budget is spent: the mix is the global order by finish time, cut
-there. A document that the cut crosses is taken up to the cut.
+there. A document that is being served at virtual time 1 counts as two pieces, before and after; pieces are
+range-sorted by finish time and running sums over the range partitions, then inside them, cut them at the budget.
 
 A source whose target exceeds its size is served again (a new epoch with a new shuffle).
 """
@@ -65,8 +66,8 @@ def virtual_times(sized: DataFrame, targets: DataFrame, max_epochs: int = MAX_EP
     """One row per document and epoch in which it may be served.
 
     ``sized`` holds ``(row, doc_id, source, size)`` and any further columns. Adds
-    ``source_size, target, epoch, ticket, start, finish, taken``; documents of a source are served in order of their tickets, start and finish are virtual
-    times, taken counts the words served before the budget is spent.
+    ``source_size, target, epoch, ticket, start, finish, inner``; documents of a source are served in order of their tickets, start and finish are virtual
+    times, inner counts the words served up to virtual time 1.
     """
     joined = sized.join(targets.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")), "left")
     epochs = F.greatest(F.lit(1), F.least(F.lit(max_epochs), F.ceil(F.try_divide(F.col("target"), F.col("source_size"))))).cast("int")
@@ -83,18 +84,35 @@ def virtual_times(sized: DataFrame, targets: DataFrame, max_epochs: int = MAX_EP
     end = F.col("__before") + F.sum("size").over(within) + F.col("epoch") * F.col("source_size")
     rows = rows.withColumn("__end", end)
     begin = F.col("__end") - F.col("size")
-    taken = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target").cast("long") - begin))
+    inner = F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target").cast("long") - begin))
     rows = rows.withColumn("start", F.coalesce(F.try_divide(begin, F.col("target")), F.lit(0.0))).withColumn("finish", F.coalesce(F.try_divide(F.col("__end"), F.col("target")), F.lit(0.0)))
-    return rows.withColumn("taken", taken.cast("long")).drop("__g", "__before", "__end", "__source", "__null", "docs", "weight")
+    return rows.withColumn("inner", inner.cast("long")).drop("__g", "__before", "__end", "__source", "__null", "docs", "weight")
+
+
+def cut_at_budget(times: DataFrame, budget: DataFrame) -> DataFrame:
+    """The pieces of ``virtual_times`` with ``taken``: their words that the total budget (one row) pays for, in global order of finish times."""
+    first = F.struct(F.least("finish", F.lit(1.0)).alias("at"), F.lit(0).alias("late"), F.col("inner").alias("words"))
+    last = F.struct(F.col("finish").alias("at"), F.lit(1).alias("late"), (F.col("size") - F.col("inner")).alias("words"))
+    pieces = F.when(F.col("inner") == F.col("size"), F.array(first)).when(F.col("inner") == 0, F.array(last)).otherwise(F.array(first, last))
+    order = ["at", "late", "doc_id", "epoch", "row"]
+    rows = materialize(times.select("*", F.inline(pieces)).drop("inner"), "pieces")
+    rows = materialize(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "in-ranges")
+    # one row per range partition: small
+    ahead = Window.partitionBy(F.lit(0)).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy("__part").agg(F.sum("words").alias("__sum")).withColumn("__before", F.coalesce(F.sum("__sum").over(ahead), F.lit(0))).drop("__sum")
+    within = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.join(sums, "__part").withColumn("__end", F.col("__before") + F.sum("words").over(within)).crossJoin(F.broadcast(budget))
+    taken = F.greatest(F.lit(0), F.least(F.col("words"), F.col("budget") - (F.col("__end") - F.col("words"))))
+    return rows.withColumn("taken", taken.cast("long")).drop("__part", "__before", "__end", "budget", "words", "at", "late")
 
 
 def mix_order(times: DataFrame) -> DataFrame:
     """The mix itself: what is taken, range-sorted by virtual finish time over the whole cluster."""
-    return times.where(F.col("taken") > 0).repartitionByRange("finish", "doc_id").sortWithinPartitions("finish", "doc_id", "epoch")
+    return times.where(F.col("taken") > 0).repartitionByRange("finish", "doc_id", "epoch", "row").sortWithinPartitions("finish", "doc_id", "epoch", "row")
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """Per document: ``doc_id, size, source_size, target, taken, epochs, first_finish``.
+    """Per document: ``doc_id, size, source_size, target, taken, epochs, first_finish``, in the order of first_finish.
 
     Null texts have size 0 and are never taken; a null source is a source of its own,
     named last. Repeated rows are documents of their own. An empty table gives an empty one. Other
@@ -111,28 +129,28 @@ def mix_sized(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -
         F.first("doc_id").alias("doc_id"), F.first("size").alias("size"), F.first("source_size").alias("source_size"), F.first("target").alias("target"),
         F.sum("taken").alias("taken"), F.count_if(F.col("taken") > 0).alias("epochs"), F.min("finish").alias("first_finish"),
     )
-    return per.drop("row")
+    return per.orderBy("first_finish", "doc_id", "row").drop("row")
 
 
 def mix_times(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """``virtual_times`` of rows ``(doc_id, source, size, ...)``, each with a number ``row`` that tells repeated rows apart."""
-    sized = materialize(sized.withColumn("row", F.monotonically_increasing_id()), "sizes")
+    """``virtual_times`` of rows ``(doc_id, source, size, ...)``, each with a number ``row`` that tells repeated rows apart, cut at the budget."""
+    return numbered_times(materialize(sized.withColumn("row", F.monotonically_increasing_id()), "sizes"), weights, max_epochs)
+
+
+def numbered_times(sized: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
+    """``mix_times`` for rows that have their number already."""
     targets = materialize(source_targets(sized, weights, max_epochs), "targets")
-    return virtual_times(sized, targets, max_epochs)
+    budget = targets.agg(F.coalesce(F.sum(F.floor("target").cast("long")), F.lit(0)).alias("budget"))
+    return cut_at_budget(virtual_times(sized, targets, max_epochs), budget)
 
 
 def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """The mixed rows of ``docs``: as often as the mix takes them, whole; the one at each source's cut stays if it is taken by half.
+    """The mixed rows of ``docs`` in the order of the mix: as often as it takes them, whole; one that the cut crosses stays if it is taken by half.
 
-    In each epoch a source's documents are taken up to some ticket, so a small table of these
-    decides where the texts lie, without a shuffle of texts.
+    Rows come range-sorted by finish time: the partitions, and the files written from them, follow each other.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    times = mix_times(sized, weights, max_epochs).where((F.col("taken") > 0) & (2 * F.col("taken") >= F.col("size")))
-    cuts = times.groupBy("source", "epoch").agg(F.max("ticket").alias("last"))
-    cuts = cuts.groupBy(F.col("source").alias("__source")).agg(F.collect_list(F.struct("epoch", "last")).alias("__cuts"))
-    cuts = materialize(cuts, "cuts")
-    rows = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__id"), F.col(source_col).alias("__own"), n_words(F.col(text_col)).alias("__size"))
-    rows = rows.where("__size > 0").join(cuts, F.col("__own").eqNullSafe(F.col("__source")))
-    taken = F.filter("__cuts", lambda c: ticket(F.col("__id"), c["epoch"]) <= c["last"])
-    return rows.select("__row", F.explode(taken)).select("__row.*")
+    rows = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
+    times = numbered_times(rows.select("doc_id", "source", "size", "row"), weights, max_epochs)
+    taken = materialize(times.where((F.col("taken") > 0) & (2 * F.col("taken") >= F.col("size"))).select("row", "doc_id", "epoch", "finish", "taken"), "taken")
+    return mix_order(taken.join(rows.select("row", "__row"), "row")).select("__row.*")

@@ -93,6 +93,22 @@ def test_mixed_documents_are_whole_rows(spark):
     assert [r.finish for r in order] == sorted(r.finish for r in order)
 
 
+def test_the_mix_comes_in_the_order_of_finish_times_and_is_cut_at_the_budget(spark):
+    rng = random.Random(8)
+    docs = frame(spark, [(i, "w " * rng.randrange(1, 90), "en", rng.choice("aaabbc")) for i in range(900)])
+    times = mixing.mix_times(docs.select("doc_id", "source", F.size(F.split(F.trim("text"), " ")).cast("long").alias("size"))).collect()
+    whole = [r for r in times if 0 < r.taken and 2 * r.taken >= r.size]
+    want = [r.doc_id for r in sorted(whole, key=lambda r: (r.finish, r.doc_id, r.epoch))]
+    assert [r.doc_id for r in mixing.mix_documents(docs).collect()] == want
+    firsts = [(r.first_finish, r.doc_id) for r in mixing.mix_sources(docs).collect()]
+    assert firsts == sorted(firsts)
+    sized = spark.createDataFrame([(1, "a", 6), (2, "b", 6)], "doc_id long, source string, size long")
+    inner = sized.select("*", F.col("doc_id").alias("row"), F.lit(0).alias("epoch"), (F.col("doc_id") / 4).alias("finish"), F.col("size").alias("inner"))
+    for budget, taken in ((0, [0, 0]), (4, [4, 0]), (9, [6, 3]), (20, [6, 6])):  # the total decides, not a source
+        got = mixing.cut_at_budget(inner, spark.createDataFrame([(budget,)], "budget long")).orderBy("doc_id")
+        assert [r.taken for r in got.collect()] == taken
+
+
 # ---- quality
 
 
