@@ -1,7 +1,7 @@
 """Replacing personal data by keyed surrogates, with built-in functions only.
 
 Detected entities (e-mail, phone, card, bank account and social security numbers, IP addresses,
-secrets, titled names) get a surrogate of the same type that a keyed hash of their normal form
+secrets, titled names and later mentions of such names in the same document) get a surrogate of the same type that a keyed hash of their normal form
 picks: same length and format, same script, names of the same gender, cards with the same
 check-sum verdict. Equal entities get equal surrogates everywhere (coreference). All
 surrogates of a type are compared with each other and with all real values; where two meet, all but the first
@@ -13,7 +13,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -23,16 +23,20 @@ TITLES_M = "Mr|Herr|Monsieur|Señor|Sr|Sir|господин"
 TITLES_F = "Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|госпожа"
 
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}-]++\.)+[\p{L}]{2,}"
-SECRET = r"(?<=(?:token|secret|key|password|passwd|pwd)[ ]{0,2}[=:][ ]{0,2}[\x22']?)[A-Za-z0-9_+/=-]{12,}|(?<![A-Za-z0-9])[0-9a-f]{32,}(?![A-Za-z0-9])"
+SECRET_WORD = r"(?i:token|secret|key|password|passwd|pwd)[\x22']?[ ]{0,2}"
+SECRET = rf"(?<={SECRET_WORD}[=:][ ]{{0,2}}[\x22']?)[A-Za-z0-9_+/=-]{{12,}}|(?<![A-Za-z0-9])[0-9a-f]{{32,}}(?![A-Za-z0-9])"
 IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])"
 IP = r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"\+[0-9]{1,3}[ .-]?\(?[0-9]{2,4}\)?(?:[ .-]?[0-9]{2,4}){2,4}(?![0-9])|(?<![0-9])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])"
 CARD = r"(?<![0-9])[0-9](?:[ -]?[0-9]){12,18}(?![0-9])"
-NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{TITLES_F}|{TITLES_M})\.? \p{{Lu}}[\p{{L}}'-]+(?: \p{{Lu}}[\p{{L}}'-]+)?"
+#: A word of a name: an apostrophe only inside, and not that of a possessive.
+NAME_WORD = r"\p{Lu}(?:[\p{L}-]|'(?=\p{L})(?!s(?!\p{L})))+"
+NAME = rf"(?<![\p{{L}}\p{{N}}])(?:{TITLES_F}|{TITLES_M})\.? {NAME_WORD}(?: {NAME_WORD})?"
 ENTITY = "|".join(f"(?:{p})" for p in (EMAIL, SECRET, IBAN, IP, SSN, PHONE, CARD, NAME))
-#: A text that has no digit or @, and none of the words below in their places, has no entity.
-HINT = rf"[0-9@]|(?:{TITLES_F}|{TITLES_M})\.? \p{{Lu}}|(?:token|secret|key|password|passwd|pwd)[ ]{{0,2}}[=:]"
+#: A text that has no digit or @, and neither titles nor secret words in their places, has no entity.
+HINT = rf"[0-9@]|(?:{TITLES_F}|{TITLES_M})\.? \p{{Lu}}"
+SECRET_HINT = rf"(?<={SECRET_WORD})[=:]"
 #: Key of the hash. Whoever has it can recompute surrogates: pass your own.
 KEY = "rollmill"
 
@@ -49,12 +53,38 @@ def _sql(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _people(found: Column) -> Column:
+    """The different titled names among a document's values, as ``(gender, full)``; full is the name without title."""
+    titled = F.filter(found, lambda v: v.rlike(f"^(?:{NAME})$"))
+    return F.array_distinct(F.transform(titled, lambda v: F.struct(F.when(v.rlike(f"^(?:{TITLES_F})\\.? "), "f").otherwise("m").alias("gender"), _untitled(v).alias("full"))))
+
+
+def _untitled(value: Column) -> Column:
+    return F.regexp_replace(value, rf"^(?:{TITLES_F}|{TITLES_M})\.? ", "")
+
+
+def _person(value: Column, people: Column) -> Column:
+    """Whom of a document's people a value names, with the name in full if the document has it; null if none."""
+    name, titled = F.lower(_untitled(value)), value.rlike(f"^(?:{NAME})$")
+    female = value.rlike(f"^(?:{TITLES_F})\\.? ")
+    same = lambda p: (~titled | (female == (p["gender"] == "f"))) & ((F.lower(p["full"]) == name) | F.lower(p["full"]).endswith(F.concat(F.lit(" "), name)))
+    meant = F.filter(people, same)
+    return F.get(F.concat(F.filter(meant, lambda p: p["full"].contains(" ")), meant), 0)
+
+
+def _with_names(people: Column) -> Column:
+    """The pattern of a document's entities: the common one and the full and last names of its people."""
+    names = F.array_distinct(F.concat(F.transform(people, lambda p: p["full"]), F.transform(people, lambda p: F.substring_index(p["full"], " ", -1))))
+    longest = F.reverse(F.array_sort(F.transform(names, lambda n: F.struct(F.length(n).alias("n"), n.alias("name")))))
+    return F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform(longest, lambda x: x["name"]), "|"), F.lit(r")(?![\p{L}\p{N}])"))
+
+
 def typed(values: DataFrame) -> DataFrame:
-    """Adds ``type`` and ``norm`` to rows with an entity's ``value``: what is the same entity has the same norm."""
+    """Adds ``type`` and ``norm`` to rows with an entity's ``value`` and ``person``: what is the same entity has the same norm."""
     full = lambda p: F.col("value").rlike(f"^(?:{p})$")
     kind = (
         F.when(F.col("value").contains("@"), "email").when(full(IP), "ip").when(full(SSN), "ssn")
-        .when(full(NAME), F.when(F.col("value").rlike(f"^(?:{TITLES_F})\\.? "), "name_f").otherwise("name_m"))
+        .when(F.col("person").isNotNull(), F.concat(F.lit("name_"), F.col("person.gender")))
         .when(full(r"[0-9](?:[ -]?[0-9]){12,18}"), "card").when(full(r"[+(]?[0-9][0-9 .()+-]*"), "phone")
         .when(full(IBAN), "iban").otherwise("secret")
     )
@@ -62,7 +92,7 @@ def typed(values: DataFrame) -> DataFrame:
     bare = F.regexp_replace("value", r"[^A-Za-z0-9]", "")
     norm = (
         F.when(F.col("type").isin("phone", "card", "ssn", "iban"), bare)
-        .when(F.col("type").isin("name_m", "name_f"), F.lower(F.regexp_replace("value", r"^\p{L}+\.? ", "")))
+        .when(F.col("type").isin("name_m", "name_f"), F.lower("person.full"))
         .when(F.col("type") == "email", F.lower("value")).otherwise(F.col("value"))
     )
     return values.withColumn("norm", norm)
@@ -134,7 +164,8 @@ def _rendered() -> str:
     """SQL for the surrogate in a value's own format."""
     filled = "aggregate(split(value, ''), struct('' as s, 0 as k), (z, c) -> CASE WHEN c rlike '[A-Za-z0-9]' THEN struct(concat(z.s, substr(surrogate, z.k + 1, 1)) as s, z.k + 1 as k) ELSE struct(concat(z.s, c) as s, z.k as k) END, z -> z.s)"
     same_case = "array_join(transform(split(surrogate, ''), (c, i) -> CASE WHEN substr(value, i + 1, 1) <> lower(substr(value, i + 1, 1)) THEN upper(c) ELSE c END), '')"
-    return rf"CASE WHEN type IN ('phone', 'card', 'ssn', 'iban') THEN {filled} WHEN type = 'email' AND value <> norm THEN {same_case} WHEN type LIKE 'name%' THEN concat(regexp_extract(value, '^\\p{{L}}+\\.? ', 0), surrogate) ELSE surrogate END"
+    title = f"regexp_extract(value, {_sql(f'^(?:{TITLES_F}|{TITLES_M})')} || {_sql(chr(92) + '.? ')}, 0)"
+    return rf"CASE WHEN type IN ('phone', 'card', 'ssn', 'iban') THEN {filled} WHEN type = 'email' AND value <> norm THEN {same_case} WHEN type LIKE 'name%' THEN concat({title}, CASE WHEN instr(substr(value, length({title}) + 1), ' ') = 0 THEN substring_index(surrogate, ' ', -1) ELSE surrogate END) ELSE surrogate END"
 
 
 def replace_pii(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
@@ -145,21 +176,27 @@ def replace_pii(docs: DataFrame, text_col: str = "text", key: str = KEY) -> Data
     """
     rows = docs.select(F.struct("*").alias("__row"), F.col(text_col).alias("__text"))
     # plain searches first: they cost a fraction of a pattern with many branches
-    named = reduce(or_, [F.col("__text").contains(w) for w in (*TITLES_F.split("|"), *TITLES_M.split("|"), "token", "secret", "key", "password", "passwd", "pwd")])
-    hint = F.col("__text").rlike("[0-9@]") | (named & F.col("__text").rlike(HINT))
+    named = reduce(or_, [F.col("__text").contains(w) for w in (*TITLES_F.split("|"), *TITLES_M.split("|"))])
+    assigned = (F.col("__text").contains("=") | F.col("__text").contains(":")) & F.col("__text").rlike(SECRET_HINT)
+    hint = F.col("__text").rlike("[0-9@]") | assigned | (named & F.col("__text").rlike(HINT))
     found = F.when(hint, F.regexp_extract_all("__text", F.lit(ENTITY), F.lit(0)))
     # a column that depends on the task keeps the filters above this step, so that it runs once a row
     rows = rows.withColumn("__found", F.coalesce(found, F.array().cast("array<string>"))).withColumn("__task", F.spark_partition_id())
     has = materialize(rows.where("size(__found) > 0 AND __task >= 0").withColumn("__key", F.monotonically_increasing_id()), "with-entities")
-    values = typed(has.select(F.explode("__found").alias("value")).distinct())
-    values = materialize(values, "values")
+    # later mentions of a document's people count as entities too; few documents have any
+    people = _people(F.col("__found"))
+    has = has.withColumn("__people", people).withColumn("__pattern", F.when(F.size("__people") > 0, _with_names(F.col("__people"))).otherwise(F.lit(ENTITY)))
+    has = has.withColumn("__found", F.when(F.size("__people") > 0, F.regexp_extract_all("__text", F.col("__pattern"), F.lit(0))).otherwise(F.col("__found")))
+    mentions = F.transform(F.array_distinct("__found"), lambda v: F.struct(v.alias("value"), F.when(F.size("__people") > 0, _person(v, F.col("__people"))).alias("person")))
+    mentions = has.select("__key", F.inline(mentions))
+    values = materialize(typed(mentions.select("value", "person").distinct()), "values")
     chosen = surrogates(values.select("type", "norm").distinct(), key)
     # a hot value is joined from a small table: broadcast below the session's threshold, split by AQE beyond it
-    shown = materialize(values.join(chosen, ["type", "norm"]).select("value", F.expr(_rendered()).alias("safe")), "shown")
-    pairs = has.select("__key", F.explode(F.array_distinct("__found")).alias("value")).join(shown, "value")
+    shown = materialize(values.join(chosen, ["type", "norm"]).select("value", "person", F.expr(_rendered()).alias("safe")).withColumnsRenamed({"value": "__value", "person": "__person"}), "shown")
+    pairs = mentions.join(shown, (F.col("value") == F.col("__value")) & F.col("person").eqNullSafe(F.col("__person"))).select("__key", "value", "safe")
     maps = pairs.groupBy("__key").agg(F.map_from_entries(F.collect_list(F.struct("value", "safe"))).alias("__map"))
     out = has.join(maps, "__key")
-    parts = F.split("__text", ENTITY, -1)
+    parts = F.split("__text", F.col("__pattern"), -1)
     safe = F.array_join(F.zip_with(parts, F.transform("__found", lambda v: F.col("__map")[v]), lambda p, v: F.concat(p, F.coalesce(v, F.lit("")))), "")
     out = out.select("__row", safe.alias("safe_text"), F.size("__found").cast("long").alias("n_entities"))
     rest = rows.where("size(__found) = 0 AND __task >= 0").select("__row", F.col("__text").alias("safe_text"), F.lit(0).cast("long").alias("n_entities"))
