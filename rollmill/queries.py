@@ -354,7 +354,10 @@ def rollup_regroup_downsample(spark, d):
 @query("rollup_union", agg_sql(EVENTS, HOUR, EVENTS.tags, ("mean",), ("value",)))
 def rollup_union(spark, d):
     e = events(spark, d)
-    parts = [R.build_rollup(e, EVENTS, HOUR, EVENTS.tags, [Eq("event_type", t)]) for t in ("click", "error", "purchase", "signup", "view")]
+    types = ("click", "error", "purchase", "signup", "view")
+    parts = [R.build_rollup(e, EVENTS, HOUR, EVENTS.tags, [Eq("event_type", t)]) for t in types]
+    others = e.where(~F.coalesce(F.col("event_type").isin(*types), F.lit(False)))  # any other type, and none
+    parts.append(R.build_rollup(others, EVENTS, HOUR, EVENTS.tags))
     return rounded(R.union_parts(*[R.finalize(p, ("mean",), ("value",)) for p in parts]))
 
 
