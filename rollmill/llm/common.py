@@ -45,6 +45,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one key that a join leaves to one task, and slots of the table that tells frequent keys apart.
+KEY_ROWS, SLOTS = 8192, 1 << 18
+
+
+def keyed_join(rows: DataFrame, keys: DataFrame, on: list[str], n: str, deal: tuple[str, ...]) -> DataFrame:
+    """Inner join of ``rows`` with ``keys``, a table of one row per key whose column ``n`` counts the rows of the key.
+
+    Rows of a key with over ``KEY_ROWS`` are dealt out (by a hash of ``deal``) to as many parts as it takes, and the key's row goes to each
+    part. Which keys these are is told by a table of at most ``SLOTS`` rows, broadcast; keys that share a slot with one are dealt out as well.
+    """
+    slot = F.pmod(F.xxhash64(*on, F.lit("slot")), F.lit(SLOTS)).alias("__slot")
+    hot = keys.where(F.col(n) > KEY_ROWS).groupBy(slot).agg(F.ceil(F.max(n) / KEY_ROWS).cast("int").alias("__parts"))
+    hot = F.broadcast(materialize(hot, "hot"))
+    left = rows.withColumn("__slot", slot).join(hot, "__slot", "left").drop("__slot")
+    left = left.withColumn("__part", F.coalesce(F.pmod(F.xxhash64(*deal), F.col("__parts")).cast("int"), F.lit(0))).drop("__parts")
+    right = keys.withColumn("__slot", slot).join(hot, "__slot", "left").drop("__slot")
+    right = right.withColumn("__part", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop("__parts")
+    return left.join(right, [*on, "__part"]).drop("__part")
+
+
 def words(text: Column) -> Column:
     """Array of the ASCII-white-space separated words of a text (null or blank: empty array)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")

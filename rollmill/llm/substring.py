@@ -9,13 +9,17 @@ cores can hold equal windows. Their bytes before and after the core, with the co
 suffix array (``suffixes``), in which a window is repeated if and only if it shares 400 bytes with a neighbour.
 
 Groups of any size are split before they reach a task: a core with many ranges is halved (each half has a longer core)
-until its ranges are few or all equal, at the latest when each holds one window.
+until its ranges are few or all equal, at the latest when each holds one window. Joins deal rows of a frequent key out to several tasks.
+
+Passages of over 50 words that other documents hold too are found in the same way, with words as symbols; they are
+reported beside the bytes, as many are shorter than 400 bytes.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +27,35 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import keyed_join, materialize
 from .suffixes import repeated_starts
 
-LENGTH = 400
-KMER = 65
-#: Windows in a first range; halved SPLITS times before suffixes are sorted.
-RANGE, SPLITS = 48, 2
+
+@dataclass(frozen=True)
+class Unit:
+    """What is compared: windows of ``length`` symbols of ``width`` bytes, anchored by strings of ``kmer`` symbols, ``range`` windows in a first range."""
+
+    length: int
+    kmer: int
+    range: int
+    width: int
+    #: Whether a string must occur in another document, or may occur in the same one again.
+    across: bool
+
+    @property
+    def span(self) -> int:
+        return self.length - self.kmer + 1
+
+    def symbols(self, text: bytes) -> np.ndarray:
+        return np.frombuffer(text, np.uint8) if self.width == 1 else word_symbols(text)
+
+
+BYTES = Unit(400, 65, 48, 1, False)
+#: Runs of over 50 words.
+WORDS = Unit(51, 9, 8, 4, True)
+LENGTH = BYTES.length
+#: A range is halved so often before suffixes are sorted.
+SPLITS = 2
 #: Ranges of one core that one suffix array may take.
 MAX_CORE = 4096
 #: Symbols of one suffix array, about.
@@ -40,7 +66,8 @@ PART = 1 << 22
 #: Bits of the filter that keeps untouched texts out of the shuffle: at most 2 MB, whatever the data.
 FILTER_BITS = 1 << 24
 
-_A, _B = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_A = 0x9E3779B97F4A7C15
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\f\r"))
 
 
 @functools.lru_cache(maxsize=4)
@@ -76,19 +103,37 @@ def _hashes(sums: np.ndarray, base: int, at: np.ndarray, to: np.ndarray) -> np.n
     return _mix((sums[to] - sums[at]) * inverse[at] + (to - at).astype(np.uint64))
 
 
-def anchors(text: bytes) -> tuple[np.ndarray, ...]:
-    """Per anchor: hash of its string, hash of its context, first window, place of the string, last window."""
-    parts = []
-    for base in range(0, max(1, len(text) - LENGTH + 1), PART):
-        x = np.frombuffer(text, np.uint8, max(0, min(PART + LENGTH - 1, len(text) - base)), base)
-        if len(x) < LENGTH:
+def word_symbols(text: bytes) -> np.ndarray:
+    """A 32-bit hash for each word of a text."""
+    out, at = [], 0
+    while at < len(text):
+        to = at + PART
+        while to < len(text) and not _SPACE[text[to]]:  # a part ends between words
+            to += 1
+        x = np.frombuffer(text, np.uint8, min(to, len(text)) - at, at)
+        word = np.concatenate(([False], ~_SPACE[x], [False]))
+        edge = np.flatnonzero(word[1:] != word[:-1])
+        a, b = edge[::2], edge[1::2]
+        made = _hashes(_sums(x, _A), _A, a, b).astype(np.uint32)
+        for i in np.flatnonzero(b - a > 64):
+            made[i] = xxhash.xxh32_intdigest(text[at + a[i] : at + b[i]])
+        out.append(made)
+        at = to
+    return np.concatenate(out) if out else np.zeros(0, np.uint32)
+
+
+def anchors(symbols: np.ndarray, unit: Unit = BYTES) -> tuple[np.ndarray, ...]:
+    """Per anchor: hash of its string, two hashes of its context, first window, place of the string, last window."""
+    parts, length, kmer = [], unit.length, unit.kmer
+    for base in range(0, max(1, len(symbols) - length + 1), PART):
+        x = symbols[base : base + PART + length - 1]
+        if len(x) < length:
             continue
-        a, b = _sums(x, _A), _sums(x, _B)
-        at = np.arange(len(x) - KMER + 1)
-        h = _hashes(a, _A, at, at + KMER)
+        at = np.arange(len(x) - kmer + 1)
+        h = _hashes(_sums(x, _A), _A, at, at + kmer)
         low = np.uint64((1 << 24) - 1)
         least = (h & ~low) | at.astype(np.uint64)
-        width, span = 1, LENGTH - KMER + 1
+        width, span = 1, unit.span
         while 2 * width <= span:
             least = np.minimum(least[:-width], least[width:])
             width *= 2
@@ -97,49 +142,58 @@ def anchors(text: bytes) -> tuple[np.ndarray, ...]:
         lo = np.flatnonzero(np.concatenate(([True], least[1:] != least[:-1])))
         hi = np.append(lo[1:], len(least)) - 1
         pos = (least[lo] & low).astype(np.int64)
-        context = _hashes(b, _B, lo, hi + LENGTH) ^ _mix((pos - lo).astype(np.uint64))
-        parts.append((h[pos], context, lo + base, pos + base, hi + base))
+        data, w = x.tobytes(), unit.width
+        digest = xxhash.xxh3_128_digest
+        context = b"".join([digest(data[i * w : (j + length) * w], p) for i, j, p in zip(lo.tolist(), hi.tolist(), (pos - lo).tolist(), strict=True)])
+        context = np.frombuffer(context, np.uint64).reshape(-1, 2)
+        parts.append((h[pos], context[:, 0], context[:, 1], lo + base, pos + base, hi + base))
     if not parts:
-        parts = [(np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),) * 3]
+        parts = [(np.zeros(0, np.uint64),) * 3 + (np.zeros(0, np.int64),) * 3]
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
 
 
+_ANCHORS = (("h", np.int64), ("c", np.int64), ("e", np.int64), ("lo", np.int32), ("pos", np.int32), ("hi", np.int32))
+
+
 def _scan(batches):
     for batch in batches:
-        size, sha, found = [], [], []
+        size, sha, found = [], [], {BYTES: [], WORDS: []}
         for text in batch.column(batch.num_columns - 1):
             data = (text.as_py() or "").encode()
             size.append(len(data))
             sha.append(hashlib.sha256(data).hexdigest())
-            found.append(anchors(data))
-        offsets = pa.array(np.concatenate(([0], np.cumsum([len(f[0]) for f in found]))).astype(np.int32))
-        lists = []
-        for c, kind in enumerate((np.int64, np.int64, np.int32, np.int32, np.int32)):
-            flat = np.concatenate([f[c] for f in found])
-            lists.append(pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64) if c < 2 else flat.astype(kind))))
+            for unit, into in found.items():
+                into.append(anchors(unit.symbols(data), unit))
+        lists, names = [], []
+        for unit, own in found.items():
+            offsets = pa.array(np.concatenate(([0], np.cumsum([len(f[0]) for f in own]))).astype(np.int32))
+            for c, (name, kind) in enumerate(_ANCHORS):
+                flat = np.concatenate([f[c] for f in own])
+                lists.append(pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64) if c < 3 else flat.astype(kind))))
+                names.append(f"{name}{unit.width}")
         own = [pa.array(size, pa.int64()), pa.array(sha, pa.string()), *lists]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], names=[*batch.schema.names[:-1], "n_bytes", "sha", "h", "c", "lo", "pos", "hi"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *own], names=[*batch.schema.names[:-1], "n_bytes", "sha", *names])
 
 
-def _ranges(batches):
-    """Ranges of the asked contexts of each text, with their cores' hashes and the bytes around the cores."""
-    span = LENGTH - KMER + 1
+def _ranges(batches, unit: Unit):
+    """Ranges of the asked contexts of each text, with their cores' hashes and the symbols around the cores."""
+    span, length, w = unit.span, unit.length, unit.width
     schema = pa.schema([("k1", pa.int64()), ("k2", pa.int64()), ("row", pa.int64()), ("start", pa.int32()), ("lt", pa.binary()), ("rt", pa.binary())])
     for batch in batches:
         key, rows, starts, lts, rts = [], [], [], [], []
         for row, asked, text in zip(*batch.columns, strict=True):
-            row, data = row.as_py(), text.as_py().encode()
+            row, data = row.as_py(), unit.symbols(text.as_py().encode()).tobytes()
             for ask in asked.as_py():
                 lo, pos, hi = ask["lo"], ask["pos"], ask["hi"]
                 base = pos - span + 1
-                for q in range((lo - base) // RANGE, (hi - base) // RANGE + 1):
-                    a, b = base + q * RANGE, base + (q + 1) * RANGE - 1
+                for q in range((lo - base) // unit.range, (hi - base) // unit.range + 1):
+                    a, b = base + q * unit.range, base + (q + 1) * unit.range - 1
                     s, e = max(lo, a), min(hi, b)
-                    key.append(xxhash.xxh3_128_digest(data[b : a + LENGTH]))
+                    key.append(xxhash.xxh3_128_digest(data[b * w : (a + length) * w]))
                     rows.append(row)
                     starts.append(s)
-                    lts.append(data[s:b])
-                    rts.append(data[a + LENGTH : e + LENGTH])
+                    lts.append(data[s * w : b * w])
+                    rts.append(data[(a + length) * w : (e + length) * w])
             if len(rows) > 20_000:
                 yield _range_batch(schema, key, rows, starts, lts, rts)
                 key, rows, starts, lts, rts = [], [], [], [], []
@@ -151,38 +205,45 @@ def _range_batch(schema, key, rows, starts, lts, rts):
     return pa.RecordBatch.from_arrays([pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array(rows, pa.int64()), pa.array(starts, pa.int32()), pa.array(lts, pa.binary()), pa.array(rts, pa.binary())], schema=schema)
 
 
-def _halves(ranges: DataFrame, windows: int) -> list[tuple[DataFrame, int]]:
-    """Ranges of ``windows`` windows as two tables of fewer, with their numbers of windows; each core grows by the bytes that its half has in common."""
+def _halves(ranges: DataFrame, windows: int, w: int) -> list[tuple[DataFrame, int]]:
+    """Ranges of ``windows`` windows as two tables of fewer, with their numbers of windows; each core grows by the ``w``-byte symbols that its half has in common."""
     left = windows - windows // 2
     right = windows - left
     own = lambda side, extra: [F.xxhash64("k1", "k2", F.lit(side), extra).alias("k1"), F.xxhash64("k2", extra, F.lit(side), F.hash("k1", extra)).alias("k2")]
     nl, nr = F.length("lt"), F.length("rt")
-    cut = nl - (windows - left)
-    one = ranges.where(cut >= 0).select(*own(0, F.expr(f"substring(lt, length(lt) - {windows - left} + 1, {windows - left})")), "row", "start", F.expr(f"substring(lt, 1, length(lt) - {windows - left})").alias("lt"), F.expr(f"substring(rt, 1, {left - 1})").alias("rt"))
-    drop = F.greatest(F.lit(0), nl - (right - 1))
-    two = ranges.where(nr >= left).select(*own(1, F.expr(f"substring(rt, 1, {left})")), "row", (F.col("start") + drop).cast("int").alias("start"), F.expr(f"substring(lt, greatest(0, length(lt) - {right - 1}) + 1, {windows})").alias("lt"), F.expr(f"substring(rt, {left + 1}, {windows})").alias("rt"))
+    more = w * (windows - left)
+    one = ranges.where(nl >= more).select(*own(0, F.expr(f"substring(lt, length(lt) - {more} + 1, {more})")), "row", "start", F.expr(f"substring(lt, 1, length(lt) - {more})").alias("lt"), F.expr(f"substring(rt, 1, {w * (left - 1)})").alias("rt"))
+    drop = F.greatest(F.lit(0), nl - w * (right - 1))
+    two = ranges.where(nr >= w * left).select(*own(1, F.expr(f"substring(rt, 1, {w * left})")), "row", (F.col("start") + drop / w).cast("int").alias("start"), F.expr(f"substring(lt, greatest(0, length(lt) - {w * (right - 1)}) + 1, {w * windows})").alias("lt"), F.expr(f"substring(rt, {w * left} + 1, {w * windows})").alias("rt"))
     return [(one.unionByName(two), left)] if left == right else [(one, left), (two, right)]
 
 
-def _sorted_suffixes(batches):
-    """Rows in runs of a core; several cores share a suffix array. Yields the bytes that repeated windows cover."""
+def _sorted_suffixes(batches, unit: Unit):
+    """Rows in runs of a core; several cores share a suffix array. Yields the symbols that repeated windows cover."""
     held: list[pa.RecordBatch] = []
+    kind = np.uint8 if unit.width == 1 else np.uint32
 
     def solve(table: pa.Table):
         s, weight, owners = [], [], []
-        core, last = 256, None
+        core, last = 1 << 8 * unit.width, None
         for k1, k2, windows, row, start, lt, rt in zip(*(table.column(c).to_pylist() for c in ("k1", "k2", "windows", "row", "start", "lt", "rt")), strict=True):
             if (k1, k2) != last:
                 last, core = (k1, k2), core + 1
+            lt, rt = np.frombuffer(lt, kind).tolist(), np.frombuffer(rt, kind).tolist()
             owners.append((row, start, len(s), len(lt) + 1))
             s += [x + 1 for x in lt]
             s.append(core)
             s += [x + 1 for x in rt]
             s.append(0)
             weight += [1] * len(lt)
-            weight.append(LENGTH - windows + 1)
+            weight.append(unit.length - windows + 1)
             weight += [1] * (len(rt) + 1)
-        flags = repeated_starts(s, weight, LENGTH, 0)
+        place = None
+        if unit.across:
+            place = [0] * len(s)
+            for (row, _, at, _), end in zip(owners, [o[2] for o in owners[1:]] + [len(s)], strict=True):
+                place[at:end] = [row] * (end - at)
+        flags = repeated_starts(s, weight, unit.length, 0, place)
         rows, los, his = [], [], []
         for row, start, at, n in owners:
             i = 0
@@ -193,7 +254,7 @@ def _sorted_suffixes(batches):
                         j += 1
                     rows.append(row)
                     los.append(start + i)
-                    his.append(start + j + LENGTH)
+                    his.append(start + j + unit.length)
                     i = j
                 i += 1
         return pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(los, pa.int32()), pa.array(his, pa.int32())], names=["row", "a", "b"])
@@ -223,16 +284,17 @@ def _sorted_suffixes(batches):
         yield from take(True)
 
 
-def _ranged_repeats(ranges: DataFrame) -> DataFrame:
-    """``(row, a, b)``: the bytes that repeated windows of the ranges cover."""
-    covers, groups, queue = [], [], [(ranges, RANGE, 0)]
+def _ranged_repeats(ranges: DataFrame, unit: Unit) -> DataFrame:
+    """``(row, a, b)``: the symbols that repeated windows of the ranges cover."""
+    covers, groups, queue = [], [], [(ranges, unit.range, 0)]
     while queue:
         now, windows, depth = queue.pop()
         tails = F.xxhash64(F.length("lt"), "lt", "rt")
-        cores = now.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(tails).alias("low"), F.max(tails).alias("high")).where("n > 1")
-        known = materialize(now.join(cores.select("k1", "k2", "n", (F.col("low") == F.col("high")).alias("same")), ["k1", "k2"]), "ranges")
-        # equal ranges are repeated as a whole: their windows are those that the bytes around the core reach
-        first, last = F.col("start"), F.col("start") + F.length("lt") + F.length("rt") + F.lit(LENGTH - windows + 1)
+        cores = now.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(tails).alias("low"), F.max(tails).alias("high"), F.min("row").alias("r"), F.max("row").alias("s"))
+        cores = materialize(cores.where("r < s" if unit.across else "n > 1").select("k1", "k2", "n", (F.col("low") == F.col("high")).alias("same")), "cores")
+        known = materialize(keyed_join(now, cores, ["k1", "k2"], "n", ("row", "start")), "ranges")
+        # equal ranges are repeated as a whole: their windows are those that the symbols around the core reach
+        first, last = F.col("start"), F.col("start") + (F.length("lt") + F.length("rt")) / unit.width + F.lit(unit.length - windows + 1)
         covers.append(known.where("same").select("row", first.alias("a"), last.cast("int").alias("b")))
         mixed = known.where("NOT same")
         if depth >= SPLITS:
@@ -240,15 +302,16 @@ def _ranged_repeats(ranges: DataFrame) -> DataFrame:
             mixed = mixed.where(F.col("n") > MAX_CORE)
         mixed = mixed.select("k1", "k2", "row", "start", "lt", "rt")
         if windows > 1 and not mixed.isEmpty():
-            queue += [(half, n, depth + 1) for half, n in _halves(mixed, windows)]
+            queue += [(half, n, depth + 1) for half, n in _halves(mixed, windows, unit.width)]
     rows = functools.reduce(DataFrame.unionByName, groups) if groups else None
     out = functools.reduce(DataFrame.unionByName, covers)
     if rows is not None:
-        rows = rows.withColumn("size", F.length("lt") + F.length("rt") + 2)
+        rows = rows.withColumn("size", F.ceil((F.length("lt") + F.length("rt")) / unit.width).cast("int") + 2)
         # few bytes but much work: a number of tasks by symbols, which adaptive execution does not merge
         tasks = -(-(rows.agg(F.sum("size")).first()[0] or 0) // (2 * SYMBOLS))
         rows = rows.repartition(max(1, min(MAX_TASKS, tasks)), "k1", "k2").sortWithinPartitions("k1", "k2")
-        out = out.unionByName(rows.select("k1", "k2", "windows", "size", "row", "start", "lt", "rt").mapInArrow(_sorted_suffixes, "row long, a int, b int"))
+        rows = rows.select("k1", "k2", "windows", "size", "row", "start", "lt", "rt")
+        out = out.unionByName(rows.mapInArrow(lambda it: _sorted_suffixes(it, unit), "row long, a int, b int"))
     return out
 
 
@@ -261,14 +324,17 @@ def _cut(batches, flagged: bytes):
 
 
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Texts joined to the rows of ``wanted (doc_id, th, ...)``; others are kept out of the shuffle as far as a filter of bounded size tells."""
+    """Texts joined to the rows of ``wanted (doc_id, th, ...)``; others are kept out of the shuffle as far as a filter of bounded size tells.
+
+    Of rows that repeat id and text one stands for all, so that they do not meet each other.
+    """
     bit = F.col("th").bitwiseAND(F.lit(FILTER_BITS - 1))
     words = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("m")).toPandas()
     flags = np.zeros(FILTER_BITS // 32, np.uint32)
     flags[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64).astype(np.uint32)
     data = flags.astype("<u4").tobytes()
     kept = docs.mapInArrow(lambda it: _cut(it, data), docs.schema)
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "text")
+    kept = kept.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.first("text").alias("text"))
     return wanted.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))).drop("__id", "__th")
 
 
@@ -296,33 +362,44 @@ def _removed(batches):
         yield pa.RecordBatch.from_arrays([batch.column("row"), *own], names=["row", "n_removed", "n_spans", "kept_sha256"])
 
 
+def _covers(rows: DataFrame, scanned: DataFrame, unit: Unit) -> DataFrame:
+    """``(row, a, b)``: the symbols that repeated strings of a unit's length cover, by the rows of ``scanned``."""
+    names = [n for n, _ in _ANCHORS]
+    every = scanned.select("row", F.explode(F.arrays_zip(*[F.col(f"{n}{unit.width}").alias(n) for n in names])).alias("x")).select("row", "x.*")
+    # hashes that occur twice; whether all their contexts are equal
+    seen = every.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("c", "e")).alias("low"), F.max(F.struct("c", "e")).alias("high"), F.min("row").alias("r"), F.max("row").alias("s"))
+    seen = materialize(seen.where("r < s" if unit.across else "n > 1").select("h", "n", (F.col("low") != F.col("high")).alias("mixed")), "seen")
+    near = materialize(keyed_join(every, seen, ["h"], "n", ("row", "lo")).drop("n"), "near")
+    contexts = near.groupBy("h", "c", "e").agg(F.count(F.lit(1)).alias("n"), F.first("mixed").alias("mixed"), F.min(F.struct("row", "lo", "pos", "hi")).alias("one"), F.max("row").alias("last"))
+    contexts = materialize(contexts, "contexts")
+    again = contexts.where(F.col("one.row") < F.col("last") if unit.across else F.col("n") > 1).select("h", "c", "e", "n")
+    whole = keyed_join(near, again, ["h", "c", "e"], "n", ("row", "lo")).select("row", F.col("lo").alias("a"), (F.col("hi") + unit.length).alias("b"))
+    # one occurrence of each context under a mixed hash; all of a context with more are covered above
+    asked = contexts.where("mixed").groupBy(F.col("one.row").alias("row")).agg(F.collect_list(F.struct("one.lo", "one.pos", "one.hi")).alias("asked"))
+    asked = materialize(asked.join(scanned.select("row", "doc_id", "th"), "row"), "asked")
+    ranges = _texts_of(rows, asked).select("row", "asked", "text").mapInArrow(lambda it: _ranges(it, unit), "k1 long, k2 long, row long, start int, lt binary, rt binary")
+    return materialize(whole.unionByName(_ranged_repeats(materialize(ranges, "ranges"), unit)), "covers")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document ``doc_id, n_bytes, n_removed, n_spans, kept_sha256``.
+    """Per document ``doc_id, n_bytes, n_removed, n_spans, kept_sha256, shares_passage``.
 
+    ``shares_passage`` is 1 if the document holds over 50 words in a row that another document holds too.
     Null texts count as empty; texts of under 400 bytes lose nothing; repeated rows repeat each other's strings
     and lose all of them. A null id is an id like any other. Other columns are ignored.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    scanned = rows.mapInArrow(_scan, f"doc_id {kind}, th long, n_bytes long, sha string, h array<long>, c array<long>, lo array<int>, pos array<int>, hi array<int>")
+    lists = ", ".join(f"{n}{u.width} array<{'int' if k is np.int32 else 'long'}>" for u in (BYTES, WORDS) for n, k in _ANCHORS)
+    scanned = rows.mapInArrow(_scan, f"doc_id {kind}, th long, n_bytes long, sha string, {lists}")
     scanned = materialize(scanned.withColumn("row", F.monotonically_increasing_id()), "scanned")
-    every = scanned.select("row", F.explode(F.arrays_zip("h", "c", "lo", "pos", "hi")).alias("x")).select("row", "x.*")
-    # hashes that occur twice; whether all their contexts are equal
-    seen = every.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("n > 1")
-    seen = materialize(seen.select("h", (F.col("low") < F.col("high")).alias("mixed")), "seen")
-    near = materialize(every.join(seen, "h"), "near")
-    contexts = near.groupBy("h", "c").agg(F.count(F.lit(1)).alias("n"), F.first("mixed").alias("mixed"), F.min(F.struct("row", "lo", "pos", "hi")).alias("one"))
-    contexts = materialize(contexts, "contexts")
-    whole = near.join(contexts.where("n > 1").select("h", "c"), ["h", "c"]).select("row", F.col("lo").alias("a"), (F.col("hi") + LENGTH).alias("b"))
-    # one occurrence of each context under a mixed hash; all of a context with more are covered above
-    asked = contexts.where("mixed").groupBy(F.col("one.row").alias("row")).agg(F.collect_list(F.struct("one.lo", "one.pos", "one.hi")).alias("asked"))
-    asked = materialize(asked.join(scanned.select("row", "doc_id", "th"), "row"), "asked")
-    ranges = _texts_of(rows, asked).select("row", "asked", "text").mapInArrow(_ranges, "k1 long, k2 long, row long, start int, lt binary, rt binary")
-    parts = _ranged_repeats(materialize(ranges, "ranges"))
-    covers = materialize(whole.unionByName(parts), "covers").groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("covers"))
+    covers = _covers(rows, scanned, BYTES).groupBy("row").agg(F.collect_set(F.struct("a", "b")).alias("covers"))
     covered = materialize(covers.join(scanned.select("row", "doc_id", "th", "n_bytes"), "row"), "covered")
     cut = _texts_of(rows, covered.select("row", "doc_id", "th", "covers")).select("row", "covers", "text").mapInArrow(_removed, "row long, n_removed long, n_spans long, kept_sha256 string")
-    cut = cut.dropDuplicates(["row"])  # rows that repeat id and text meet each other's texts
-    out = scanned.select("row", "doc_id", "n_bytes", "sha").join(cut, "row", "left")
+    shared = _covers(rows, scanned, WORDS).select("row").distinct().withColumn("shares", F.lit(1))
+    out = scanned.select("row", "doc_id", "n_bytes", "sha").join(cut, "row", "left").join(shared, "row", "left")
     zero = F.lit(0).cast("long")
-    return out.select("doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    return out.select(
+        "doc_id", "n_bytes", F.coalesce("n_removed", zero).alias("n_removed"), F.coalesce("n_spans", zero).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
+        F.coalesce("shares", F.lit(0)).alias("shares_passage"),
+    )

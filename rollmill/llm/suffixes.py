@@ -113,16 +113,24 @@ def common_prefixes(s: list[int], sa: list[int], stop: int) -> list[int]:
     return out
 
 
-def repeated_starts(s: list[int], weight: list[int], least: int, stop: int) -> list[bool]:
-    """For each start whether the ``least`` units of weight from there occur at another start too, not past a ``stop``."""
+def repeated_starts(s: list[int], weight: list[int], least: int, stop: int, owner: list[int] | None = None) -> list[bool]:
+    """For each start whether the ``least`` units of weight from there occur at another start too, not past a ``stop``.
+
+    With ``owner`` (one for each start) the other start must be another owner's.
+    """
     if not s:
         return []
     sa = suffix_array(s)
     lcp = common_prefixes(s, sa, stop)
     upto = [0, *accumulate(weight)]
     flags = [False] * len(s)
-    for r in range(1, len(sa)):
-        k, i = lcp[r], sa[r]
-        if k and upto[i + k] - upto[i] >= least:
-            flags[i] = flags[sa[r - 1]] = True
+    first, mixed = 0, False  # the run of suffixes that share so much, and whether it has several owners
+    for r in range(1, len(sa) + 1):
+        if r < len(sa) and lcp[r] and upto[sa[r] + lcp[r]] - upto[sa[r]] >= least:
+            mixed = mixed or owner is None or owner[sa[r]] != owner[sa[r - 1]]
+            continue
+        if mixed:
+            for i in sa[first:r]:
+                flags[i] = True
+        first, mixed = r, False
     return flags

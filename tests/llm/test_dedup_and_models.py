@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rollmill.llm import embeddings, pii, substring, toxicity
+from rollmill.llm import common, embeddings, pii, substring, toxicity
 from rollmill.llm.stages import STAGES
 
 SF = "/root/testdata/sf0.001"
@@ -49,11 +49,11 @@ def test_removed_bytes_by_hand(spark, monkeypatch, seed, max_core, part):
     monkeypatch.setattr(substring, "MAX_CORE", max_core)
     texts = pieces_of(seed)
     rows = [(i, t, "clash", "clash") for i, t in enumerate(texts)]
-    got = {r.doc_id: tuple(r)[1:] for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, row string, h string")).collect()}
+    got = {r.doc_id: tuple(r)[1:5] for r in substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string, row string, h string")).collect()}
     assert got == dict(enumerate(removed_by_hand(texts)))
     monkeypatch.setattr(substring, "PART", part)
-    whole = substring.anchors(("xyz" * 50 + texts[0] + "é" * 900).encode())
-    assert len(whole[0]) and (whole[2] <= whole[3]).all() and (np.diff(whole[2]) > 0).all() and whole[4][-1] == len(("xyz" * 50 + texts[0] + "é" * 900).encode()) - 400
+    whole = substring.anchors(np.frombuffer(("xyz" * 50 + texts[0] + "é" * 900).encode(), np.uint8))
+    assert len(whole[0]) and (whole[3] <= whole[4]).all() and (np.diff(whole[3]) > 0).all() and whole[5][-1] == len(("xyz" * 50 + texts[0] + "é" * 900).encode()) - 400
 
 
 def test_repeated_rows_and_empty_tables(spark):
@@ -62,6 +62,27 @@ def test_repeated_rows_and_empty_tables(spark):
     got = substring.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(((r.doc_id or 0), r.n_bytes, r.n_removed, r.n_spans) for r in got) == [(0, 500, 500, 1), (1, 900, 900, 1), (1, 900, 900, 1), (3, 5, 0, 0), (3, 5, 0, 0)]
     assert substring.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+    many = spark.range(10_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    got = substring.remove_repeats(many).groupBy("n_bytes", "n_removed", "n_spans", "shares_passage").count().collect()
+    assert [tuple(r) for r in got] == [(900, 900, 1, 0, 10_000)]
+
+
+@pytest.mark.parametrize(("seed", "max_core"), [(1, 4096), (2, 2)])
+def test_passages_of_over_fifty_words_by_hand(spark, monkeypatch, seed, max_core):
+    monkeypatch.setattr(substring, "MAX_CORE", max_core)
+    monkeypatch.setattr(common, "KEY_ROWS", 4)
+    rng = random.Random(seed)
+    noise = lambda n: [rng.choice(["ab", "c", "été", "x" * 70, "y"]) + str(rng.randrange(90)) for _ in range(n)]
+    shared = [noise(n) for n in (49, 50, 51, 52, 60, 90)]
+    texts = [" ".join(noise(rng.randrange(40)) + rng.choice(shared)[rng.randrange(3) :] + noise(rng.randrange(40))) for _ in range(60)]
+    own = noise(60)
+    texts += [" ".join(own + ["z"] + own), "w " * 300, "w\t" * 60, None, "", "  ".join(noise(200))]
+    windows = [{tuple(w[i : i + 51]) for i in range(len(w) - 50)} for w in ((t or "").encode().split() for t in texts)]
+    seen = Counter(x for w in windows for x in w)
+    want = {i: int(any(seen[x] > 1 for x in w)) for i, w in enumerate(windows)}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.shares_passage for r in substring.remove_repeats(df).collect()} == want
+    assert 0 < sum(want.values()) < len(texts)
 
 
 # ---- embeddings
