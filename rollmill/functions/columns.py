@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from ..spec import UNITS
 
 
+_EPOCH = "TIMESTAMP_NTZ'1970-01-01 00:00:00'"
+
+
 def moment(epoch: Column | int) -> Column:
-    """Epoch seconds as a timestamp without zone (UTC)."""
-    return F.to_timestamp_ntz(F.date_format(F.timestamp_seconds(epoch if isinstance(epoch, Column) else F.lit(epoch)), "yyyy-MM-dd HH:mm:ss"))
+    """Epoch seconds as a timestamp without zone (UTC), whatever the session's zone."""
+    seconds = epoch if isinstance(epoch, Column) else F.lit(epoch)
+    return F.expr(_EPOCH) + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
 
 
 def _literal(epoch: int, zoned: bool) -> Column:
@@ -31,10 +35,12 @@ def in_range(time: str, start: int | None, end: int | None, bounds: str = "half_
     return parts
 
 
-def to_epoch(time: Column, unit: str = "s") -> Column:
-    """Epoch seconds or nanoseconds (of microsecond times)."""
-    zoned = time.cast("timestamp")
-    return F.unix_seconds(zoned) if unit == "s" else F.unix_micros(zoned) * 1000
+def to_epoch(time: Column, unit: str = "s", zoned: bool = False) -> Column:
+    """Epoch seconds or nanoseconds (of microsecond times). Times without zone are read as UTC, whatever the session's zone."""
+    if zoned:
+        return F.unix_seconds(time) if unit == "s" else F.unix_micros(time) * 1000
+    since = (time - F.expr(_EPOCH)).cast("interval second").cast("decimal(18,6)")
+    return F.floor(since).cast("long") if unit == "s" else (since * 1_000_000).cast("long") * 1000
 
 
 def duration_seconds(text: Column) -> Column:

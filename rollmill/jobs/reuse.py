@@ -18,9 +18,9 @@ def parse_query_log(df: DataFrame, col: str = "doc", now: int | None = None) ->
 
     Defaults: ``createEmpty`` false, filter type ``raw``. A relative range is resolved with ``now``; a missing end is ``now``.
     """
-    d = F.from_json(col, DOCUMENT)
     own = [c for c in df.columns if c != col]
-    rows = df.select(*own, d.alias("d"))
+    # through a generator, so that the optimizer does not parse once for every field that is asked for
+    rows = df.select(*own, F.explode(F.array(F.from_json(col, DOCUMENT))).alias("d"))
     at = F.lit(now).cast("long")
     start = F.coalesce(F.col("d.range.start"), at - duration_seconds(F.col("d.relativeRange.fr")))
     end = F.coalesce(F.col("d.range.end"), at - F.coalesce(duration_seconds(F.col("d.relativeRange.to")), F.lit(0)))
@@ -42,15 +42,22 @@ def exact_query_key(log: DataFrame) -> DataFrame:
     return log.withColumn("exact_key", F.concat_ws("|", "bucket", ordered_filter_key(F.col("filters")), "yield", "window_text", "agg_fn", F.col("create_empty").cast("string")))
 
 
+#: What decides which rollups can serve a query at all: everything but its range.
+SHAPE = ("fingerprint", "tags", "window_s", "agg_fn")
+
+
 def reuse_match(log: DataFrame, catalog: DataFrame) -> DataFrame:
     """Pairs of queries and rollups that can serve them: equal key, fewer or equal tags, a multiple of the window; a median only in its own shape.
 
     ``log``: ``fingerprint, tags, window_s, agg_fn, q_start, q_end``; ``catalog``: ``rollup_id, fingerprint, r_tags, r_window, r_start, r_end``.
-    An equi-join with a residual; repeated queries are matched once each, by their shape.
+    Queries repeat a few shapes (``SHAPE``): each different shape is matched once, and the log is joined with the shapes' rollups.
     """
     fits = is_subset(F.col("tags"), F.col("r_tags")) & (F.col("window_s") % F.col("r_window") == 0)
     same = (F.array_sort("tags") == F.array_sort("r_tags")) & (F.col("window_s") == F.col("r_window"))
-    return log.join(catalog, "fingerprint").where(fits & ((F.col("agg_fn") != "median") | same))
+    shapes = log.select(*SHAPE).distinct()
+    served = shapes.join(catalog, "fingerprint").where(fits & ((F.col("agg_fn") != "median") | same))
+    served = served.groupBy(*SHAPE).agg(F.collect_list(F.struct(*[c for c in catalog.columns if c != "fingerprint"])).alias("__rollups"))
+    return log.join(served, list(SHAPE)).select(*log.columns, F.inline("__rollups"))
 
 
 def reuse_classify(matched: DataFrame) -> DataFrame:
@@ -64,12 +71,12 @@ def reuse_classify(matched: DataFrame) -> DataFrame:
 
 
 def reuse_best(classified: DataFrame, query_col: str = "query_id") -> DataFrame:
-    """Per query the rollup that leaves least to compute; then the coarsest, then the smallest id.
+    """Per query the rollup that leaves least to compute, with what it leaves; then the coarsest, then the smallest id.
 
     A maximum of a struct: it combines before the exchange, however many rollups fit one query.
     """
     key = F.struct((-F.col("missing_s")).alias("a"), F.col("r_window").alias("b"), (-F.col("rollup_id")).alias("c"))
-    cols = [c for c in classified.columns if c != query_col]
+    cols = [c for c in ("rollup_id", "kind", "missing_start", "missing_end", "missing_s", "r_window", "r_start", "r_end") if c in classified.columns]
     best = classified.groupBy(query_col).agg(F.max_by(F.struct(*cols), key).alias("r"))
     return best.select(query_col, "r.*")
 

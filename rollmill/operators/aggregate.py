@@ -27,10 +27,19 @@ def edge(value: Column, mt: MetricTable) -> Column:
     return F.when(value.isNotNull(), F.struct(F.col(mt.time).alias("t"), *[F.col(c).alias(f"tie_{c}") for c in mt.ties], value.alias("v")))
 
 
+def total(value: Column, mt: MetricTable) -> Column:
+    """The sum of a field: a decimal that no order of adding changes if the table declares its places, else a double."""
+    return F.sum(value) if mt.places is None else F.sum(value.cast(f"decimal(18,{mt.places})")).cast(f"decimal(38,{mt.places})")
+
+
+def quotient(total: Column, n: Column) -> Column:
+    return total.cast("double") / F.when(n > 0, n)
+
+
 def aggregate_column(fn: str, name: str, mt: MetricTable) -> Column:
     value = F.col(name)
     made = {
-        "mean": lambda: F.avg(value), "sum": lambda: F.sum(value), "min": lambda: F.min(value), "max": lambda: F.max(value),
+        "mean": lambda: F.avg(value) if mt.places is None else quotient(total(value, mt), F.count(value)), "sum": lambda: total(value, mt).cast("double"), "min": lambda: F.min(value), "max": lambda: F.max(value),
         "count": lambda: F.count(value), "median": lambda: F.median(value),
         "first": lambda: F.min(edge(value, mt))["v"], "last": lambda: F.max(edge(value, mt))["v"],
     }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import moment
+from ..functions.columns import moment, to_epoch
 
 
 def _step(seconds: int):
@@ -22,8 +22,8 @@ def fill_edges(df: DataFrame, tags, start: int, end: int, window: int) -> DataFr
     Head: ``gap // window + 1`` rows at ``first - i * window``; tail: ``gap // window`` rows at ``last + i * window``. Gaps inside stay.
     """
     span = df.groupBy(*tags).agg(F.min("bucket").alias("a"), F.max("bucket").alias("b"))
-    epoch = lambda c: F.unix_seconds(F.col(c).cast("timestamp"))
-    head, tail = epoch("a") - F.lit(start), F.lit(end) - epoch("b")
+    zoned = df.schema["bucket"].dataType.typeName() == "timestamp"
+    head, tail = to_epoch(F.col("a"), zoned=zoned) - F.lit(start), F.lit(end) - to_epoch(F.col("b"), zoned=zoned)
     n_head = F.when(head > window, F.floor(head / window) + 1).otherwise(0).cast("int")
     n_tail = F.when(tail > window, F.floor(tail / window)).otherwise(0).cast("int")
     before = F.transform(F.when(n_head > 0, F.sequence(F.lit(1), n_head)).otherwise(F.array().cast("array<int>")), lambda i: _shift(F.col("a"), -i * window))
@@ -44,7 +44,8 @@ def fill_grid(df: DataFrame, tags, start: int, end: int, window: int, count_zero
         if total > max_rows:
             raise ValueError(f"the grid has {total} rows, more than {max_rows}")
     grid = series.select(*tags, F.explode(F.sequence(F.lit(low), F.lit(high - window), F.lit(window))).alias("at")) if high > low else series.select(*tags, F.lit(None).cast("long").alias("at")).limit(0)
-    grid = grid.select(*tags, moment(F.col("at")).alias("bucket"))
+    zoned = df.schema["bucket"].dataType.typeName() == "timestamp"
+    grid = grid.select(*tags, (F.timestamp_seconds("at") if zoned else moment(F.col("at"))).alias("bucket"))
     right = df.select(F.col("bucket").alias("__bucket"), *[F.col(t).alias(f"__{t}") for t in tags], *[c for c in df.columns if c not in (*tags, "bucket")])
     on = F.col("bucket") == F.col("__bucket")
     for t in tags:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import in_range
 from ..spec import MetricTable, Rollup, RollupMeta, fingerprint, seconds
-from .aggregate import apply_filters, bucket_agg, edge, in_time
+from .aggregate import apply_filters, bucket_agg, edge, in_time, quotient, total
 
 NEEDS = {"mean": ("n", "sum"), "sum": ("sum",), "count": ("n",), "min": ("min",), "max": ("max",), "first": ("first",), "last": ("last",)}
 MERGE = {"n": F.sum, "sum": F.sum, "min": F.min, "max": F.max, "first": F.min, "last": F.max}
@@ -28,7 +28,7 @@ def states_of(fns) -> list[str]:
 
 def _state(kind: str, name: str, mt: MetricTable) -> Column:
     value = F.col(name)
-    return {"n": F.count(value), "sum": F.sum(value), "min": F.min(value), "max": F.max(value), "first": F.min(edge(value, mt)), "last": F.max(edge(value, mt))}[kind].alias(f"{name}__{kind}")
+    return {"n": F.count(value), "sum": total(value, mt), "min": F.min(value), "max": F.max(value), "first": F.min(edge(value, mt)), "last": F.max(edge(value, mt))}[kind].alias(f"{name}__{kind}")
 
 
 def _merged(rollup: Rollup, bucket: Column, tags) -> DataFrame:
@@ -95,7 +95,7 @@ def finalize(rollup: Rollup, fns, fields=("*",)) -> DataFrame:
     fields = rollup.meta.fields if list(fields) == ["*"] else fields
     states_of(fns)
     made = {
-        "mean": lambda f: F.col(f"{f}__sum") / F.when(F.col(f"{f}__n") > 0, F.col(f"{f}__n")), "sum": lambda f: F.col(f"{f}__sum"), "count": lambda f: F.col(f"{f}__n"),
+        "mean": lambda f: quotient(F.col(f"{f}__sum"), F.col(f"{f}__n")), "sum": lambda f: F.col(f"{f}__sum").cast("double"), "count": lambda f: F.col(f"{f}__n"),
         "min": lambda f: F.col(f"{f}__min"), "max": lambda f: F.col(f"{f}__max"), "first": lambda f: F.col(f"{f}__first")["v"], "last": lambda f: F.col(f"{f}__last")["v"],
     }
     return rollup.df.select("bucket", *rollup.meta.tags, *[made[fn](f).alias(f"{fn}_{f}") for fn in fns for f in fields])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .jobs import audit, reuse
+from .jobs.serve import serve
 from .jobs.suite import answer_suite, run_query
 from .operators import aggregate as A
 from .operators import gapfill, refresh, series
@@ -15,9 +16,9 @@ from .sources import metrics, store
 from .spec import And, Eq, MetricQuery, MetricTable, Or, resolve_relative
 from .streaming import rollups as S
 
-EVENTS = MetricTable("events", "ts", ("event_type", "user_id"), ("value", "k"), ("event_id",))
-LINEITEM = MetricTable("lineitem", "l_shipdate", ("l_returnflag", "l_linestatus"), ("l_quantity", "l_extendedprice", "l_discount"), ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
-ORDERS = MetricTable("orders", "o_orderdate", ("o_orderstatus", "o_orderpriority"), ("o_totalprice",), ("o_orderkey",))
+EVENTS = MetricTable("events", "ts", ("event_type", "user_id"), ("value", "k"), ("event_id",), places=2)
+LINEITEM = MetricTable("lineitem", "l_shipdate", ("l_returnflag", "l_linestatus"), ("l_quantity", "l_extendedprice", "l_discount"), ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"), places=2)
+ORDERS = MetricTable("orders", "o_orderdate", ("o_orderstatus", "o_orderpriority"), ("o_totalprice",), ("o_orderkey",), places=2)
 
 HOUR, DAY, WEEK = 3600, 86400, 604800
 #: 2024-01-05, 2024-01-12 and 2024-01-20, in epoch seconds.
@@ -40,12 +41,12 @@ def orders(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    """Sums of doubles depend on their order beyond some digits."""
-    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    """Medians and means of means, of which engines differ in the last digit, to six places; sums and means of decimals are exact as they are."""
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" and not c.startswith(("mean_", "sum_")) else F.col(c) for c, t in df.dtypes])
 
 
 EV = "ev AS (SELECT event_id, ts, event_type, CAST(user_id AS VARCHAR) AS user_id, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)"
-SQL_FN = {"mean": "avg({})", "sum": "sum({})", "min": "min({})", "max": "max({})", "count": "count({})", "median": "median({})"}
+SQL_FN = {"mean": "CAST(sum(CAST({0} AS DECIMAL(18, 2))) AS DOUBLE) / nullif(count({0}), 0)", "sum": "CAST(sum(CAST({} AS DECIMAL(18, 2))) AS DOUBLE)", "min": "min({})", "max": "max({})", "count": "count({})", "median": "median({})"}
 
 
 def _bucket(window: int, col: str = "ts") -> str:
@@ -63,7 +64,7 @@ def _measure(fn: str, field: str, mt: MetricTable) -> str:
         body = f"first({field} ORDER BY {order}) FILTER (WHERE {field} IS NOT NULL)"
     else:
         body = SQL_FN[fn].format(field)
-    return f"{body} AS {fn}_{field}" if fn in ("count", "first", "last", "min", "max") else f"round({body}, 6) AS {fn}_{field}"
+    return f"round({body}, 6) AS {fn}_{field}" if fn == "median" else f"{body} AS {fn}_{field}"
 
 
 def agg_sql(mt: MetricTable, window: int, tags, fns, fields, where: str = "TRUE", extra: str = "") -> str:
@@ -290,7 +291,7 @@ def _long(df: DataFrame, name: str) -> DataFrame:
     """An answer as rows (query, bucket, series, measure, value)."""
     measures = [c for c in df.columns if c.startswith("mean_")]
     tags = [c for c in df.columns if c not in (*measures, "bucket")]
-    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.round(m, 6).alias("value")) for m in measures]))
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in measures]))
     return df.select(F.lit(name).alias("query"), "bucket", F.concat_ws("/", *sorted(tags)).alias("series"), cells.alias("c")).select("query", "bucket", "series", "c.*")
 
 
@@ -299,7 +300,7 @@ def _suite_sql() -> str:
     for name, q in SUITE.items():
         where = f"l_returnflag IN ('A', 'N') AND l_shipdate >= {_at(q.start)} AND l_shipdate < {_at(q.end)}"
         for f in q.fields:
-            parts.append(f"SELECT '{name}' AS query, {_bucket(q.window, 'l_shipdate')} AS bucket, concat_ws('/', {', '.join(sorted(q.tags))}) AS series, 'mean_{f}' AS measure, round(avg({f}), 6) AS value FROM lineitem WHERE {where} GROUP BY 2, 3")
+            parts.append(f"SELECT '{name}' AS query, {_bucket(q.window, 'l_shipdate')} AS bucket, concat_ws('/', {', '.join(sorted(q.tags))}) AS series, 'mean_{f}' AS measure, {SQL_FN['mean'].format(f)} AS value FROM lineitem WHERE {where} GROUP BY 2, 3")
     return " UNION ALL ".join(parts)
 
 
@@ -321,7 +322,7 @@ def _events_rollup(spark, d, start=None, end=None, fns=ALL_FNS, window=600):
 @query("rollup_build", agg_sql(EVENTS, 600, EVENTS.tags, ("count", "sum"), EVENTS.fields))
 def rollup_build(spark, d):
     r = _events_rollup(spark, d, fns=("mean",))
-    return rounded(r.df.select("bucket", *EVENTS.tags, *[F.col(f"{f}__n").alias(f"count_{f}") for f in EVENTS.fields], *[F.col(f"{f}__sum").alias(f"sum_{f}") for f in EVENTS.fields]))
+    return rounded(r.df.select("bucket", *EVENTS.tags, *[F.col(f"{f}__n").alias(f"count_{f}") for f in EVENTS.fields], *[F.col(f"{f}__sum").cast("double").alias(f"sum_{f}") for f in EVENTS.fields]))
 
 
 @query("rollup_finalize", agg_sql(EVENTS, 600, EVENTS.tags, ALL_FNS, EVENTS.fields))
@@ -373,7 +374,8 @@ def union_parts(spark, d):
     f"WITH {EV}, a AS (SELECT {_bucket(600)} AS b, event_type, user_id, avg(value) AS m FROM ev GROUP BY ALL), c AS (SELECT b, event_type, avg(m) AS m FROM a GROUP BY ALL) SELECT {_bucket(HOUR, 'b')} AS bucket, event_type, round(avg(m), 6) AS mean_value FROM c GROUP BY ALL",
 )
 def rollup_mean_of_means(spark, d):
-    return rounded(R.answer(_events_rollup(spark, d, fns=("mean",)), "mean", HOUR, ("event_type",), ("value",), combine="values"))
+    out = R.answer(_events_rollup(spark, d, fns=("mean",)), "mean", HOUR, ("event_type",), ("value",), combine="values")
+    return out.withColumn("mean_value", F.round("mean_value", 6))
 
 
 @query("rollup_median_guard", agg_sql(EVENTS, DAY, ("event_type",), ("median",), ("value",), RANGE))
@@ -383,11 +385,11 @@ def rollup_median_guard(spark, d):
 
 @query(
     "rollup_all_subsets",
-    f"WITH {EV} SELECT {_bucket(DAY)} AS bucket, event_type, user_id, CAST(2 * grouping(event_type) + grouping(user_id) AS BIGINT) AS grouping, count(value) AS n, round(sum(value), 6) AS s FROM ev GROUP BY GROUPING SETS ((1), (1, event_type), (1, user_id), (1, event_type, user_id))".replace("(1", f"({_bucket(DAY)}"),
+    f"WITH {EV} SELECT {_bucket(DAY)} AS bucket, event_type, user_id, CAST(2 * grouping(event_type) + grouping(user_id) AS BIGINT) AS grouping, count(value) AS n, CAST(sum(CAST(value AS DECIMAL( 18, 2))) AS DOUBLE) AS s FROM ev GROUP BY GROUPING SETS ((1), (1, event_type), (1, user_id), (1, event_type, user_id))".replace("(1", f"({_bucket(DAY)}"),
 )
 def rollup_all_subsets(spark, d):
     out = R.rollup_lattice(R.downsample(_events_rollup(spark, d, fns=("mean",)), DAY), EVENTS.tags)
-    return rounded(out.select("bucket", *EVENTS.tags, "grouping", F.col("value__n").alias("n"), F.col("value__sum").alias("s")))
+    return out.select("bucket", *EVENTS.tags, "grouping", F.col("value__n").alias("n"), F.col("value__sum").cast("double").alias("s"))
 
 
 # ---- refresh -------------------------------------------------------------------------------------------------
@@ -423,6 +425,50 @@ def delta_at_rollup_grain(spark, d):
     return rounded(R.finalize(refresh.delta_for(r, e, T1, T2), ("mean", "max")))
 
 
+# ---- answers from a folder of rollups ---------------------------------------------------------------------------
+
+
+def _served(spark, d, stored, asked):
+    """Stores a rollup for each of ``stored`` (window, tags, start, end), then serves a daily mean and checks how it came about."""
+    root, e = store.shared_folder(spark, "store"), events(spark, d)
+    for window, tags, start, end in stored:
+        r = R.build_rollup(e, EVENTS, window, tags, [BOTH], ("mean", "max"), start, end)
+        store.save_rollup(r, store.place(root, r.meta))
+    got = serve(root, e, EVENTS, MetricQuery("events", ("value",), "mean", DAY, ("event_type",), (BOTH,), T0, T2))
+    if got.kind != asked:
+        raise AssertionError(f"{got.kind}, not {asked}")
+    return got.df
+
+
+_SERVED = agg_sql(EVENTS, DAY, ("event_type",), ("mean",), ("value",), f"{IN} AND {RANGE}")
+
+
+@query("serve_hit", _SERVED)
+def serve_hit(spark, d):
+    """Of two stored rollups the coarser one is taken; no raw point is read."""
+    return _served(spark, d, [(600, EVENTS.tags, T0 - DAY, T2), (HOUR, EVENTS.tags, T0, T2 + DAY)], "hit")
+
+
+@query("serve_extend", _SERVED)
+def serve_extend(spark, d):
+    """A rollup that lacks both ends, one of them from inside a bucket, is extended on disk."""
+    return _served(spark, d, [(HOUR, EVENTS.tags, T0 + DAY + 1800, T1 + 5 * HOUR + 900)], "extend")
+
+
+@query("serve_miss", _SERVED)
+def serve_miss(spark, d):
+    """What is stored has a window that does not divide the asked one: a new rollup is built and stored."""
+    return _served(spark, d, [(HOUR * 7, EVENTS.tags, T0, T2)], "miss")
+
+
+@query("save_part", agg_sql(EVENTS, HOUR, EVENTS.tags, ("mean", "count"), ("value", "k")))
+def save_part(spark, d):
+    """A part that starts and ends inside days is stored over the whole: nothing else of those days is lost."""
+    path = _saved(spark, d)
+    store.save_rollup(R.build_rollup(events(spark, d), EVENTS, HOUR, EVENTS.tags, start=T1 + 13 * HOUR, end=T2 + 5 * HOUR + 60), path)
+    return rounded(R.finalize(store.load_rollup(spark, path, EVENTS), ("mean", "count")))
+
+
 # ---- series --------------------------------------------------------------------------------------------------------
 
 
@@ -541,8 +587,9 @@ _CAT = """cat AS (SELECT CAST(n * 2 + v AS BIGINT) AS rollup_id, fingerprint, CA
     CAST(1700000000 + 600 * (6 + 4 * v) AS BIGINT) AS r_start, CAST(1700000000 + 600 * (40 + 8 * v) AS BIGINT) AS r_end FROM (SELECT fingerprint, row_number() OVER (ORDER BY fingerprint) AS n FROM (SELECT DISTINCT fingerprint FROM keyed)), (VALUES (0), (1)) t(v))"""
 
 
-def _keyed(spark, d):
-    return reuse.exact_query_key(reuse.query_fingerprint(reuse.parse_query_log(query_log(spark, d))))
+def _keyed(spark, d, exact: bool = False):
+    log = reuse.query_fingerprint(reuse.parse_query_log(query_log(spark, d)))
+    return reuse.exact_query_key(log) if exact else log
 
 
 def catalog(log: DataFrame) -> DataFrame:
@@ -576,7 +623,7 @@ def query_fingerprint(spark, d):
 
 @query("exact_query_key", f"WITH {_LOG} SELECT query_id, exact_key FROM keyed")
 def exact_query_key(spark, d):
-    return _keyed(spark, d).select("query_id", "exact_key")
+    return _keyed(spark, d, exact=True).select("query_id", "exact_key")
 
 
 _MATCH = """matched AS (SELECT keyed.*, cat.* EXCLUDE (fingerprint) FROM keyed JOIN cat USING (fingerprint) WHERE list_has_all(r_tags, tags) AND window_s % r_window = 0 AND (agg_fn <> 'median' OR (list_sort(tags) = list_sort(r_tags) AND window_s = r_window)))"""
@@ -586,7 +633,11 @@ _CLASS = """classed AS (SELECT *, CASE WHEN kind = 'hit' THEN NULL WHEN kind = '
 
 
 def _matched(spark, d):
-    log = _keyed(spark, d)
+    """The parsed log, written once: matching reads it for its keys, its shapes and its rows."""
+    log = _keyed(spark, d).select("query_id", *reuse.SHAPE, "q_start", "q_end")
+    path = store.shared_folder(spark, "log")
+    log.write.parquet(path)
+    log = spark.read.schema(log.schema).parquet(path)
     return reuse.reuse_match(log, catalog(log))
 
 
@@ -654,7 +705,8 @@ def trace_collate(spark, d):
     maps = per.groupBy("user_id", "p").agg(F.map_from_entries(F.collect_list(F.struct("event_type", "s"))).alias("m"))
     found = maps.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("p", "m"))).alias("by"))
     traces = found.select(F.transform(F.array(*[F.lit(i).cast("long") for i in range(4)]), lambda i: F.coalesce(F.col("by")[i], F.create_map().cast("map<string,double>"))).alias("traces"))
-    return rounded(audit.trace_collate(traces))
+    out = audit.trace_collate(traces)
+    return out.withColumn("mean_s", F.round("mean_s", 6)).withColumn("median_s", F.round("median_s", 6))
 
 
 @query("latency_compare", "WITH r AS (SELECT event_type AS query, CASE WHEN event_id % 2 = 0 THEN 'raw' ELSE 'cached' END AS mode, value AS s FROM events), m AS (SELECT query, median(s) FILTER (WHERE mode = 'raw') AS raw_s, median(s) FILTER (WHERE mode = 'cached') AS cached_s FROM r GROUP BY 1) SELECT query, round(raw_s, 6) AS raw_s, round(cached_s, 6) AS cached_s, round(1 - cached_s / raw_s, 6) AS saved FROM m")

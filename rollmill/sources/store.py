@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import tempfile
 import uuid
-from dataclasses import asdict
+from dataclasses import asdict, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..spec import MetricTable, Rollup, RollupMeta
+from ..functions.columns import in_range, moment
+from ..spec import MetricTable, Rollup, RollupMeta, filter_from
 
 CATALOG = "table string, agg_fn string, filter_key string, group_keys array<string>, window_s bigint, range_start bigint, range_end bigint"
 
@@ -36,24 +38,129 @@ def catalog_row(spark: SparkSession, meta: RollupMeta) -> DataFrame:
 
 def period(window: int):
     """The partition of a bucket: its day, or its year where windows are of a day or more (a few files each, not one per bucket)."""
-    return F.date_format("bucket", "yyyy-MM-dd" if window < 86400 else "yyyy")
+    return F.date_format("bucket", _pattern(window))
+
+
+def _pattern(window: int) -> str:
+    return "yyyy-MM-dd" if window < 86400 else "yyyy"
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return found is not None and len(found) > 0
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _meta(text: str) -> RollupMeta:
+    return RollupMeta(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(text).items()})
+
+
+def _replaced(old: RollupMeta, new: RollupMeta) -> tuple[int | None, int | None]:
+    """The buckets [low, high) that ``new`` replaces in ``old``: all of its range but for a partial bucket at an edge, which stays as ``old`` has it in whole."""
+    same = [old.table, old.window, sorted(old.tags), old.fns, old.fields, old.filter_key] == [new.table, new.window, sorted(new.tags), new.fns, new.fields, new.filter_key]
+    if not same:
+        raise ValueError("the stored rollup is of another shape")
+    if (new.start is not None and old.end is not None and new.start > old.end) or (new.end is not None and old.start is not None and new.end < old.start):
+        raise ValueError("between the stored range and the new one is a gap")
+    w, low, high = new.window, new.start, new.end
+    if low is not None and low % w:
+        whole = (old.start is None or old.start <= low // w * w) and (old.end is None or old.end >= low // w * w + w)
+        if not whole and (old.start is None or old.start < low):
+            raise ValueError(f"the bucket of the start {low} is partial, here and in the store")
+        low = low // w * w + (w if whole else 0)
+    if high is not None and high % w:
+        whole = (old.end is None or old.end >= high // w * w + w) and (old.start is None or old.start <= high // w * w)
+        if not whole and (old.end is None or old.end > high):
+            raise ValueError(f"the bucket of the end {high} is partial, here and in the store")
+        high = high // w * w + (0 if whole else w)
+    return low, high
 
 
 def save_rollup(rollup: Rollup, path: str) -> None:
-    """Writes the periods (days or years, see ``period``) that the rollup touches and replaces just these, as a whole; its catalog row replaces the old one.
+    """Stores a rollup; what is stored already is kept outside its range and replaced inside.
 
-    ``rollup`` may not be read lazily from ``path`` itself: materialise it first.
+    Only the periods (days or years, see ``period``) that the range touches are written. In these the stored buckets outside the range
+    are merged in. The stored range becomes the hull of both, which must touch. A bucket that is partial at an edge of
+    the new range stays as stored if the store has it in whole. ``rollup`` may be one that was loaded from ``path`` and extended.
     """
-    spark = rollup.df.sparkSession
-    dated = rollup.df.withColumn("date", period(rollup.meta.window))
+    spark, meta, df = rollup.df.sparkSession, rollup.meta, rollup.df
+    gone: set[str] = set()
+    if _exists(spark, f"{path}/catalog"):
+        old = load_rollup(spark, path, rollup.mt, rollup.filters)
+        low, high = _replaced(old.meta, meta)
+        df = df.where(in_range("bucket", low, high, zoned=_zoned(df)))
+        first, last = [None if x is None else F.date_format(moment(x), _pattern(meta.window)) for x in (meta.start, meta.end)]
+        near = F.lit(True) if first is None else F.col("date") >= first
+        near = near if last is None else near & (F.col("date") <= last)
+        dated = _read(spark, path).where(near)
+        # periods of the range are few: one a day or year
+        before = {r.date for r in dated.select("date").distinct().collect()}
+        outside = F.lit(False)
+        if low is not None:
+            outside = outside | in_range("bucket", None, low, zoned=_zoned(df))
+        if high is not None:
+            outside = outside | in_range("bucket", high, None, zoned=_zoned(df))
+        df = df.unionByName(dated.where(outside).drop("date"))
+        hull = lambda x, y, least: None if x is None or y is None else least(x, y)
+        meta = replace(meta, start=hull(old.meta.start, meta.start, min), end=hull(old.meta.end, meta.end, max))
+        gone = before
+    dated = df.withColumn("date", period(meta.window))
+    # the files are staged first: what is read from the same folder is read before it is replaced
+    seen = Observation()
+    dated = dated.observe(seen, F.collect_set("date").alias("dates"))
     dated.repartition("date").sortWithinPartitions("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(f"{path}/data")
-    stored = [F.lit(json.dumps(asdict(rollup.meta))).alias("meta"), F.lit(dated.schema.json()).alias("schema")]
-    catalog_row(spark, rollup.meta).select("*", *stored).coalesce(1).write.mode("overwrite").parquet(f"{path}/catalog")
+    for date in gone - set(seen.get["dates"]):  # nothing is left of these
+        _delete(spark, f"{path}/data/date={date}")
+    stored = [F.lit(json.dumps(asdict(meta))).alias("meta"), F.lit(dated.drop("date").schema.json()).alias("schema"), F.lit(json.dumps([f.document() for f in rollup.filters])).alias("filters")]
+    catalog_row(spark, meta).select("*", *stored).coalesce(1).write.mode("overwrite").parquet(f"{path}/catalog")
+
+
+def _zoned(df: DataFrame) -> bool:
+    return df.schema["bucket"].dataType.typeName() == "timestamp"
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame:
+    row = spark.read.schema("schema string").parquet(f"{path}/catalog").first()
+    schema = T.StructType.fromJson(json.loads(row["schema"])).add("date", T.StringType())
+    return spark.read.schema(schema).parquet(f"{path}/data")
 
 
 def load_rollup(spark: SparkSession, path: str, mt: MetricTable, filters=()) -> Rollup:
     """A stored rollup, with the schema its catalog names; filters on ``bucket`` prune row groups, on ``date`` partitions."""
-    row = spark.read.schema("meta string, schema string").parquet(f"{path}/catalog").first()
-    meta = RollupMeta(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(row["meta"]).items()})
-    schema = T.StructType.fromJson(json.loads(row["schema"]))
-    return Rollup(spark.read.schema(schema).parquet(f"{path}/data").drop("date"), mt, meta, tuple(filters))
+    row = spark.read.schema("meta string, filters string").parquet(f"{path}/catalog").first()
+    filters = tuple(filters) or tuple(filter_from(f) for f in json.loads(row["filters"]))
+    return Rollup(_read(spark, path).drop("date"), mt, _meta(row["meta"]), filters)
+
+
+# ---- a folder of several rollups ------------------------------------------------------------------
+
+
+def place(root: str, meta: RollupMeta) -> str:
+    """The folder of a rollup below ``root``: by table, functions, filters, tags, fields and window, not by range."""
+    key = json.dumps([meta.table, sorted(meta.fns), meta.filter_key, sorted(meta.tags), sorted(meta.fields), meta.window])
+    return f"{root}/{hashlib.sha256(key.encode()).hexdigest()[:24]}"
+
+
+def catalog(spark: SparkSession, root: str) -> DataFrame:
+    """One row per rollup below ``root`` with its ``path``; none where nothing is stored."""
+    kinds = f"{CATALOG}, meta string"
+    if not _exists(spark, f"{root}/*/catalog/*.parquet"):
+        return spark.createDataFrame([], f"{kinds}, path string")
+    rows = spark.read.schema(kinds).parquet(f"{root}/*/catalog")
+    return rows.withColumn("path", F.regexp_replace(F.col("_metadata.file_path"), "/catalog/[^/]*$", ""))
+
+
+def find_rollups(spark: SparkSession, root: str, table: str, filter_key: str) -> list[tuple[str, RollupMeta]]:
+    """Path and metadata of the stored rollups of a table and filter set: as many as were stored for it, whatever the data."""
+    rows = catalog(spark, root).where((F.col("table") == table) & (F.col("filter_key") == filter_key))
+    return [(r.path, _meta(r.meta)) for r in rows.select("path", "meta").collect()]
+
+
+def clear(spark: SparkSession, root: str) -> None:
+    """Forgets all rollups below ``root``."""
+    _delete(spark, root)

@@ -29,13 +29,18 @@ def seconds(duration: str | int) -> int:
 
 @dataclass(frozen=True)
 class MetricTable:
-    """A table of points: a time, string tags, float fields and columns that settle ties in time."""
+    """A table of points: a time, string tags, float fields and columns that settle ties in time.
+
+    ``places`` declares that the fields are decimal numbers with so many places, below 10^(18 - places): their sums and means are then
+    exact, so that they do not depend on the order of adding. Values that are no such numbers are rounded to the places; NaN and infinities are errors.
+    """
 
     name: str
     time: str
     tags: tuple[str, ...]
     fields: tuple[str, ...]
     ties: tuple[str, ...] = ()
+    places: int | None = None
 
     def check(self, df: DataFrame) -> DataFrame:
         missing = [c for c in (self.time, *self.tags, *self.fields, *self.ties) if c not in df.columns]
@@ -70,6 +75,9 @@ class Eq:
     def canonical(self) -> str:
         return f"{self.key}={self.value}"
 
+    def document(self) -> dict:
+        return {"type": "raw", "key": self.key, "value": self.value}
+
 
 @dataclass(frozen=True)
 class _Tree:
@@ -81,6 +89,9 @@ class _Tree:
     def canonical(self) -> str:
         return f"{self.kind}({','.join(sorted(n.canonical() for n in self.nodes))})"
 
+    def document(self) -> dict:
+        return {"type": self.kind, "filter": [n.document() for n in self.nodes]}
+
 
 @dataclass(frozen=True, init=False)
 class Or(_Tree):

@@ -149,7 +149,7 @@ def test_saved_rollups_replace_only_touched_dates(spark, points, tmp_path):
     both = points.unionByName(more)
     path = str(tmp_path / "r")
     store.save_rollup(R.build_rollup(both, MT, 60, MT.tags), path)
-    store.save_rollup(R.build_rollup(more.where("host = 'h1'"), MT, 60, MT.tags), path)
+    store.save_rollup(R.build_rollup(more.where("host = 'h1'"), MT, 60, MT.tags, start=86400, end=2 * 86400), path)
     same(R.finalize(store.load_rollup(spark, path, MT), ("mean",)), A.bucket_agg(points.unionByName(more.where("host = 'h1'")), MT, 60, MT.tags))
 
 
