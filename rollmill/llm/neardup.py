@@ -2,8 +2,8 @@
 
 Min-hash bands route shingle sets: two sets meet under a key if all hashes of one of their bands agree. Under a key the
 Gray-order index of ``simhash`` proposes a spanning forest of pairs, which are checked exactly. Where a key then
-still holds more than one group, all pairs across groups are checked as well, so that every
-two sets that meet are in one group or known to be less similar; pairs inside a group are never listed.
+still holds more than one group, the sets themselves go to tasks of two blocks of the key each, which compare all pairs across
+groups and return a spanning forest of the links. So every two sets that meet are in one group or known to be less similar, and pairs are never listed.
 
 Sets of similarity 0.8 miss each other in all bands with a chance of ``(1 - 0.8 ** ROWS) ** BANDS``, 6e-5, more similar ones with less.
 """
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import materialize
+from .common import materialize, with_hash_in
 from .components import connected_components
 
 SHINGLE = 5
@@ -26,6 +26,10 @@ NUM, DEN = 4, 5
 BANDS, ROWS = 32, 6
 #: Bits in which fingerprints that the index proposes may differ; pairs beyond are left to the second check.
 RADIUS = 20
+#: Sets, and hashes in them, that one block of a key holds about.
+BLOCK, BLOCK_HASHES = 1024, 1_000_000
+#: Columns of the matrix in which a task counts what sets have in common, and the pairs that are cheaper to count one by one.
+COLUMNS, FEW = 8192, 4096
 
 _FACTORS = (np.random.default_rng(42).integers(0, 1 << 31, BANDS * ROWS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 
@@ -109,6 +113,77 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["node", "hashes"])
 
 
+def _common(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many hashes the sets a[i] and b[i] share."""
+    if len(a) <= FEW:
+        return np.array([len(np.intersect1d(sets[i], sets[j], assume_unique=True)) for i, j in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    rows, column = rows[shared], np.unique(column[shared], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    counts = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        i, j = np.searchsorted(column, (at, at + COLUMNS))
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[rows[i:j], column[i:j] - at] = 1
+        counts += part @ part.T
+    return counts[a, b].astype(np.int64)
+
+
+def cross_links(sets: list[np.ndarray], roots: np.ndarray, bands: np.ndarray, band: int, side: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the near copies among the sets of one key that are in different groups; pairs that an earlier band has met are left to it.
+
+    With two sides only pairs between them are compared.
+    """
+    size = np.array([len(s) for s in sets])
+    i, j = np.triu_indices(len(sets), 1) if not side.any() else (x.ravel() for x in np.meshgrid(np.flatnonzero(side == 0), np.flatnonzero(side == 1), indexing="ij"))
+    keep = (roots[i] != roots[j]) & (NUM * np.maximum(size[i], size[j]) <= DEN * np.minimum(size[i], size[j]))
+    i, j = i[keep], j[keep]
+    for k in range(band):
+        keep = bands[i, k] != bands[j, k]
+        i, j = i[keep], j[keep]
+    both = _common(sets, i, j)
+    near = DEN * both >= NUM * (size[i] + size[j] - both)
+    i, j = i[near], j[near]
+    used = simhash.Forest(len(sets)).join(i, j)
+    return i[used], j[used]
+
+
+def _across(batches):
+    """Rows in runs of a task; yields links between nodes."""
+    held: list[pa.RecordBatch] = []
+
+    def solve(table):
+        task = table.column("task").to_numpy()
+        starts = np.concatenate(([0], np.flatnonzero(task[1:] != task[:-1]) + 1, [len(task)]))
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+            if e - s < 2:
+                continue
+            part = table.slice(s, e - s).combine_chunks()
+            node, root, band, side = (part.column(c).to_numpy() for c in ("node", "root", "band", "side"))
+            sets = [x.values.to_numpy() for x in part.column("hashes")]
+            bands = np.stack([x.values.to_numpy() for x in part.column("bands")])
+            a, b = cross_links(sets, root, bands, int(band[0]), side)
+            out_a.append(node[a])
+            out_b.append(node[b])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (out_a, out_b)], names=["a", "b"])
+
+    for batch in batches:
+        held.append(batch)
+        task = batch.column(batch.schema.get_field_index("task")).to_numpy()
+        if len(task) and task[0] != task[-1]:  # a run is whole once the next begins
+            table = pa.Table.from_batches(held)
+            task = table.column("task").to_numpy()
+            cut = int(np.flatnonzero(task != task[-1])[-1]) + 1
+            yield solve(table.slice(0, cut))
+            held = table.slice(cut).to_batches()
+    if held:
+        yield solve(pa.Table.from_batches(held))
+
+
 def _fits(n: Column, m: Column) -> Column:
     """Whether sets of such sizes can be near copies at all."""
     return NUM * F.greatest(n, m) <= DEN * F.least(n, m)
@@ -131,30 +206,32 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Documents are linked where their sets are equal (so blank and null texts are one group) or at least 0.8 similar.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(text_col).alias("__text"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("th"), F.col(text_col).alias("__text"))
     schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, th long, node long, fp long, n long, bands array<long>"
     sketches = materialize(rows.mapInArrow(_sketches, schema), "sketches")
     first = F.min(F.struct("th", F.col("doc_id").isNull().alias("z"), "doc_id")).alias("first")
     nodes = sketches.groupBy("node").agg(F.any_value("fp").alias("fp"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), first)
     nodes = materialize(nodes, "nodes")
-    met = nodes.select(F.explode("bands").alias("key"), "fp", "node", "n")
+    met = nodes.select(F.posexplode("bands").alias("band", "key"), "fp", "node", "n")
     shared = met.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
     met = materialize(met.join(shared, "key"), "met")  # of a key with one set nothing comes
     runs = met.select("key", "fp", "node").repartition("key").sortWithinPartitions("key")
     sizes = nodes.select("node", "n")
     fitting = lambda pairs: pairs.join(sizes.toDF("a", "n"), "a").join(sizes.toDF("b", "m"), "b").where(_fits(F.col("n"), F.col("m"))).select("a", "b")
     proposed = materialize(fitting(runs.mapInArrow(lambda it: _proposed(it, radius), "a long, b long").distinct()), "proposed")
-    named = nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "first.*")
-    own = rows.join(named.select("node", F.col("th").alias("__th"), F.col("doc_id").alias("__id")), (F.col("th") == F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__id")))
+    named = materialize(nodes.join(met.select("node").distinct(), "node", "left_semi").select("node", "first.*"), "named")
+    own = with_hash_in(rows, named).join(named.select("node", F.col("th").alias("__th"), F.col("doc_id").alias("__id")), (F.col("th") == F.col("__th")) & F.col("doc_id").eqNullSafe(F.col("__id")))
     sets = materialize(own.select("node", "__text").mapInArrow(_sets, "node long, hashes array<long>").dropDuplicates(["node"]), "sets")
     links = materialize(_checked(proposed, sets), "links")
     # where a key still holds several groups, the pairs across them
-    labelled = materialize(_labelled(met, links), "labelled")
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    open_ = labelled.join(mixed, "key").select("key", "node", "n", "root")
-    left, right = open_.toDF("key", "p", "n", "r"), open_.toDF("key", "q", "m", "s")
-    across = left.join(right, "key").where((F.col("r") < F.col("s")) & _fits(F.col("n"), F.col("m")))
-    across = across.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b")).distinct()
-    across = materialize(across.join(proposed, ["a", "b"], "left_anti"), "across")
-    links = links.unionByName(_checked(across, sets))
+    labelled = materialize(_labelled(met.select("key", "band", "node", "n"), links), "labelled")
+    keys = labelled.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("c"), F.sum("n").alias("hashes")).where("lo <> hi")
+    blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("hashes") / BLOCK_HASHES)).cast("int")
+    placed = labelled.join(keys.select("key", blocks.alias("blocks")), "key").withColumn("at", F.pmod(F.xxhash64("node", F.lit("block")), F.col("blocks")).cast("int"))
+    # pairs (i, j) of blocks with i <= j: a set of block x is on the first side of (x, j) and on the second of (i, x)
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least("at", x).alias("i"), F.greatest("at", x).alias("j"), F.when(x >= F.col("at"), 0).otherwise(1).alias("side")))
+    placed = placed.select("node", "root", "band", "key", F.inline(pairs)).withColumn("task", F.xxhash64("key", "i", "j"))
+    full = placed.join(sets, "node").join(nodes.select("node", "bands"), "node").select("task", "band", "side", "node", "root", "hashes", "bands")
+    found = full.repartition("task").sortWithinPartitions("task").mapInArrow(_across, "a long, b long")
+    links = links.unionByName(materialize(found.distinct(), "across"))
     return _labelled(sketches.select("doc_id", "th", "node"), links)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import linededup, mixing, neardup, packing, quality, simhash
-from .common import materialize
+from .common import hash_filter, keyed_join, materialize
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,12 +30,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _first_of_groups(docs: DataFrame, grouped: DataFrame) -> DataFrame:
-    """The row with the smallest id of every ``root`` of ``grouped (doc_id, th, root)``."""
-    keyed = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__id"), F.xxhash64("text").alias("__th"))
+    """The row with the smallest id of every ``root`` of ``grouped (doc_id, th, root)``.
+
+    Groups are decided on ids and hashes of texts; only texts whose hash may be in a group of several rows are shuffled.
+    """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "th"))
-    stay = grouped.groupBy("root").agg(first.alias("first")).select(F.col("first.doc_id").alias("__kid"), F.col("first.th").alias("__kth"))
-    kept = keyed.join(stay, F.col("__id").eqNullSafe(F.col("__kid")) & (F.col("__th") == F.col("__kth")))
-    return kept.dropDuplicates(["__id", "__th"]).select("__row.*")
+    several = materialize(grouped.groupBy("root").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"), "several")
+    members = keyed_join(grouped, several, ["root"], "n", ("th", "doc_id"))
+    gone = members.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")))).select("doc_id", "th").distinct()
+    keyed = docs.select(F.struct("*").alias("__row"), F.col("doc_id").alias("__id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("th"))
+    passing = hash_filter(members)
+    gone = gone.select(F.col("doc_id").alias("__gid"), F.col("th").alias("__gth"))
+    near = passing(keyed).join(gone, F.col("__id").eqNullSafe(F.col("__gid")) & (F.col("th") == F.col("__gth")), "left_anti")
+    return near.dropDuplicates(["__id", "th"]).select("__row.*").unionByName(passing(keyed, inside=False).select("__row.*"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

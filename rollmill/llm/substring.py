@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed_join, materialize
+from .common import keyed_join, materialize, with_hash_in
 from .suffixes import repeated_starts
 
 
@@ -63,8 +63,6 @@ SYMBOLS = 60_000
 MAX_TASKS = 50_000
 #: Bytes hashed at a time; a longer text is worked through in overlapping parts.
 PART = 1 << 22
-#: Bits of the filter that keeps untouched texts out of the shuffle: at most 2 MB, whatever the data.
-FILTER_BITS = 1 << 24
 
 _A = 0x9E3779B97F4A7C15
 _SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\f\r"))
@@ -315,25 +313,12 @@ def _ranged_repeats(ranges: DataFrame, unit: Unit) -> DataFrame:
     return out
 
 
-def _cut(batches, flagged: bytes):
-    """Lets pass the texts whose keys' bits are set."""
-    bits = np.frombuffer(flagged, np.uint8)
-    for batch in batches:
-        key = batch.column(1).to_numpy().view(np.uint64) % np.uint64(8 * len(bits))
-        yield batch.filter(pa.array((bits[key >> np.uint64(3)] >> (key & np.uint64(7)).astype(np.uint8) & 1).astype(bool)))
-
-
 def _texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """Texts joined to the rows of ``wanted (doc_id, th, ...)``; others are kept out of the shuffle as far as a filter of bounded size tells.
 
     Of rows that repeat id and text one stands for all, so that they do not meet each other.
     """
-    bit = F.col("th").bitwiseAND(F.lit(FILTER_BITS - 1))
-    words = wanted.select(bit.alias("bit")).groupBy(F.shiftright("bit", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 31 as int))")).alias("m")).toPandas()
-    flags = np.zeros(FILTER_BITS // 32, np.uint32)
-    flags[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64).astype(np.uint32)
-    data = flags.astype("<u4").tobytes()
-    kept = docs.mapInArrow(lambda it: _cut(it, data), docs.schema)
+    kept = with_hash_in(docs, wanted)
     kept = kept.groupBy(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).agg(F.first("text").alias("text"))
     return wanted.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th"))).drop("__id", "__th")
 

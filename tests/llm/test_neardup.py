@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 
 from rollmill.llm import neardup, stages
+from rollmill.llm.simhash import Forest
 
 
 def shingles(text):
@@ -51,3 +53,25 @@ def test_the_pipeline_removes_near_copies_of_the_table(spark):
     stage = dict(stages.STAGES)["near dedup"]
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert sorted(r.doc_id for r in stage(spark, docs, "").collect()) == kept_by_hand(rows)
+
+
+@pytest.mark.parametrize(("few", "columns"), [(10**6, 8192), (0, 7), (0, 8192)])
+def test_cross_links_connect_what_all_pairs_connect(monkeypatch, few, columns):
+    monkeypatch.setattr(neardup, "FEW", few)
+    monkeypatch.setattr(neardup, "COLUMNS", columns)
+    rng = np.random.default_rng(5)
+    base = [np.arange(100 * k, 100 * k + 40) for k in range(4)]
+    sets = [np.unique(np.where(rng.random(40) < 0.06, rng.integers(10**6, 2 * 10**6, 40), base[i % 4])) for i in range(60)]
+    roots, bands = np.arange(60) // 2, rng.integers(0, 3, (60, 4))
+    for band in (0, 2):
+        for side in (np.zeros(60, int), np.arange(60) % 2):
+            pairs = [(i, j) for i in range(60) for j in range(i) if roots[i] != roots[j] and (not side.any() or side[i] != side[j]) and not (bands[i, :band] == bands[j, :band]).any()]
+            near = [(i, j) for i, j in pairs if 5 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j]))]
+            want, got = Forest(60), Forest(60)
+            for i, j in near:
+                want.join(np.array([i]), np.array([j]))
+            a, b = neardup.cross_links(sets, roots, bands, band, side)
+            got.join(a, b)
+            assert near and {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist())} <= {tuple(sorted(p)) for p in near}
+            same = lambda f: [[f.find(np.array([i]))[0] == f.find(np.array([j]))[0] for j in range(60)] for i in range(60)]
+            assert same(want) == same(got)
