@@ -72,7 +72,8 @@ def virtual_times(sized: DataFrame, targets: DataFrame, max_epochs: int = MAX_EP
     joined = sized.join(targets.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")), "left")
     epochs = F.greatest(F.lit(1), F.least(F.lit(max_epochs), F.ceil(F.try_divide(F.col("target"), F.col("source_size"))))).cast("int")
     rows = joined.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.coalesce(epochs, F.lit(1)) - 1)))
-    rows = rows.withColumn("ticket", ticket(F.col("doc_id"), F.col("epoch")))
+    # documents without an id go by their number, or all would meet in one group
+    rows = rows.withColumn("ticket", ticket(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.col("row").cast("string"))), F.col("epoch")))
     rows = rows.withColumn("__g", _share(F.col("ticket"), F.ceil(F.col("docs") / GROUP_ROWS)))
     rows = rows.withColumn("__source", F.coalesce(F.col("source"), F.lit(""))).withColumn("__null", F.col("source").isNull())
     keys = ["__source", "__null", "epoch", "__g"]

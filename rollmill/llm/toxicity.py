@@ -139,7 +139,10 @@ def _known(batches, numbers: dict[str, int]):
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Model:
-    """Fits on at most ``max_rows`` labelled rows of each class that are not held out, chosen by a hash of the id."""
+    """Fits on at most ``max_rows`` labelled rows of each class that are not held out, chosen by a hash of the id.
+
+    Of rows that repeat an id the least text counts; null texts have no features. Without usable labels the score is constant.
+    """
     usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     usable = usable.select("doc_id", F.col("toxic").cast("long").alias("toxic")).distinct()
     totals = {r.toxic: r["count"] for r in usable.groupBy("toxic").count().collect()}
@@ -148,7 +151,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
         one = usable.where(F.col("toxic") == label).orderBy(F.md5(F.col("doc_id").cast("string").cast("binary"))).limit(max_rows)
         pick = one if pick is None else pick.unionByName(one)
     # the sample's ids are bounded by max_rows, so they may be broadcast; the texts stay where they lie
-    chosen = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id").select("text", "toxic").persist()
+    chosen = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id")
+    # rows that repeat a labelled id count once, by their least text: the sample is bounded by its rows, too
+    chosen = chosen.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic").persist()
     try:
         used = {r.toxic: r["count"] for r in chosen.groupBy("toxic").count().collect()}
         n1, n0 = max(1, used.get(1, 0)), max(1, used.get(0, 0))

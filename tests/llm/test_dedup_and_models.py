@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -177,6 +178,60 @@ def test_scores_of_hard_rows(spark):
     assert 0 <= toxicity.train(docs, one).score("idiot") <= 1
 
 
+def test_rows_that_repeat_an_id_count_once(spark):
+    rows = [(i, ("vile " if i % 3 == 0 else "kind ") + f"w{i % 7}") for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    again = docs.unionByName(spark.createDataFrame([(7, "kind w0 zzz"), (7, None)] * 50, docs.schema))
+    one, two = toxicity.train(docs, labels), toxicity.train(again, labels)
+    assert one.weights == two.weights and one.bias == two.bias
+
+
+def score_by_hand(model, text):
+    """The score from the weights one by one, by the definition of the features."""
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    names = {"w:" + w for w in words} | {"b:" + w[:n] for w in words for n in (4, 5, 6, 7) if len(w) > n}
+    z = model.bias + sum(model.weights.get(n, 0.0) for n in names)
+    return 1 / (1 + np.exp(-min(30.0, max(-30.0, z))))
+
+
+def fit_by_hand(x, y, weight, gaps, ridge, counterfactual):
+    """The least value of the loss with its two penalties, by plain gradient steps on dense matrices."""
+    w, b = np.zeros(x.shape[1]), 0.0
+    for _ in range(60_000):
+        g = weight * (1 / (1 + np.exp(-(x @ w + b))) - y)
+        w -= 0.3 * (x.T @ g + ridge * w + 2 * counterfactual / max(1, len(gaps)) * gaps.T @ (gaps @ w))
+        b -= 0.3 * g.sum()
+    return w, b
+
+
+def test_the_fit_is_the_least_loss_with_the_counterfactual_penalty():
+    rng = np.random.default_rng(3)
+    x = (rng.random((120, 6)) < 0.4).astype(float)
+    y = ((x[:, 0] + x[:, 1] + rng.random(120)) > 1.2).astype(float)
+    gaps = np.zeros((20, 6))
+    gaps[:, 1], gaps[:, 2] = 1, -1  # terms 1 and 2 stand for one another
+    rows = [(int(t), 1.0, np.flatnonzero(r).tolist()) for t, r in zip(y, x, strict=True)]
+    swaps = [([1], [2])] * 20
+    names = list("abcdef")
+    for counterfactual in (0.0, 1.0):
+        got = toxicity.fit(rows, swaps, names, ridge=0.02, counterfactual=counterfactual, steps=4000)
+        w, b = fit_by_hand(x, y, np.full(120, 1 / 120), gaps, 0.02, counterfactual)
+        assert np.allclose([got.weights.get(n, 0.0) for n in names], w, atol=0.02) and abs(got.bias - b) < 0.02
+    assert abs(got.weights["b"] - got.weights["c"]) < 0.15
+
+
+def test_scores_of_the_tables_by_hand(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    rows = toxicity.score(docs, model).join(docs.select("doc_id", "text"), "doc_id").collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        want = score_by_hand(model, r.text)
+        assert abs(r.score - want) < 1e-9 and r.predicted == int(r.score >= 0.7)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
 def test_held_out_accuracy_on_the_tables(spark):
     docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     got = toxicity.score(docs, toxicity.train(docs, labels)).join(labels, "doc_id").where("held_out").collect()
