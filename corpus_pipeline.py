@@ -13,7 +13,7 @@ from rollmill.llm.common import materialize
 
 STAGES = stages.STAGES
 
-#: Line windows, fingerprints and tokens have no form in SQL; tests hold run() against a brute-force version.
+#: Near copies and tokens have no form in SQL; tests/llm/test_pipeline_by_hand.py compares every row of run() with plain versions of the stages.
 ORACLE_SQL = None
 
 
