@@ -72,8 +72,11 @@ def virtual_times(sized: DataFrame, targets: DataFrame, max_epochs: int = MAX_EP
     joined = sized.join(targets.withColumnRenamed("source", "__source"), F.col("source").eqNullSafe(F.col("__source")), "left")
     epochs = F.greatest(F.lit(1), F.least(F.lit(max_epochs), F.ceil(F.try_divide(F.col("target"), F.col("source_size"))))).cast("int")
     rows = joined.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.coalesce(epochs, F.lit(1)) - 1)))
-    # documents without an id go by their number, or all would meet in one group
-    rows = rows.withColumn("ticket", ticket(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.col("row").cast("string"))), F.col("epoch")))
+    # documents without an id go by their text's hash, if there is one, or all would meet in one group
+    own = F.col("doc_id").cast("string")
+    if "th" in rows.columns:
+        own = F.coalesce(own, F.concat(F.lit("#"), F.col("th").cast("string")))
+    rows = rows.withColumn("ticket", ticket(own, F.col("epoch")))
     rows = rows.withColumn("__g", _share(F.col("ticket"), F.ceil(F.col("docs") / GROUP_ROWS)))
     rows = rows.withColumn("__source", F.coalesce(F.col("source"), F.lit(""))).withColumn("__null", F.col("source").isNull())
     keys = ["__source", "__null", "epoch", "__g"]
@@ -119,7 +122,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     named last. Repeated rows are documents of their own. An empty table gives an empty one. Other
     columns of the input are ignored, whatever their names.
     """
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("th"))
     return mix_sized(sized, weights, max_epochs)
 
 
@@ -150,8 +153,8 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     Rows come range-sorted by finish time: the partitions, and the files written from them, follow each other.
     """
-    rows = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
+    rows = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("th"))
     rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    times = numbered_times(rows.select("doc_id", "source", "size", "row"), weights, max_epochs)
+    times = numbered_times(rows.select("doc_id", "source", "size", "th", "row"), weights, max_epochs)
     taken = materialize(times.where((F.col("taken") > 0) & (2 * F.col("taken") >= F.col("size"))).select("row", "doc_id", "epoch", "finish", "taken"), "taken")
     return mix_order(taken.join(rows.select("row", "__row"), "row")).select("__row.*")
