@@ -1,12 +1,12 @@
 """Quality rules with risk-controlled thresholds, with built-in functions only.
 
-Each rule is a number computed from a text; a document is rejected where it exceeds a
-cutoff. The cutoffs are not guessed: on labelled documents every candidate cutoff of
-every rule in every stratum is a hypothesis "it rejects more than ``risk`` of the good
+Each rule is a number computed from a text; a document is rejected where one exceeds its
+cutoff. The cutoffs are not guessed: on labelled documents every choice of one cutoff (or none) per rule
+in every stratum is a hypothesis "together these rules reject more than ``risk`` of the stratum's good
 documents". An exact binomial tail tests it, at a level divided by the number of
-hypotheses (Bonferroni), so that with confidence ``1 - delta`` no chosen cutoff anywhere rejects more
-good documents than allowed. Each rule takes its tightest certified cutoff; where
-none is certified it does not apply.
+hypotheses (Bonferroni), so that with confidence ``1 - delta`` no chosen set of cutoffs anywhere rejects more
+good documents than allowed. Each stratum takes the certified choice that rejects most of its bad documents; where
+none is certified only the base rule acts. Documents that fail the base rule are rejected anyway and test nothing.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: Candidate cutoffs of a rule, from tight to loose.
 CUTOFFS = (0.02, 0.05, 0.08, 0.1, 0.12, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9)
-#: At most this share of good documents may be rejected by one rule of one stratum ...
+#: At most this share of the good documents of a stratum may be rejected by all rules together ...
 RISK = 0.01
-#: ... for all rules and strata at once with this confidence.
+#: ... in all strata at once but for this chance.
 DELTA = 0.05
+#: The base rule, which needs no labels.
+BASE_FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
 #: Rules: shares that are large in bad texts.
 RULES = {
     "symbol_share": "n_symbols / greatest(word_chars, 1)",
@@ -82,27 +84,40 @@ def measured(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def certified_cutoffs(labelled: DataFrame, stratum: str = "stratum", good: str = "good", risk: float = RISK, delta: float = DELTA, cutoffs=CUTOFFS) -> DataFrame:
-    """``(stratum, rule, cutoff, n_good, n_rejected)``: the tightest certified cutoff of each rule and stratum.
+    """``(stratum, <rule> ..., n_good, n_rejected, n_bad_rejected)``: the certified cutoffs of each stratum that has some.
 
-    ``labelled`` holds the stratum, ``good`` (boolean) and a column per rule. A cutoff is
-    certified if ``P(Binomial(n_good, risk) <= n_rejected) <= delta / hypotheses``.
+    ``labelled`` holds the stratum, ``good`` (boolean) and a column per rule. A choice of cutoffs is
+    certified if ``P(Binomial(n_good, risk) <= n_rejected) <= delta / hypotheses``, where n_rejected counts the good documents
+    that any of its rules rejects. Among equals in bad documents rejected the one with fewer good ones rejected wins, then the tighter one;
+    a rule that is not used has a null cutoff.
     """
+    at, none = list(RULES), len(cutoffs)
     ladder = F.array(*[F.lit(c) for c in cutoffs])
-    counts = [F.count_if(F.col(rule) > c).alias(f"{rule}_{i}") for rule in RULES for i, c in enumerate(cutoffs)]
-    per = labelled.where(F.col(good)).groupBy(stratum).agg(F.count(F.lit(1)).alias("n_good"), *counts)
-    per = per.withColumn("tests", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) * len(RULES) * len(cutoffs))
-    rows = per.select(stratum, "n_good", "tests", F.explode(F.array(*[
-        F.struct(F.lit(rule).alias("rule"), F.array(*[F.col(f"{rule}_{i}") for i in range(len(cutoffs))]).alias("rejected")) for rule in RULES
-    ])).alias("r"))
-    rows = rows.select(stratum, "n_good", "tests", "r.rule", F.posexplode(F.arrays_zip(ladder.alias("cutoff"), F.col("r.rejected").alias("n_rejected"))).alias("i", "c"))
-    rows = rows.select(stratum, "n_good", "tests", "rule", F.col("c.cutoff").alias("cutoff"), F.col("c.n_rejected").alias("n_rejected"))
-    # above its mean the tail is about a half or more: no need to sum it
-    tail = F.expr(f"""CASE WHEN n_rejected >= n_good * {risk}D THEN 1.0D ELSE aggregate(sequence(0L, n_rejected), struct(n_good * ln(1 - {risk}D) as p, 0.0D as s),
-        (z, i) -> struct(z.p + ln((n_good - i) / (i + 1.0D)) + ln({risk}D / (1 - {risk}D)) as p, z.s + exp(z.p) as s), z -> z.s) END""")
-    rows = rows.withColumn("tail", tail)
-    return rows.where(F.col("tail") <= F.lit(delta) / F.col("tests")).groupBy(stratum, "rule").agg(
-        F.min(F.struct("cutoff", "n_good", "n_rejected", "tail")).alias("b")
-    ).select(stratum, "rule", "b.*")
+    # a document passes the i-th cutoff of a rule if at most i cutoffs lie below its value; i = none passes all
+    below = lambda value: F.size(F.filter(ladder, lambda c: c < value))
+    steps = [below(F.col(r)).alias(r) for r in at]
+    cells = labelled.select(stratum, good, *steps).groupBy(stratum, *at).agg(F.count_if(F.col(good)).alias("g"), F.count_if(~F.col(good)).alias("b"))
+    cells = materialize(cells, "cells")
+    per = cells.groupBy(stratum).agg(F.sum("g").alias("n_good"), F.sum("b").alias("n_bad")).where("n_good > 0")
+    # the most rejections of good documents that are certified: the binomial tail is summed once a stratum, in logarithms; below 0: no number is
+    per = per.withColumn("level", F.lit(delta) / (F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) * ((none + 1) ** len(at) - 1)))
+    most = f"""aggregate(sequence(0L, cast(floor(n_good * {risk}D) as bigint)), struct(n_good * ln(1 - {risk}D) as p, 0.0D as s, -1L as k),
+        (z, i) -> struct(z.p + ln((n_good - i) / (i + 1.0D)) + ln({risk}D / (1 - {risk}D)) as p, z.s + exp(z.p) as s, if(z.s + exp(z.p) <= level, i, z.k) as k), z -> z.k)"""
+    per = per.withColumn("most", F.expr(most)).where("most >= 0")
+    grid = per.select(F.struct(stratum, "n_good", "n_bad", "most").alias("of"), F.lit(0).cast("long").alias("g"), F.lit(0).cast("long").alias("b"))
+    for r in at:
+        grid = grid.withColumn(r, F.explode(F.sequence(F.lit(0), F.lit(none))))
+    found = cells.join(per.select(F.col(stratum).alias("__of"), "n_good", "n_bad", "most"), F.col(stratum).eqNullSafe(F.col("__of")))
+    found = found.select(F.struct(stratum, "n_good", "n_bad", "most").alias("of"), "g", "b", *at)
+    # documents that pass a choice: running sums over one rule after the other
+    sums = grid.unionByName(found).groupBy("of", *at).agg(F.sum("g").alias("g"), F.sum("b").alias("b"))
+    for r in at:
+        upto = Window.partitionBy("of", *[x for x in at if x != r]).orderBy(r).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        sums = sums.withColumns({"g": F.sum("g").over(upto), "b": F.sum("b").over(upto)})
+    rows = sums.select(F.col(f"of.{stratum}").alias(stratum), F.col("of.n_good").alias("n_good"), F.col("of.most").alias("most"), *at, (F.col("of.n_good") - F.col("g")).alias("n_rejected"), (F.col("of.n_bad") - F.col("b")).alias("n_bad_rejected"))
+    best = F.min(F.struct((-F.col("n_bad_rejected")).alias("o"), "n_rejected", *at, "n_good", "n_bad_rejected")).alias("c")
+    rows = rows.where("n_rejected <= most").groupBy(stratum).agg(best)
+    return rows.select(stratum, *[F.get(ladder, F.col(f"c.{r}")).alias(r) for r in at], "c.n_good", "c.n_rejected", "c.n_bad_rejected")
 
 
 def quality_verdicts(docs: DataFrame, labels: DataFrame | None, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
@@ -118,12 +133,14 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame | None, id_col: str = "d
 
 
 def cutoff_table(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", risk: float = RISK, delta: float = DELTA) -> DataFrame:
-    """``(__stratum, __<rule> ...)``: one row per stratum with the certified cutoffs; a rule without one is null."""
-    good = labels.where(F.col("quality") == 1).select(F.col(id_col).alias("doc_id")).distinct().withColumn("good", F.lit(True))
-    labelled = with_rules(stats).select("doc_id", "stratum", *RULES).join(good, "doc_id")
+    """``(__stratum, __<rule> ...)``: one row per stratum with certified cutoffs; a rule without one is null.
+
+    An id that is labelled several times is good if any label says so; labels without quality count as none.
+    """
+    said = labels.where(F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max(F.col("quality") == 1).alias("good"))
+    labelled = with_rules(stats).where(f"NOT ({BASE_FAILED})").select("doc_id", "stratum", *RULES).join(said, "doc_id")
     chosen = certified_cutoffs(labelled, risk=risk, delta=delta)
-    wide = chosen.groupBy(F.col("stratum").alias("__stratum")).agg(*[F.max(F.when(F.col("rule") == k, F.col("cutoff"))).alias(f"__{k}") for k in RULES])
-    return materialize(wide, "cutoffs")
+    return materialize(chosen.select(F.col("stratum").alias("__stratum"), *[F.col(r).alias(f"__{r}") for r in RULES]), "cutoffs")
 
 
 def with_rules(stats: DataFrame) -> DataFrame:
@@ -132,12 +149,11 @@ def with_rules(stats: DataFrame) -> DataFrame:
 
 def verdicts(stats: DataFrame, cutoffs: DataFrame | None) -> DataFrame:
     """Adds ``base_failed`` and ``kept`` to rows with the columns of ``measured`` and ``stratum``; drops the stratum."""
-    failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    out = with_rules(stats).withColumn("base_failed", failed)
+    out = with_rules(stats).withColumn("base_failed", F.expr(BASE_FAILED))
     bad = F.lit(False)
     if cutoffs is not None:
         out = out.join(cutoffs, F.col("stratum").eqNullSafe(F.col("__stratum")), "left")
         for k in RULES:
             bad = bad | F.coalesce(F.col(k) > F.col(f"__{k}"), F.lit(False))
-    out = out.withColumn("kept", ~failed & ~bad)
+    out = out.withColumn("kept", ~F.col("base_failed") & ~bad)
     return out.drop(*RULES, "stratum", "n_lines", "__stratum", *[f"__{k}" for k in RULES])

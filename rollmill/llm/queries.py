@@ -112,20 +112,31 @@ SELECT doc_id, n_lines, n_removed, CAST(length(body) AS BIGINT) AS kept_chars, m
 """
 
 _LADDER = ", ".join(str(c) for c in quality.CUTOFFS)
+
+
+def _steps(share: str) -> str:
+    """SQL for the number of cutoffs that lie below a share."""
+    return f"len(list_filter([{_LADDER}]::DOUBLE[], lambda o: o < {share}))"
+
+
 _OP6 = rf"""
-WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-]')) AS lines FROM documents),
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, {_WORDS} AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^ 	-
+]')) AS lines FROM documents),
 win AS (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, x) AS n FROM (SELECT doc_id, p, array_to_string(w[p:p + 7], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS p FROM d))),
 rep AS (SELECT doc_id, sum(least(8, gap)) AS n FROM (SELECT doc_id, p - lag(p, 1, -8) OVER (PARTITION BY doc_id ORDER BY p) AS gap FROM win WHERE n > 1) GROUP BY doc_id),
 m AS (SELECT d.doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
     CAST(len(lines) AS BIGINT) AS n_lines, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN rep ON d.doc_id = rep.doc_id),
-r AS (SELECT *, unnest([struct_pack(rule := 'symbol_share', x := n_symbols / greatest(word_chars, 1)), struct_pack(rule := 'dup_line_share', x := n_dup_lines / greatest(n_lines, 1)), struct_pack(rule := 'repeat_share', x := n_repeat_words / greatest(n_words, 1))]) AS u FROM m),
-h AS (SELECT lang, u.rule AS rule, u.x AS x FROM r WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)),
-c AS (SELECT lang, rule, cut, count(*) AS n, count(*) FILTER (WHERE x > cut) AS k FROM h, (SELECT CAST(unnest([{_LADDER}]) AS DOUBLE) AS cut) GROUP BY ALL),
-v AS (SELECT *, CASE WHEN k >= n * {quality.RISK} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({quality.RISK}) + (n - i) * ln(1 - {quality.RISK})))) END AS tail, count(*) OVER () AS tests FROM c),
-best AS (SELECT lang, rule, min(cut) AS cut FROM v WHERE tail <= {quality.DELTA} / tests GROUP BY ALL),
-bad AS (SELECT DISTINCT r.doc_id FROM r JOIN best ON r.lang IS NOT DISTINCT FROM best.lang AND r.u.rule = best.rule WHERE r.u.x > best.cut)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-    NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM m
+t AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, {_steps("n_symbols / greatest(word_chars, 1)")} AS a, {_steps("n_dup_lines / greatest(n_lines, 1)")} AS b, {_steps("n_repeat_words / greatest(n_words, 1)")} AS c FROM m),
+y AS (SELECT doc_id, bool_or(quality = 1) AS good FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
+h AS (SELECT lang, a, b, c, count(*) FILTER (WHERE good) AS g, count(*) FILTER (WHERE NOT good) AS w FROM t JOIN y USING (doc_id) WHERE NOT base_failed GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(g) AS BIGINT) AS n_good, CAST(sum(w) AS BIGINT) AS n_bad, count(*) OVER () AS strata FROM h GROUP BY lang HAVING sum(g) > 0),
+s AS (SELECT unnest(range(0, {len(quality.CUTOFFS) + 1})) AS i),
+grid AS (SELECT n.lang AS lang, n_good, n_bad, strata, x.i AS a, y.i AS b, z.i AS c FROM n, s AS x, s AS y, s AS z),
+v AS (SELECT grid.*, n_good - coalesce(p.g, 0) AS k, n_bad - coalesce(p.w, 0) AS bad FROM grid, LATERAL (SELECT CAST(sum(g) AS BIGINT) AS g, CAST(sum(w) AS BIGINT) AS w FROM h WHERE h.lang IS NOT DISTINCT FROM grid.lang AND h.a <= grid.a AND h.b <= grid.b AND h.c <= grid.c) AS p),
+q AS (SELECT *, CASE WHEN k >= n_good * {quality.RISK} THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n_good + 1) - lgamma(i + 1) - lgamma(n_good - i + 1) + i * ln({quality.RISK}) + (n_good - i) * ln(1 - {quality.RISK})))) END AS tail FROM v),
+best AS (SELECT lang, min(struct_pack(o := -bad, k := k, a := a, b := b, c := c)) AS pick FROM q WHERE tail <= {quality.DELTA} / (strata * {(len(quality.CUTOFFS) + 1) ** len(quality.RULES) - 1}) GROUP BY lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT coalesce(t.a > pick.a OR t.b > pick.b OR t.c > pick.c, false) AS kept
+FROM t LEFT JOIN best ON t.lang IS NOT DISTINCT FROM best.lang
 """
 
 #: The others are beyond SQL (hash functions, tokenizers, fitted models, connected components); tests hold them against brute force.
