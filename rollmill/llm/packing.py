@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 LENGTH = 1024
-#: Rests that one task packs at a time; more leave less padding.
+#: Rests that one task packs at a time are about half as many; more leave less padding.
 GROUP = 4096
 #: Segments of text whose ids a worker remembers.
 REMEMBERED = 800_000
@@ -132,12 +132,11 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets
 
 
-def _pack(group: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    if len(group) > GROUP:  # its sequence ids would run into the next group's
-        raise ValueError(f"a packing group has {len(group)} rows")
+def _pack(group: pd.DataFrame, capacity: int, groups: int) -> pd.DataFrame:
     group = group.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
     bins, offsets = first_fit_decreasing(group["length"].to_numpy(), capacity)
-    return group.assign(sequence_id=group["group"] * GROUP + bins, offset=offsets).drop(columns=["group"])
+    # even numbers; sequences of full pieces have the odd ones
+    return group.assign(sequence_id=2 * (bins * groups + group["group"]), offset=offsets).drop(columns=["group"])
 
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, length: int = LENGTH) -> DataFrame:
@@ -150,14 +149,14 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     pieces = materialize(token_pieces(rows, path, text_col="text", end_id=end_id, length=length), "pieces")
     rests = pieces.where(F.col("length") < length)
-    # on average GROUP / 2 rests a group: a group beyond GROUP is many standard deviations away, _pack checks it
+    # on average GROUP / 2 rests a group, by a hash that no key steers
     groups = max(1, -(-rests.count() * 2 // GROUP))
     # repeated rows have equal hashes and rests; their number in the written table tells them apart
     dealt = rests.withColumn("group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id(), F.lit("deal")), F.lit(groups)))
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     out = out.replace("doc_id long", f"doc_id {pieces.schema['doc_id'].dataType.simpleString()}", 1)
-    packed = dealt.groupBy("group").applyInPandas(lambda g: _pack(g, length), out)
+    packed = dealt.groupBy("group").applyInPandas(lambda g: _pack(g, length, groups), out)
     whole = pieces.where(F.col("length") == length)
-    whole = whole.withColumn("sequence_id", F.lit(groups * GROUP) + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    whole = whole.withColumn("sequence_id", 2 * F.monotonically_increasing_id() + 1).withColumn("offset", F.lit(0).cast("long"))
     return packed.unionByName(whole)
 
