@@ -56,6 +56,7 @@ class PrefixCounter(dict):
             if i in self.born or token.removesuffix(suffix) in single:
                 self.find.add_word(shown, (i, len(shown)))
         self.find.make_automaton()
+        self.longest = max(map(len, vocab))
         self.goes: dict[int, bool] = {}
 
     def together(self, x: int, y: int) -> bool:
@@ -137,13 +138,16 @@ class PrefixCounter(dict):
 
     # ---- prefix questions -----------------------------------------------------------------
 
-    def running(self, text: str) -> list[tuple[int, int]]:
-        """(end in the text, tokens up to there) after every chunk and special string."""
-        out, total = [], 0
+    def _runs(self, text: str):
+        """(start, end, tokens up to there) of every chunk and special string."""
+        total = 0
         for m in re.finditer(rf"{self.special.pattern}|(?:(?!{self.special.pattern}){_SPACE.pattern.replace('[', '[^', 1)[:-1]})+", text):
             total += 1 if self.special.fullmatch(m[0]) else sum(map(self.__getitem__, self.chunks(m[0])))
-            out.append((m.end(), total))
-        return out
+            yield m.start(), m.end(), total
+
+    def running(self, text: str) -> list[tuple[int, int]]:
+        """(end in the text, tokens up to there) after every chunk and special string."""
+        return [(end, total) for _, end, total in self._runs(text)]
 
     def prefix_counts(self, word: str) -> list[int]:
         """Tokens of every prefix of a word (by characters), each taken as a text of its own, from one table."""
@@ -161,13 +165,34 @@ class PrefixCounter(dict):
             places.append(places[-1] + len(c.encode()))
         return [ends[p] for p in places]
 
+    def _cut(self, chunk: str, budget: int) -> int:
+        """Characters of the longest prefix of a chunk that has at most ``budget`` tokens, if the whole has more.
+
+        Where normalising changes the number of characters nothing is cut.
+        """
+        if not unicodedata.is_normalized("NFC", chunk) or any(len(c.lower()) != 1 for c in chunk):
+            return 0
+        for m in self.pattern.finditer("".join(c.lower() for c in chunk)):
+            word = m[0][: self.longest * budget + 1]  # more characters take more tokens
+            n = self.word(m[0])
+            if n > budget:  # what is behind this word has more tokens still
+                if word[0] == "'" and len(word) <= 3:  # prefixes of a contraction are two words
+                    ends = [sum(map(self.word, self.pattern.findall(word[:i]))) for i in range(len(word))]
+                else:
+                    ends = self.prefix_counts(word)
+                return m.start() + max(i for i, k in enumerate(ends) if k <= budget)
+            budget -= n
+        return 0
+
     def fitting(self, text: str, budget: int) -> int:
-        """Characters of the longest prefix made of whole chunks that has at most ``budget`` tokens."""
-        fits = 0
-        for end, total in self.running(text):
+        """Characters of the longest prefix of at most ``budget`` tokens, but for white space at its end: whole chunks as
+        far as they fit, then as much of the next one as fits (of special strings and of chunks that normalising lengthens or shortens: nothing)."""
+        fits = before = 0
+        for start, end, total in self._runs(text):
             if total > budget:
-                return fits
-            fits = end
+                more = 0 if self.special.fullmatch(text[start:end]) else self._cut(text[start:end], budget - before)
+                return start + more if more else fits
+            fits, before = end, total
         return len(text)
 
 
@@ -190,8 +215,8 @@ def _count(batches, path: str, limit: int, cuts: bool):
 
 
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text", cuts: bool = True) -> DataFrame:
-    """Per document ``doc_id, n_bytes, n_tokens, over_limit`` and, with ``cuts``, ``fitting_chars``: how much of
-    the text, in whole chunks, fits the limit. A null text counts as empty; repeated rows are
+    """Per document ``doc_id, n_bytes, n_tokens, over_limit`` and, with ``cuts``, ``fitting_chars``: how many characters of
+    the text fit the limit. A null text counts as empty; repeated rows are
     counted each; other columns are ignored. ``path`` is a vocabulary file that every executor can open. No shuffle.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text"))
