@@ -1,9 +1,12 @@
 """Mixing, quality rules, line dedup, packing and token counts against brute force and their SQL."""
 
+import itertools
 import json
+import math
 import os
 import random
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -148,6 +151,33 @@ def test_cutoffs_hold_their_risk(spark):
     assert good and all(not r.base_failed for r in got)
 
 
+def test_every_choice_of_cutoffs_by_hand(spark):
+    """All choices, their exact tails and the best certified one; a stratum without good rows has none, a null stratum is one of its own."""
+    rng, ladder, risk, delta = random.Random(5), (0.1, 0.3, 0.5), 0.05, 0.05
+    rows = []
+    for stratum, n in (("a", 900), ("b", 60), (None, 700), ("c", 500)):
+        for _ in range(n):
+            good = stratum != "c" and rng.random() < 0.8
+            rows.append((stratum, good, *[rng.choice([0.0, 0.1, 0.2, 0.4, 0.9]) if rng.random() < (0.02 if good else 0.6) else 0.0 for _ in quality.RULES]))
+    names = list(quality.RULES)
+    frame_ = spark.createDataFrame(rows, "stratum string, good boolean, " + ", ".join(f"{r} double" for r in names))
+    got = {r.stratum: r for r in quality.certified_cutoffs(frame_, risk=risk, delta=delta, cutoffs=ladder).collect()}
+    want = {}
+    for stratum in {r[0] for r in rows if r[1]}:
+        mine = [r for r in rows if r[0] == stratum]
+        n = sum(r[1] for r in mine)
+        for choice in itertools.product(range(4), repeat=3):
+            hit = [r for r in mine if any(i < 3 and x > ladder[i] for i, x in zip(choice, r[2:], strict=True))]
+            k, bad = sum(r[1] for r in hit), sum(not r[1] for r in hit)
+            tail = sum(math.comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(k + 1))
+            if tail <= delta / (3 * (4**3 - 1)):
+                want[stratum] = min(want.get(stratum, (1,)), (-bad, k, choice))
+    assert set(want) == set(got) == {"a", None}
+    for stratum, (bad, k, choice) in want.items():
+        r = got[stratum]
+        assert (r.n_bad_rejected, r.n_rejected) == (-bad, k) and [r[x] for x in names] == [ladder[i] if i < 3 else None for i in choice]
+
+
 def test_no_labels_and_no_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = quality.quality_verdicts(frame(spark, HARD), none).collect()
@@ -223,8 +253,14 @@ def test_counts_are_the_library_s_at_every_prefix():
     for t in texts[:300]:
         for end, total in own.running(t):
             assert total == count(t[:end])
-        fits = own.fitting(t, 7)
-        assert own.count(t[:fits]) <= 7
+        for budget in (1, 3, 7):
+            fits = own.fitting(t, budget)
+            assert count(t[:fits]) <= budget
+            if own.count(t) <= budget:
+                assert fits == len(t)
+            elif unicodedata.is_normalized("NFC", t) and all(len(c.lower()) == 1 for c in t) and "<|" not in t:
+                assert t[:fits].rstrip() == t[: max(i for i in range(len(t)) if count(t[:i]) <= budget)].rstrip(), (t, budget)
+    assert own.fitting("abcdefghij" * 100_000, 100) == max(i for i in range(2000) if count(("abcdefghij" * 200)[:i]) <= 100)
 
 
 @pytest.mark.parametrize("seed", range(20))
