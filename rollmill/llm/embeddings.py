@@ -4,8 +4,9 @@ A unit vector is padded with zeros and rotated at random; its code is the signs
 goes the correction factor <code, vector>. Divided by the factor, a code's inner product with another rotated
 vector is an unbiased estimate of the vectors' own, with an error bound that holds but for a chance set by ``SIGMAS``.
 
-Bands of code bits route vectors to keys: near vectors agree in most bits, so over ``TABLES`` bands they
-meet under some key all but surely (measured recall: see the README). Under a key a pair
+Bands of bits of such codes route vectors to keys: near vectors agree in most bits, so over enough bands they
+meet under some key but for a chance of at most ``MISS`` (measured recall: see the README). Bands get wider and more as
+the table grows, so that unrelated vectors under a key stay few. Under a key a pair
 is estimated from the codes; only where estimate plus bound reach the limit the exact cosine is
 computed, in double precision, and decides. A pair that met in an earlier band is left to that band, so every pair counts once.
 
@@ -30,7 +31,10 @@ from .simhash import Forest
 LIMIT = 0.93
 #: Code length at least; vectors are padded up to it.
 CODE_BITS = 256
-TABLES, BAND = 20, 12
+#: Bits of a band at least; from there on so many that about ``STRAYS`` unrelated vectors meet under a key.
+BAND, STRAYS = 12, 16
+#: Chance that a pair whose cosine is the limit itself meets in no band.
+MISS = 0.002
 #: Width of the error bound, in standard deviations of the estimate.
 SIGMAS = 5.0
 #: Vectors under one key that one task compares; more are cut into blocks.
@@ -39,7 +43,7 @@ BLOCK = 1024
 SMALL = 24
 
 
-@functools.lru_cache(maxsize=4)
+@functools.lru_cache(maxsize=64)
 def rotation(dim: int, bits: int = CODE_BITS, seed: int = 42) -> np.ndarray:
     """The first ``dim`` rows of a random orthogonal matrix: zero padding needs no others."""
     size = max(bits, dim)
@@ -61,11 +65,26 @@ def estimates(signs: np.ndarray, factor: np.ndarray, turned: np.ndarray) -> tupl
     return signs @ turned.T / math.sqrt(bits) / factor[:, None], bound[:, None]
 
 
-def _band_keys(signs: np.ndarray) -> np.ndarray:
-    """Keys of the bands, row by row; bands take their bits from a fixed shuffle, so that no two start alike."""
-    rng = np.random.default_rng(7)
-    picks = np.concatenate([rng.permutation(signs.shape[1]) for _ in range(-(-TABLES * BAND // signs.shape[1]))])[: TABLES * BAND].reshape(TABLES, BAND)
-    return (signs[:, picks] > 0) @ (1 << np.arange(BAND)).astype(np.int64)
+def bands(n: int, limit: float = LIMIT) -> tuple[int, int]:
+    """Number and width of the bands for ``n`` vectors that are compared with each other.
+
+    A code bit of two vectors agrees with a chance of 1 - angle / pi.
+    """
+    width = max(BAND, math.ceil(math.log2(max(1, n) / STRAYS)))
+    agree = 1 - math.acos(min(1.0, max(-1.0, limit))) / math.pi
+    return max(1, math.ceil(math.log(MISS) / math.log1p(-(agree**width)))) if agree < 1 else 1, width
+
+
+def _band_keys(unit: np.ndarray, tables: int, width: int) -> np.ndarray:
+    """Keys of the bands, row by row; no two bands share a bit, a further rotation gives bits where a code's are used up."""
+    out, bit = [], np.int64(1) << np.arange(width, dtype=np.int64)
+    for seed in range(42, 42 + tables):
+        turned = unit @ rotation(unit.shape[1], seed=seed)
+        use = min(tables - sum(o.shape[1] for o in out), turned.shape[1] // width)
+        out.append((turned[:, : use * width] >= 0).reshape(len(unit), use, width) @ bit)
+        if sum(o.shape[1] for o in out) == tables:
+            break
+    return np.concatenate(out, axis=1)
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -77,24 +96,24 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _keys(batches):
+def _keys(batches, tables: int, width: int):
     """``vector number, band, key`` for every vector and band."""
     for batch in batches:
         if batch.num_rows:
-            keys = _band_keys(codes(_unit(_matrix(batch.column(1))))[0])
+            keys = _band_keys(_unit(_matrix(batch.column(1))), tables, width)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(keys), pa.list_(pa.int64()))], names=["v", "keys"])
 
 
 class _Side:
     """Vectors with all that comparing them takes: numbers, counts, raw and rotated values, signs, factors, bands' keys."""
 
-    def __init__(self, table: pa.Table | None = None, parts: tuple | None = None):
+    def __init__(self, table: pa.Table | None = None, shape: tuple[int, int] | None = None, parts: tuple | None = None):
         if parts is None:
             self.x = _matrix(table.column("vec").combine_chunks())
             unit = _unit(self.x)
             self.signs, self.factor = codes(unit)
             self.turned = unit @ rotation(unit.shape[1])
-            self.keys = _band_keys(self.signs)
+            self.keys = _band_keys(unit, *shape)
             self.v, self.n = table.column("v").to_numpy(), table.column("n").to_numpy()
         else:
             self.x, self.signs, self.factor, self.turned, self.keys, self.v, self.n = parts
@@ -108,7 +127,7 @@ class _Side:
 
 def _decide(left: _Side, right: _Side, i: np.ndarray, j: np.ndarray, band, limit: float) -> np.ndarray:
     """Which of the pairs are links that no earlier band has met."""
-    earlier = np.arange(TABLES) < np.broadcast_to(np.asarray(band), i.shape)[:, None]
+    earlier = np.arange(left.keys.shape[1]) < np.broadcast_to(np.asarray(band), i.shape)[:, None]
     keep = np.flatnonzero(~((left.keys[i] == right.keys[j]) & earlier).any(axis=1))
     x, y = left.x[i[keep]], right.x[j[keep]]
     exact = np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1))
@@ -168,7 +187,7 @@ def _compare_small(side: _Side, task: np.ndarray, band: np.ndarray, run: np.ndar
     return found.rows()
 
 
-def _tasks(batches, limit: float):
+def _tasks(batches, limit: float, shape: tuple[int, int]):
     """Rows arrive in runs of a task, which is a key or a pair of blocks of one; yields counts (w = -1) and edges."""
     held: list[pa.RecordBatch] = []
 
@@ -183,10 +202,10 @@ def _tasks(batches, limit: float):
         out = []
         for d in np.unique(dims[small]):
             rows = np.flatnonzero(small & (dims == d))
-            out.append(_compare_small(_Side(table.take(pa.array(rows))), task[rows], band[rows], run[rows], limit))
+            out.append(_compare_small(_Side(table.take(pa.array(rows)), shape), task[rows], band[rows], run[rows], limit))
         for k in np.flatnonzero((size > 1) & ~small[starts]):
             part = slice(starts[k], starts[k] + size[k])
-            own = _Side(table.slice(starts[k], size[k]))
+            own = _Side(table.slice(starts[k], size[k]), shape)
             two = side[part] == 1
             out.append(_compare(own.take(~two), own.take(two) if two.any() else None, int(band[starts[k]]), limit))
         made = [np.concatenate([o[c] for o in out]) if out else np.zeros(0, np.int64) for c in range(3)]
@@ -214,14 +233,18 @@ def embedding_groups(vectors: DataFrame, limit: float = LIMIT, id_col: str = "ve
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).alias("raw"))
     fine = F.col("label").isNotNull() & F.col("raw").isNotNull() & F.coalesce(F.size("raw") > 0, F.lit(False))
     fine = fine & F.coalesce(F.forall("raw", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))), F.lit(False)) & F.coalesce(F.exists("raw", lambda x: x != 0), F.lit(False))
-    rows = rows.withColumn("good", fine).withColumn("vec", F.when(F.col("good"), F.col("raw").cast("array<double>"))).drop("raw")
+    # floats travel as such and are doubles in the tasks alone
+    kind = "float" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
+    rows = rows.withColumn("good", fine).withColumn("vec", F.when(F.col("good"), F.col("raw").cast(f"array<{kind}>"))).drop("raw")
     # vectors that hold the same numbers once; -0.0 counts as 0.0
-    rows = rows.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0)))
+    rows = rows.withColumn("vec", F.transform("vec", lambda x: x + F.lit(0.0).cast(kind)))
     h = [F.xxhash64("label", "vec"), F.hash("vec", "label")]
     keyed = materialize(rows.withColumn("h1", F.when(F.col("good"), h[0])).withColumn("h2", F.when(F.col("good"), h[1])), "vectors")
     good = keyed.where("good").groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("least"), F.first("label").alias("label"), F.first("vec").alias("vec"))
     good = materialize(good.withColumn("v", F.monotonically_increasing_id()).withColumn("dim", F.size("vec")), "classes")
-    banded = good.select("v", "vec").mapInArrow(_uniform(_keys), "v long, keys array<long>")
+    largest = good.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
+    shape = bands(largest, limit)
+    banded = good.select("v", "vec").mapInArrow(_uniform(lambda it: _keys(it, *shape)), "v long, keys array<long>")
     keys = banded.join(good.select("v", "label", "dim"), "v").select("v", "label", "dim", F.posexplode("keys").alias("band", "key"))
     keys = materialize(keys, "keys")
     group = ["label", "dim", "band", "key"]
@@ -235,7 +258,7 @@ def embedding_groups(vectors: DataFrame, limit: float = LIMIT, id_col: str = "ve
     placed = placed.withColumn("task", F.xxhash64(*group, "t.i", "t.j", F.lit("task"))).select("v", "task", F.col("band").cast("long").alias("band"), "t.side")
     full = placed.join(good.select("v", "n", "vec"), "v")
     parts = full.repartition("task").sortWithinPartitions("task").select("task", "band", "side", "v", "n", "vec")
-    found = materialize(parts.mapInArrow(lambda it: _tasks(it, limit), "v long, links long, w long"), "links")
+    found = materialize(parts.mapInArrow(lambda it: _tasks(it, limit, shape), "v long, links long, w long"), "links")
     counts = found.where("w < 0").groupBy("v").agg(F.sum("links").alias("links"))
     edges = found.where("w >= 0").select(F.col("v").alias("a"), F.col("w").alias("b")).distinct()
     linked = connected_components(edges)
