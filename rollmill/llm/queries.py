@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, linededup, mixing, packing, pii, quality, simhash, substring, tokencount, toxicity
+from . import align, embeddings, linededup, mixing, packing, pieces, pii, quality, simhash, substring, tokencount, toxicity
 from .common import documents
 
 
@@ -66,6 +66,20 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("__row.doc_id", F.col("safe_text").alias("text"), "n_entities")
 
 
+def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alignment of two tokenizers on all documents, and how their links stand in the corpus's pair counts."""
+    scores, _ = align.align_and_score(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return scores
+
+
+def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents encoded with a piece vocabulary and decoded again: number and digest of the ids, digest of the decoded text."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    both = pieces.decode(pieces.encode(documents(spark, sf_dir), path), path)
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.array_join("ids", ",")).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_simhash": op2_simhash,
@@ -77,6 +91,8 @@ QUERIES = {
     "op8_embeddings": op8_embeddings,
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
+    "op11_align": op11_align,
+    "op13_pieces": op13_pieces,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
