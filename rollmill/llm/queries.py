@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import align, embeddings, linededup, mixing, packing, pieces, pii, quality, simhash, substring, tokencount, toxicity
+from . import align, embeddings, linededup, mixing, packing, pieces, pii, quality, simhash, substring, tokencount, toxicity, trie
 from .common import documents
 
 
@@ -72,6 +72,11 @@ def op11_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores
 
 
+def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, rebuilt from their families' bases."""
+    return trie.conversation_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents encoded with a piece vocabulary and decoded again: number and digest of the ids, digest of the decoded text."""
     path = public_tokenizers.path("piece_bpe_32k.model")
@@ -92,6 +97,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_pii": op10_pii,
     "op11_align": op11_align,
+    "op12_trie": op12_trie,
     "op13_pieces": op13_pieces,
 }
 
@@ -155,5 +161,24 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM t LEFT JOIN best ON t.lang IS NOT DISTINCT FROM best.lang
 """
 
+#: CRC-32 of a text of ASCII characters, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)), lambda a, c: list_reduce([xor(a, c), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END))), 4294967295)"
+_OP12 = f"""
+WITH t AS (SELECT conv_id AS c, conv_id - conv_id % 100 AS b, coalesce(role, '') AS r, coalesce(text, '') AS x, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, b, {_CRC.format("CAST(c AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT c, b FROM t)),
+own AS (SELECT k.c, 1 AS part, t.i, r, x FROM k JOIN t ON t.c = k.c AND t.i > k.h UNION ALL SELECT k.c, 0, t.i, r, x FROM k JOIN t ON t.c = k.b AND t.i <= k.h),
+n AS (SELECT c, row_number() OVER (PARTITION BY c ORDER BY part, i) AS d, md5(len(r) || ':' || r || x) AS m, len(x) AS size FROM own),
+p AS (SELECT c, d, md5(string_agg(m, '') OVER (PARTITION BY c ORDER BY d)) AS key, size FROM n UNION ALL SELECT c, 0, '', 0 FROM k),
+g AS (SELECT d, key, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(size) AS w FROM p GROUP BY d, key),
+up AS (SELECT DISTINCT p.d, p.key, o.key AS above FROM p JOIN p AS o ON o.c = p.c AND o.d = p.d - 1),
+kids AS (SELECT d - 1 AS d, above AS key, count(*) AS n_children FROM up GROUP BY d, above),
+e AS (SELECT c, max(d) AS d FROM p GROUP BY c),
+z AS (SELECT p.d, p.key, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ends FROM p JOIN e USING (c, d) GROUP BY p.d, p.key),
+own_w AS (SELECT p.c, p.d, g.w, CASE WHEN kids.key IS NULL THEN 1 ELSE 0 END AS leaf FROM p JOIN g ON g.d = p.d AND g.key = p.key AND g.conv_id = p.c LEFT JOIN kids ON kids.d = p.d AND kids.key = p.key),
+s AS (SELECT p.d, p.key, sum(own_w.w) AS saved, sum(leaf) AS leaves FROM p JOIN own_w ON own_w.c = p.c AND own_w.d >= p.d GROUP BY p.d, p.key)
+SELECT g.conv_id, CAST(g.d AS BIGINT) AS depth, o.conv_id AS parent_conv_id, g.n_convs, coalesce(n_children, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ends, '')) AS ends_sha256
+FROM g JOIN s ON s.d = g.d AND s.key = g.key LEFT JOIN kids ON kids.d = g.d AND kids.key = g.key LEFT JOIN z ON z.d = g.d AND z.key = g.key LEFT JOIN up ON up.d = g.d AND up.key = g.key LEFT JOIN g AS o ON o.d = g.d - 1 AND o.key = up.above
+"""
+
 #: The others are beyond SQL (hash functions, tokenizers, fitted models, connected components); tests hold them against brute force.
-ORACLES: dict[str, str] = {"op1_mixing": _OP1, "op4_linededup": _OP4, "op6_quality": _OP6}
+ORACLES: dict[str, str] = {"op1_mixing": _OP1, "op4_linededup": _OP4, "op6_quality": _OP6, "op12_trie": _OP12}
