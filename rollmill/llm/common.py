@@ -102,6 +102,13 @@ def with_hash_in(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return hash_filter(wanted)(rows)
 
 
+def small(batches, rows: int = 512):
+    """Arrow batches cut to so many rows, so that what is made of one at a time stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def words(text: Column) -> Column:
     """Array of the ASCII-white-space separated words of a text (null or blank: empty array)."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")

@@ -18,19 +18,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small
+
 SPACE = "▁"
-#: Chunks whose ids, and pairs of tokens whose fit, a worker remembers: some 250 MB and 150 MB where a corpus has as many.
-REMEMBERED, PAIRS = 800_000, 1_000_000
+#: Chunks whose ids, and pairs of tokens whose fit, a worker remembers: some 100 MB and 60 MB where a corpus has as many.
+REMEMBERED, PAIRS = 500_000, 500_000
 #: What an unknown token shows as, and a byte that belongs to no character.
 UNKNOWN, BROKEN = " ⁇ ", "�"
 
 
-class PieceBpe(dict):
-    """Maps a chunk (spaces, then other characters; spaces stand for themselves) to its ids as little-endian 32-bit bytes.
-
-    No piece goes on with a space after another character, so chunks do not depend on each other. Vocabularies with
-    another normaliser, with pieces of users' own or without bytes for unknown characters are refused.
-    """
+class Pieces:
+    """A vocabulary, and the texts of ids. Vocabularies with another normaliser, with pieces of users' own or without bytes for unknown characters are refused."""
 
     def __init__(self, path: str):
         from sentencepiece import sentencepiece_model_pb2 as proto
@@ -60,6 +58,40 @@ class PieceBpe(dict):
                 self.shows[i] = UNKNOWN.encode() if p.type == kind.UNKNOWN else b""
         self.raw = frozenset(self.byte.values())
         self.silent = frozenset(i for i, s in enumerate(self.shows) if not s)
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids: pieces with spaces, bytes put together to characters, without the space that encoding adds in front."""
+        data = b"".join(map(self.shows.__getitem__, ids))
+        first = next((i for i in ids if self.shows[i]), None)
+        cut = first is not None and first not in self.raw and self.pieces[first].startswith(SPACE)
+        try:
+            if self.silent.isdisjoint(ids):  # such an id ends a run of bytes
+                return data[cut:].decode()
+        except UnicodeDecodeError:
+            pass
+        return self._broken(ids, cut)
+
+    def _broken(self, ids: list[int], cut: bool) -> str:
+        """As ``decode``, run by run of bytes; each byte that is part of no character is one sign of a broken character."""
+        out, run = [], bytearray()
+        for i in ids:
+            if i in self.raw:
+                run += self.shows[i]
+            else:
+                out += [_characters(bytes(run)), self.shows[i].decode()]
+                run.clear()
+        shown = "".join([*out, _characters(bytes(run))])
+        return shown[1:] if cut else shown
+
+
+class PieceBpe(Pieces, dict):
+    """Maps a chunk (spaces, then other characters; spaces stand for themselves) to its ids as little-endian 32-bit bytes.
+
+    No piece goes on with a space after another character, so chunks do not depend on each other.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
         self.first = len(self.pieces)  # a character without a piece is the token first + its number
         self.events: dict[int, list[tuple[float, str, str]]] = {}
         self.find = ahocorasick.Automaton()
@@ -171,30 +203,6 @@ class PieceBpe(dict):
         """Ids of a text as bytes; none for an empty one."""
         return b"".join(map(self.__getitem__, self.chunk.findall(" " + text.replace(SPACE, " ")))) if text else b""
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids: pieces with spaces, bytes put together to characters, without the space that encoding adds in front."""
-        data = b"".join(map(self.shows.__getitem__, ids))
-        first = next((i for i in ids if self.shows[i]), None)
-        cut = first is not None and first not in self.raw and self.pieces[first].startswith(SPACE)
-        try:
-            if self.silent.isdisjoint(ids):  # such an id ends a run of bytes
-                return data[cut:].decode()
-        except UnicodeDecodeError:
-            pass
-        return self._broken(ids, cut)
-
-    def _broken(self, ids: list[int], cut: bool) -> str:
-        """As ``decode``, run by run of bytes; each byte that is part of no character is one sign of a broken character."""
-        out, run = [], bytearray()
-        for i in ids:
-            if i in self.raw:
-                run += self.shows[i]
-            else:
-                out += [_characters(bytes(run)), self.shows[i].decode()]
-                run.clear()
-        shown = "".join([*out, _characters(bytes(run))])
-        return shown[1:] if cut else shown
-
 
 def _characters(run: bytes) -> str:
     out, at = [], 0
@@ -217,25 +225,28 @@ def pieces(path: str) -> PieceBpe:
     return PieceBpe(path)
 
 
+@functools.lru_cache(maxsize=2)
+def vocabulary(path: str) -> Pieces:
+    return Pieces(path)
+
+
 def _encode(batches, path: str):
     bpe = pieces(path)
-    for batch in batches:
+    for batch in small(batches):
         ids = [bpe.encode(t.as_py() or "") for t in batch.column(batch.num_columns - 1)]
         ends = np.cumsum([0, *[len(x) // 4 for x in ids]])
-        if ends[-1] >= 1 << 31:
-            raise ValueError("a batch holds over 2^31 ids: lower spark.sql.execution.arrow.maxRecordsPerBatch")
         made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(ids), "<i4"), pa.int32()))
         yield pa.RecordBatch.from_arrays([*batch.columns[:-1], made], names=[*batch.schema.names[:-1], "ids"])
 
 
 def _decode(batches, path: str):
-    bpe = pieces(path)
-    for batch in batches:
+    known = vocabulary(path)
+    for batch in small(batches):
         ids = batch.column(batch.num_columns - 1)
         flat, ends = ids.flatten().to_numpy(zero_copy_only=False), ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).cumsum()
         texts, at = [], 0
         for end in ends.tolist():
-            texts.append(bpe.decode(flat[at:end].tolist()))
+            texts.append(known.decode(flat[at:end].tolist()))
             at = end
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, "decoded"])
 
