@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import keyed_join, materialize
+from .common import keyed_join, materialize, small
 from .packing import ByteBpe
 from .pieces import SPACE, PieceBpe
 
-#: Segments whose alignment a worker remembers: some 250 MB where a corpus has as many.
-REMEMBERED = 600_000
+#: Segments whose alignment a worker remembers: some 120 MB where a corpus has as many.
+REMEMBERED = 300_000
 #: A table of pairs with at most so many rows (32 MB) goes to every executor; a larger one is joined by a shuffle, with frequent pairs dealt out.
 SENT = 1_000_000
 #: A pair of ids in one number: the first in the upper bits.
@@ -42,14 +42,17 @@ class Aligner(dict):
     _LINES = re.compile(rf"[^{_WHITE}]([^\n]*[^{_WHITE}])?(\n[^{_WHITE}]([^\n]*[^{_WHITE}])?)+")
 
     def __init__(self, path_a: str, path_b: str):
+        import sentencepiece
+
         self.a, self.b = ByteBpe(path_a), PieceBpe(path_b)
+        self.after_space = sentencepiece.SentencePieceProcessor(model_file=path_b).encode  # puts a space in front
         self.size_a = {i: len(t) for t, i in self.a.bpe._mergeable_ranks.items()}
         self.size_b = [len(s) for s in self.b.shows]
         self.bare: dict[str, tuple[str, bytes, int]] = {}
 
     def align(self, shown: str) -> tuple[list[int], list[int], list[tuple[int, int]], list[tuple[list[int], list[int]]]]:
         """Ids of both sides, links by positions, and groups by ids."""
-        a, b = self.a.ordinary(shown), self.b.tokens(shown)
+        a, b = self.a.ordinary(shown), self.after_space(shown[1:]) if shown[0] == " " else self.b.tokens(shown)
         size_a, size_b, n_a = self.size_a, self.size_b, len(a)
         links, i, j, end_a, end_b = [], 0, 0, 0, 0
         stop_a, stop_b = size_a[a[0]], size_b[b[0]]
@@ -146,7 +149,7 @@ def aligner(path_a: str, path_b: str) -> Aligner:
 
 def _align(batches, path_a: str, path_b: str):
     by = aligner(path_a, path_b)
-    for batch in batches:
+    for batch in small(batches):
         done = [by.text(t.as_py() or "") for t in batch.column(batch.num_columns - 1)]
         groups, n_a = [d[0] for d in done], [d[2] for d in done]
         n_groups = [g.count(";") + 1 if g else 0 for g in groups]
