@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import UNITS
@@ -17,6 +17,11 @@ def moment(epoch: Column | int) -> Column:
     return F.expr(_EPOCH) + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
 
 
+def is_zoned(df: DataFrame, time: str = "bucket") -> bool:
+    """Whether a column of times has a zone (a timestamp) or none (read as UTC)."""
+    return df.schema[time].dataType.typeName() == "timestamp"
+
+
 def _literal(epoch: int, zoned: bool) -> Column:
     from datetime import datetime, timedelta, timezone
 

@@ -8,6 +8,7 @@ from math import gcd
 from pyspark.sql import DataFrame
 
 from ..operators.aggregate import apply_filters, bucket_agg, in_time, select_raw
+from ..operators.gapfill import fill_grid
 from ..operators.rollup import answer, build_rollup
 from ..spec import MetricQuery, MetricTable, fingerprint
 
@@ -24,16 +25,34 @@ def run_query(df: DataFrame, mt: MetricTable, query: MetricQuery | str | dict, n
     return bucket_agg(part, mt, q.window, q.tags, (q.fn,), q.fields, create_empty=q.create_empty, start=q.start, end=q.end)
 
 
-def answer_suite(df: DataFrame, mt: MetricTable, queries: dict[str, MetricQuery], now: int | None = None, persist: bool = True) -> dict[str, DataFrame]:
+class Suite(dict):
+    """Answers by name. The rollups behind them stay cached until ``release``, or until the end of a ``with`` block."""
+
+    def __init__(self):
+        super().__init__()
+        self.cached: list[DataFrame] = []
+
+    def release(self) -> None:
+        while self.cached:
+            self.cached.pop().unpersist()
+
+    def __enter__(self) -> Suite:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.release()
+
+
+def answer_suite(df: DataFrame, mt: MetricTable, queries: dict[str, MetricQuery], now: int | None = None, persist: bool = True) -> Suite:
     """A dashboard's queries with reuse: those with one filter set share one rollup.
 
     It has the union of their tags and fields, the gcd of their windows and the hull of their ranges, and is
-    cached once. Ranges are widened to whole buckets of it. Medians go to the raw points.
+    cached once. Ranges are widened to whole buckets of it. Medians go to the raw points. ``create_empty`` fills the windows of a query's range.
     """
     by: dict[str, list[tuple[str, MetricQuery]]] = {}
     for name, q in queries.items():
         by.setdefault(fingerprint(q.filters), []).append((name, q.at(now)))
-    out: dict[str, DataFrame] = {}
+    out = Suite()
     for group in by.values():
         merged = [(n, q) for n, q in group if q.fn not in (None, "median")]
         for name, q in group:
@@ -49,7 +68,8 @@ def answer_suite(df: DataFrame, mt: MetricTable, queries: dict[str, MetricQuery]
         fields = tuple(f for f in mt.fields if any(f in mt.chosen(q.fields) for q in qs))
         rollup = build_rollup(df, mt, window, tags, qs[0].filters, tuple(dict.fromkeys(q.fn for q in qs)), low, high, fields)
         if persist:
-            rollup.df.persist()
+            out.cached.append(rollup.df.persist())
         for name, q in merged:
-            out[name] = answer(rollup, q.fn, q.window, q.tags, q.fields, q.start, q.end)
+            found = answer(rollup, q.fn, q.window, q.tags, q.fields, q.start, q.end)
+            out[name] = fill_grid(found, q.tags, q.start, q.end, q.window) if q.create_empty else found
     return out

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import in_range
+from ..functions.columns import in_range, is_zoned
 from ..spec import FUNCTIONS, MetricTable, seconds
 
 
@@ -19,7 +19,7 @@ def apply_filters(df: DataFrame, filters) -> DataFrame:
 def in_time(df: DataFrame, mt: MetricTable, start: int | None, end: int | None, bounds: str = "half_open") -> DataFrame:
     if start is None and end is None:
         return df
-    return df.where(in_range(mt.time, start, end, bounds, zoned=df.schema[mt.time].dataType.typeName() == "timestamp"))
+    return df.where(in_range(mt.time, start, end, bounds, zoned=is_zoned(df, mt.time)))
 
 
 def edge(value: Column, mt: MetricTable) -> Column:
@@ -29,7 +29,14 @@ def edge(value: Column, mt: MetricTable) -> Column:
 
 def total(value: Column, mt: MetricTable) -> Column:
     """The sum of a field: a decimal that no order of adding changes if the table declares its places, else a double."""
-    return F.sum(value) if mt.places is None else F.sum(value.cast(f"decimal(18,{mt.places})")).cast(f"decimal(38,{mt.places})")
+    return F.sum(value) if mt.places is None else F.sum(exact(value, mt)).cast(f"decimal(38,{mt.places})")
+
+
+def exact(value: Column, mt: MetricTable) -> Column:
+    """A field as a decimal of the declared places. A value that is none (more places, too large, NaN or infinite) is an error, so that no sum is silently off."""
+    as_decimal = value.try_cast(f"decimal(18,{mt.places})")
+    refused = F.raise_error(F.concat(F.lit(f"{mt.name} declares {mt.places} places, but has the value "), value.cast("string")))
+    return F.when(value.isNull() | (as_decimal.cast("double") == value.cast("double")), as_decimal).otherwise(refused)
 
 
 def quotient(total: Column, n: Column) -> Column:

@@ -6,10 +6,10 @@ from dataclasses import replace
 
 from pyspark.sql import DataFrame
 
-from ..functions.columns import in_range
+from ..functions.columns import in_range, is_zoned
 from ..spec import Rollup
 from .aggregate import apply_filters, in_time
-from .rollup import MERGE, build_rollup, states_of, union_parts
+from .rollup import build_rollup, merge_rows, union_parts
 
 
 def delta_for(rollup: Rollup, raw: DataFrame, start: int, end: int) -> Rollup:
@@ -29,22 +29,19 @@ def extend(rollup: Rollup, raw: DataFrame, new_start: int | None = None, new_end
     if new_end is not None and new_end > end:
         cut = end // m.window * m.window
         parts.append(delta_for(rollup, raw, cut if start is None else max(cut, start if new_start is None else min(start, new_start)), new_end).df)
-        body = body.where(in_range("bucket", None, cut))
+        body = body.where(in_range("bucket", None, cut, zoned=is_zoned(body)))
         end = new_end
     if new_start is not None and new_start < start:
         cut = -(-start // m.window) * m.window
         parts.append(delta_for(rollup, raw, new_start, cut).df)
-        body = body.where(in_range("bucket", cut, None))
+        body = body.where(in_range("bucket", cut, None, zoned=is_zoned(body)))
         start = new_start
     return replace(rollup, df=union_parts(body, *parts), meta=replace(m, start=start, end=end))
 
 
 def merge_states(rollup: Rollup, delta: DataFrame) -> Rollup:
     """Merges the states of new points (late ones, new series) into the old: union and one exchange."""
-    states = [f"{f}__{s}" for f in rollup.meta.fields for s in states_of(rollup.meta.fns)]
-    both = rollup.df.unionByName(delta)
-    out = both.groupBy("bucket", *rollup.meta.tags).agg(*[MERGE[c.rpartition("__")[2]](c).alias(c) for c in states])
-    return replace(rollup, df=out)
+    return replace(rollup, df=merge_rows(rollup.df.unionByName(delta), rollup.meta))
 
 
 def raw_delta(rollup: Rollup, raw: DataFrame, start: int | None, end: int | None) -> DataFrame:

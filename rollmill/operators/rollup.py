@@ -11,7 +11,7 @@ from dataclasses import replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import in_range
+from ..functions.columns import in_range, is_zoned
 from ..spec import MetricTable, Rollup, RollupMeta, fingerprint, seconds
 from .aggregate import apply_filters, bucket_agg, edge, in_time, quotient, total
 
@@ -36,6 +36,12 @@ def _merged(rollup: Rollup, bucket: Column, tags) -> DataFrame:
     return rollup.df.groupBy(bucket.alias("bucket"), *tags).agg(*[MERGE[c.rpartition("__")[2]](c).alias(c) for c in states])
 
 
+def merge_rows(df: DataFrame, meta: RollupMeta) -> DataFrame:
+    """States of the same buckets and series put together: one exchange."""
+    states = [f"{f}__{s}" for f in meta.fields for s in states_of(meta.fns)]
+    return df.groupBy("bucket", *meta.tags).agg(*[MERGE[c.rpartition("__")[2]](c).alias(c) for c in states])
+
+
 def _coarse(window: int) -> Column:
     return F.window("bucket", f"{window} seconds")["start"]
 
@@ -51,11 +57,11 @@ def build_rollup(df: DataFrame, mt: MetricTable, window: int | str, tags, filter
 
 def slice_rollup(rollup: Rollup, start: int | None, end: int | None) -> Rollup:
     """The whole buckets that overlap [start, end): a predicate on the bucket."""
-    df = rollup.df
+    df, zoned = rollup.df, is_zoned(rollup.df)
     if start is not None:
-        df = df.where(in_range("bucket", start - rollup.meta.window, None, "open"))
+        df = df.where(in_range("bucket", start - rollup.meta.window, None, "open", zoned))
     if end is not None:
-        df = df.where(in_range("bucket", None, end))
+        df = df.where(in_range("bucket", None, end, zoned=zoned))
     return replace(rollup, df=df, meta=replace(rollup.meta, start=start, end=end))
 
 
@@ -138,6 +144,14 @@ def answer(rollup: Rollup, fn: str, window: int | str, tags, fields=("*",), star
     return finalize(regroup_downsample(part, tags, window), (fn,), fields)
 
 
+def answer_parts(parts, fn: str, window: int, tags, fields) -> DataFrame:
+    """One answer from several rollups, each sliced to its own whole windows of the range: only the states that the function needs are united, then one exchange."""
+    mt, states = parts[0].mt, [f"{f}__{s}" for f in fields for s in NEEDS[fn]]
+    rows = union_parts(*[p.df.select(_coarse(window).alias("bucket"), *tags, *states) for p in parts])
+    meta = replace(parts[0].meta, window=window, tags=tuple(tags), fns=(fn,), fields=tuple(fields))
+    return finalize(Rollup(merge_rows(rows, meta), mt, meta), (fn,), fields)
+
+
 def _mean_of_means(rollup: Rollup, window: int, tags, fields) -> DataFrame:
     fields = rollup.meta.fields if list(fields) == ["*"] else fields
     means = finalize(rollup, ("mean",), fields)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .jobs import audit, reuse
-from .jobs.serve import serve
+from .jobs.serve import absorb, serve
 from .jobs.suite import answer_suite, run_query
 from .operators import aggregate as A
 from .operators import gapfill, refresh, series
@@ -461,6 +461,80 @@ def serve_miss(spark, d):
     return _served(spark, d, [(HOUR * 7, EVENTS.tags, T0, T2)], "miss")
 
 
+_ASKED = MetricQuery("events", ("value",), "mean", DAY, ("event_type",), (BOTH,), T0, T2)
+
+
+def _stored(spark, points, root, window, tags, start, end, fns=("mean", "max")):
+    r = R.build_rollup(points, EVENTS, window, tags, [BOTH], fns, start, end)
+    store.save_rollup(r, store.place(root, r.meta))
+
+
+def _came(got, kind: str):
+    if got.kind != kind:
+        raise AssertionError(f"{got.kind}, not {kind}")
+    return got.df
+
+
+@query("serve_late", agg_sql(EVENTS, DAY, ("event_type",), ("mean", "max"), ("value", "k"), f"{IN} AND {RANGE}"))
+def serve_late(spark, d):
+    """Every fifth point comes after two rollups of its range were stored; a batch of them is merged into both, and sent once more."""
+    root, e = store.shared_folder(spark, "store"), events(spark, d)
+    late = e.where(F.pmod("event_id", F.lit(5)) == 0)
+    for window, tags in ((600, EVENTS.tags), (HOUR, ("event_type",))):
+        _stored(spark, e.where(F.pmod("event_id", F.lit(5)) != 0), root, window, tags, T0, T2 + 1800)
+    if [absorb(root, late, EVENTS, "late points"), absorb(root, late, EVENTS, "late points")] != [2, 0]:
+        raise AssertionError("a batch must be merged once into each rollup")
+    ask = lambda fn: _came(serve(root, e, EVENTS, MetricQuery("events", ("*",), fn, DAY, ("event_type",), (BOTH,), T0, T2)), "hit")
+    return ask("mean").join(ask("max"), ["bucket", "event_type"])
+
+
+@query("serve_fields", agg_sql(EVENTS, DAY, ("event_type",), ("mean",), ("value", "k"), f"{IN} AND {RANGE}"))
+def serve_fields(spark, d):
+    """Two panels ask one field each: the first one builds a rollup of all fields, the second is a hit."""
+    root, e = store.shared_folder(spark, "store"), events(spark, d)
+    ask = lambda field, kind: _came(serve(root, e, EVENTS, MetricQuery("events", (field,), "mean", DAY, ("event_type",), (BOTH,), T0, T2)), kind)
+    return ask("value", "miss").join(ask("k", "hit"), ["bucket", "event_type"])
+
+
+@query("serve_cover", _SERVED)
+def serve_cover(spark, d):
+    """Two rollups of other tags and windows cover the range together: no raw point is read."""
+    root, e = store.shared_folder(spark, "store"), events(spark, d)
+    _stored(spark, e, root, 600, EVENTS.tags, T0 - HOUR, T1 + 2 * DAY + HOUR)
+    _stored(spark, e, root, HOUR, ("event_type",), T1, T2 + DAY)
+    return _came(serve(root, e, EVENTS, _ASKED), "cover")
+
+
+@query("serve_gap", _SERVED)
+def serve_gap(spark, d):
+    """Between two rollups three days are missing: these alone are aggregated."""
+    root, e = store.shared_folder(spark, "store"), events(spark, d)
+    _stored(spark, e, root, 600, EVENTS.tags, T0 - HOUR, T1)
+    _stored(spark, e, root, HOUR, ("event_type",), T1 + 3 * DAY, T2 + DAY)
+    got = serve(root, e, EVENTS, _ASKED)
+    if got.read != ((T1, T1 + 3 * DAY),):
+        raise AssertionError(f"read {got.read}")
+    return _came(got, "extend")
+
+
+@query("serve_empty", _grid_sql(HOUR, "event_type", agg_sql(EVENTS, HOUR, ("event_type",), ("mean",), ("value",), f"{IN} AND {RANGE}"), "mean_value"))
+def serve_empty(spark, d):
+    """Windows without points, from a stored rollup."""
+    root, e = store.shared_folder(spark, "store"), events(spark, d)
+    _stored(spark, e, root, 600, EVENTS.tags, T0 - DAY, T2)
+    return _came(serve(root, e, EVENTS, MetricQuery("events", ("value",), "mean", HOUR, ("event_type",), (BOTH,), T0, T2, create_empty=True)), "hit")
+
+
+@query("snapshot_read", agg_sql(EVENTS, HOUR, EVENTS.tags, ("mean", "count"), ("value", "k"), f"ts >= {_at(T0)} AND ts < {_at(T1)}"))
+def snapshot_read(spark, d):
+    """An answer that was taken before its rollup grew, and before a part of it was computed anew, reads what it was taken from."""
+    path, e = store.shared_folder(spark, "rollup"), events(spark, d)
+    store.save_rollup(R.build_rollup(e, EVENTS, HOUR, EVENTS.tags, start=T0, end=T1), path)
+    before = R.finalize(store.load_rollup(spark, path, EVENTS), ("mean", "count"))
+    store.save_rollup(R.build_rollup(e.where("event_type <> 'click'"), EVENTS, HOUR, EVENTS.tags, start=T0 + DAY, end=T2), path)
+    return before
+
+
 @query("save_part", agg_sql(EVENTS, HOUR, EVENTS.tags, ("mean", "count"), ("value", "k")))
 def save_part(spark, d):
     """A part that starts and ends inside days is stored over the whole: nothing else of those days is lost."""
@@ -741,6 +815,19 @@ def stream_rollup(spark, d):
     return rows.select(F.col("bucket").cast("timestamp_ntz").alias("bucket"), "event_type", F.col("s.value__n").alias("count_value"), F.col("s.value__max").alias("max_value"))
 
 
+@query("stream_served", _SERVED)
+def stream_served(spark, d):
+    """A stream into a catalogued rollup, whose last batch is committed twice as after a crash, answers a dashboard's query."""
+    root, check = store.shared_folder(spark, "store"), store.shared_folder(spark, "stream-checkpoint")
+    meta = S.upserted_meta(EVENTS, HOUR, EVENTS.tags, filters=(BOTH,))
+    path = store.place(root, meta)
+    S.stream_upsert(_stream(spark, d), EVENTS, HOUR, EVENTS.tags, path, check, filters=(BOTH,)).awaitTermination()
+    last = store.snapshot(spark, path).ledger["stream"]
+    if store.merge_rollup(R.build_rollup(events(spark, d), EVENTS, HOUR, EVENTS.tags, [BOTH]), path, "stream", last):
+        raise AssertionError("a batch was merged twice")
+    return _came(serve(root, events(spark, d), EVENTS, _ASKED), "hit")
+
+
 @query("stream_upsert", agg_sql(EVENTS, HOUR, EVENTS.tags, ("mean", "count"), ("value",)))
 def stream_upsert(spark, d):
     path, check = store.shared_folder(spark, "upsert"), store.shared_folder(spark, "upsert-checkpoint")

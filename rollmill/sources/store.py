@@ -1,21 +1,41 @@
-"""Rollups on disk: partitioned by the day or year of their buckets, with a catalog of what they hold."""
+"""Rollups on disk as snapshots, and a catalog of several rollups.
+
+A rollup's folder holds ``data/v=<write>/date=<period>/`` with files that never change, and ``manifest/<version>.json``. A manifest
+names the writes that make up each period (a day, or a year for windows of a day or more), what the rollup describes,
+and which batches of late or streamed points it holds. A save writes new files, then one manifest: that is the commit. Before it the
+old state stands, after it the new one; answers taken earlier still read their files, until ``vacuum`` finds them superseded for long enough.
+"""
 
 from __future__ import annotations
 
 import hashlib
 import json
 import tempfile
+import time
 import uuid
-from dataclasses import asdict, replace
+from collections.abc import Callable
+from dataclasses import asdict, dataclass, replace
+from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import in_range, moment
+from ..functions.columns import in_range, moment, to_epoch
+from ..operators.rollup import merge_rows
 from ..spec import MetricTable, Rollup, RollupMeta, filter_from
 
 CATALOG = "table string, agg_fn string, filter_key string, group_keys array<string>, window_s bigint, range_start bigint, range_end bigint"
+#: Writes of one period that reads put together; more are compacted.
+WRITES = 8
+#: Seconds that superseded files stay for readers that began before.
+KEEP = 86400
+#: Saves that find another one committed meanwhile start anew so often.
+ATTEMPTS = 5
+
+
+class Conflict(RuntimeError):
+    """Others kept committing to the same rollup."""
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -26,8 +46,8 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="rollmill-")
     path = f"{base.rstrip('/')}/rollmill-{uuid.uuid4().hex}-{name}"
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    fs, where = _at(spark, path)
+    fs.deleteOnExit(where)
     return path
 
 
@@ -36,35 +56,153 @@ def catalog_row(spark: SparkSession, meta: RollupMeta) -> DataFrame:
     return spark.createDataFrame([row], CATALOG)
 
 
-def period(window: int):
-    """The partition of a bucket: its day, or its year where windows are of a day or more (a few files each, not one per bucket)."""
-    return F.date_format("bucket", _pattern(window))
+def period(window: int, zoned: bool = False) -> Column:
+    """The partition of a bucket: its day in UTC, or its year where windows are of a day or more, whatever the session's zone."""
+    return F.date_format(moment(to_epoch(F.col("bucket"), zoned=True)) if zoned else F.col("bucket"), "yyyy-MM-dd" if window < 86400 else "yyyy")
 
 
-def _pattern(window: int) -> str:
-    return "yyyy-MM-dd" if window < 86400 else "yyyy"
+def _period_of(epoch: int, window: int) -> str:
+    at = datetime(1970, 1, 1) + timedelta(seconds=epoch)
+    return at.strftime("%Y-%m-%d" if window < 86400 else "%Y")
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
+# ---- files -------------------------------------------------------------------------------------
+
+
+def _at(spark: SparkSession, path: str):
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(where)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def _names(spark: SparkSession, path: str) -> dict[str, int]:
+    """What a folder holds, with the times of change in milliseconds; nothing where it is not."""
+    fs, where = _at(spark, path)
+    return {s.getPath().getName(): s.getModificationTime() for s in fs.listStatus(where)} if fs.exists(where) else {}
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _at(spark, path)
+    found = fs.globStatus(where)
     return found is not None and len(found) > 0
 
 
 def _delete(spark: SparkSession, path: str) -> None:
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    fs, where = _at(spark, path)
+    fs.delete(where, True)
+
+
+def _text(spark: SparkSession, path: str) -> str:
+    fs, where = _at(spark, path)
+    stream = fs.open(where)
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _publish(spark: SparkSession, path: str, text: str) -> bool:
+    """Writes a file that appears in whole or not at all; false where one of this name is there (file systems that rename atomically tell this of two writers at once)."""
+    fs, where = _at(spark, path)
+    hidden = f"{path.rpartition('/')[0]}/_{uuid.uuid4().hex}"
+    _, staged = _at(spark, hidden)
+    stream = fs.create(staged, False)
+    stream.write(bytearray(text, "utf-8"))
+    stream.close()
+    if fs.exists(where) or not fs.rename(staged, where):
+        fs.delete(staged, False)
+        return False
+    return True
+
+
+# ---- snapshots ---------------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """One state of a stored rollup. ``ledger``: the last number of each source of batches that is in it."""
+
+    version: int
+    meta: RollupMeta
+    schema: str
+    filters: str
+    periods: dict[str, list[str]]
+    ledger: dict[str, int]
+    at: float
+
+    def json(self) -> str:
+        m = self.meta
+        shown = {"table": m.table, "agg_fn": ",".join(m.fns), "filter_key": m.filter_key, "group_keys": sorted(m.tags), "window_s": m.window, "range_start": m.start, "range_end": m.end}
+        return json.dumps(shown | {"version": self.version, "meta": json.dumps(asdict(m)), "schema": self.schema, "filters": self.filters, "periods": self.periods, "ledger": self.ledger, "at": self.at})
 
 
 def _meta(text: str) -> RollupMeta:
     return RollupMeta(**{k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(text).items()})
 
 
+def _manifest(path: str, version: int) -> str:
+    return f"{path}/manifest/{version:012d}.json"
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    return sorted(int(n[:-5]) for n in _names(spark, f"{path}/manifest") if n.endswith(".json") and n[:-5].isdigit())
+
+
+def snapshot(spark: SparkSession, path: str, version: int | None = None) -> Snapshot | None:
+    """The latest state (or an earlier one that is still kept); None where nothing is stored."""
+    if version is None:
+        versions = _versions(spark, path)
+        if not versions:
+            return None
+        version = versions[-1]
+    d = json.loads(_text(spark, _manifest(path, version)))
+    return Snapshot(version, _meta(d["meta"]), d["schema"], d["filters"], d["periods"], d["ledger"], d["at"])
+
+
+def _zoned(df: DataFrame) -> bool:
+    return df.schema["bucket"].dataType.typeName() == "timestamp"
+
+
+def _read(spark: SparkSession, path: str, now: Snapshot, dates=None) -> DataFrame:
+    """The states of the named periods (all by default). Periods of several writes are merged, the others are read as they lie."""
+    schema = T.StructType.fromJson(json.loads(now.schema))
+    wanted = {d: vs for d, vs in now.periods.items() if dates is None or d in dates}
+    parts = []
+    for merged in (False, True):
+        paths = [f"{path}/data/v={v}/date={d}" for d, vs in sorted(wanted.items()) if (len(vs) > 1) == merged for v in vs]
+        if paths:
+            whole = T.StructType([*schema.fields, T.StructField("v", T.StringType()), T.StructField("date", T.StringType())])
+            df = spark.read.schema(whole).option("basePath", f"{path}/data").parquet(*paths).drop("v", "date")
+            parts.append(merge_rows(df, now.meta) if merged else df)
+    if not parts:
+        return spark.createDataFrame([], schema)
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+def _write(df: DataFrame, path: str, meta: RollupMeta) -> tuple[str, list[str]]:
+    """Writes rows as new files and tells the name of the write and its periods. Tasks are cut by size, not by period; files are sorted by series, so that filters on tags skip row groups."""
+    seen, name = Observation(), uuid.uuid4().hex
+    dated = df.withColumn("date", period(meta.window, _zoned(df))).observe(seen, F.collect_set("date").alias("dates"))
+    order = ["date", *sorted(meta.tags), "bucket"]
+    dated.hint("rebalance", F.col("date")).sortWithinPartitions(*order).write.mode("errorifexists").partitionBy("date").parquet(f"{path}/data/v={name}")
+    return name, seen.get["dates"]
+
+
+def _commit(spark: SparkSession, path: str, change: Callable[[Snapshot | None], Snapshot | None]) -> Snapshot | None:
+    """Commits ``change(latest)`` as the next version; anew where another writer was faster. None from ``change`` means that nothing is to be done."""
+    for _ in range(ATTEMPTS):
+        old = snapshot(spark, path)
+        made = change(old)
+        if made is None:
+            return None
+        made = replace(made, version=old.version + 1 if old else 1, at=time.time())
+        if _publish(spark, _manifest(path, made.version), made.json()):
+            return made
+    raise Conflict(f"{path} changed {ATTEMPTS} times while it was being saved")
+
+
 def _replaced(old: RollupMeta, new: RollupMeta) -> tuple[int | None, int | None]:
     """The buckets [low, high) that ``new`` replaces in ``old``: all of its range but for a partial bucket at an edge, which stays as ``old`` has it in whole."""
-    same = [old.table, old.window, sorted(old.tags), old.fns, old.fields, old.filter_key] == [new.table, new.window, sorted(new.tags), new.fns, new.fields, new.filter_key]
-    if not same:
-        raise ValueError("the stored rollup is of another shape")
+    _same_shape(old, new)
     if (new.start is not None and old.end is not None and new.start > old.end) or (new.end is not None and old.start is not None and new.end < old.start):
         raise ValueError("between the stored range and the new one is a gap")
     w, low, high = new.window, new.start, new.end
@@ -81,60 +219,127 @@ def _replaced(old: RollupMeta, new: RollupMeta) -> tuple[int | None, int | None]
     return low, high
 
 
-def save_rollup(rollup: Rollup, path: str) -> None:
+def _same_shape(old: RollupMeta, new: RollupMeta) -> None:
+    shape = lambda m: [m.table, m.window, sorted(m.tags), m.fns, m.fields, m.filter_key]
+    if shape(old) != shape(new):
+        raise ValueError("the stored rollup is of another shape")
+
+
+def _hull(old: RollupMeta, new: RollupMeta) -> RollupMeta:
+    least = lambda x, y, f: None if x is None or y is None else f(x, y)
+    return replace(new, start=least(old.start, new.start, min), end=least(old.end, new.end, max))
+
+
+def _first(df: DataFrame, rollup: Rollup, meta: RollupMeta, periods: dict, ledger: dict) -> Snapshot:
+    return Snapshot(0, meta, df.schema.json(), json.dumps([f.document() for f in rollup.filters]), periods, ledger, 0.0)
+
+
+def save_rollup(rollup: Rollup, path: str) -> Snapshot:
     """Stores a rollup; what is stored already is kept outside its range and replaced inside.
 
     Only the periods (days or years, see ``period``) that the range touches are written. In these the stored buckets outside the range
     are merged in. The stored range becomes the hull of both, which must touch. A bucket that is partial at an edge of
     the new range stays as stored if the store has it in whole. ``rollup`` may be one that was loaded from ``path`` and extended.
+    A save that dies before its commit leaves the old state; one that finds another committed meanwhile starts anew.
     """
-    spark, meta, df = rollup.df.sparkSession, rollup.meta, rollup.df
-    gone: set[str] = set()
-    if _exists(spark, f"{path}/catalog"):
-        old = load_rollup(spark, path, rollup.mt, rollup.filters)
+    spark = rollup.df.sparkSession
+
+    def change(old: Snapshot | None) -> Snapshot:
+        df, meta = rollup.df, rollup.meta
+        if old is None:
+            name, dates = _write(df, path, meta)
+            return _first(df, rollup, meta, {d: [name] for d in dates}, {})
         low, high = _replaced(old.meta, meta)
         df = df.where(in_range("bucket", low, high, zoned=_zoned(df)))
-        first, last = [None if x is None else F.date_format(moment(x), _pattern(meta.window)) for x in (meta.start, meta.end)]
-        near = F.lit(True) if first is None else F.col("date") >= first
-        near = near if last is None else near & (F.col("date") <= last)
-        dated = _read(spark, path).where(near)
-        # periods of the range are few: one a day or year
-        before = {r.date for r in dated.select("date").distinct().collect()}
+        first, last = [None if x is None else _period_of(x, meta.window) for x in (meta.start, meta.end)]
+        touched = {d for d in old.periods if (first is None or d >= first) and (last is None or d <= last)}
         outside = F.lit(False)
         if low is not None:
             outside = outside | in_range("bucket", None, low, zoned=_zoned(df))
         if high is not None:
             outside = outside | in_range("bucket", high, None, zoned=_zoned(df))
-        df = df.unionByName(dated.where(outside).drop("date"))
-        hull = lambda x, y, least: None if x is None or y is None else least(x, y)
-        meta = replace(meta, start=hull(old.meta.start, meta.start, min), end=hull(old.meta.end, meta.end, max))
-        gone = before
-    dated = df.withColumn("date", period(meta.window))
-    # the files are staged first: what is read from the same folder is read before it is replaced
-    seen = Observation()
-    dated = dated.observe(seen, F.collect_set("date").alias("dates"))
-    dated.repartition("date").sortWithinPartitions("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(f"{path}/data")
-    for date in gone - set(seen.get["dates"]):  # nothing is left of these
-        _delete(spark, f"{path}/data/date={date}")
-    stored = [F.lit(json.dumps(asdict(meta))).alias("meta"), F.lit(dated.drop("date").schema.json()).alias("schema"), F.lit(json.dumps([f.document() for f in rollup.filters])).alias("filters")]
-    catalog_row(spark, meta).select("*", *stored).coalesce(1).write.mode("overwrite").parquet(f"{path}/catalog")
-
-
-def _zoned(df: DataFrame) -> bool:
-    return df.schema["bucket"].dataType.typeName() == "timestamp"
+        if touched and (low is not None or high is not None):
+            df = df.unionByName(_read(spark, path, old, touched).where(outside))
+        name, dates = _write(df, path, meta)
+        return replace(old, meta=_hull(old.meta, meta), periods={d: vs for d, vs in old.periods.items() if d not in touched} | {d: [name] for d in dates})
 
+    done = _commit(spark, path, change)
+    vacuum(spark, path)
+    return done
 
-def _read(spark: SparkSession, path: str) -> DataFrame:
-    row = spark.read.schema("schema string").parquet(f"{path}/catalog").first()
-    schema = T.StructType.fromJson(json.loads(row["schema"])).add("date", T.StringType())
-    return spark.read.schema(schema).parquet(f"{path}/data")
 
+def merge_rollup(delta: Rollup, path: str, source: str, number: int = 0) -> bool:
+    """Merges the states of new points into a stored rollup, writing only the periods they touch; creates it where nothing is stored.
 
-def load_rollup(spark: SparkSession, path: str, mt: MetricTable, filters=()) -> Rollup:
-    """A stored rollup, with the schema its catalog names; filters on ``bucket`` prune row groups, on ``date`` partitions."""
-    row = spark.read.schema("meta string, filters string").parquet(f"{path}/catalog").first()
-    filters = tuple(filters) or tuple(filter_from(f) for f in json.loads(row["filters"]))
-    return Rollup(_read(spark, path).drop("date"), mt, _meta(row["meta"]), filters)
+    ``number`` counts the batches of ``source``: one that is not above the stored number is in the rollup already, changes nothing and gives false.
+    States and number are committed together, so a batch that is replayed after a crash counts once. ``delta`` must have the stored shape and, at its edges, only
+    points of the stored range.
+    """
+    spark = delta.df.sparkSession
+
+    def change(old: Snapshot | None) -> Snapshot | None:
+        if old is not None and old.ledger.get(source, -1) >= number:
+            return None
+        if old is not None:
+            _same_shape(old.meta, delta.meta)
+        name, dates = _write(delta.df, path, delta.meta)
+        if old is None:
+            return _first(delta.df, delta, delta.meta, {d: [name] for d in dates}, {source: number})
+        return replace(old, periods=old.periods | {d: [*old.periods.get(d, []), name] for d in dates}, ledger=old.ledger | {source: number})
+
+    done = _commit(spark, path, change)
+    if done is not None and any(len(vs) > WRITES for vs in done.periods.values()):
+        compact(spark, path, WRITES)
+    return done is not None
+
+
+def compact(spark: SparkSession, path: str, more_than: int = 1) -> bool:
+    """Folds periods of more than so many writes into one write each. Readers keep what they have; false where there is nothing to do."""
+
+    def change(old: Snapshot | None) -> Snapshot | None:
+        many = {d for d, vs in (old.periods if old else {}).items() if len(vs) > more_than}
+        if not many:
+            return None
+        name, dates = _write(_read(spark, path, old, many), path, old.meta)
+        return replace(old, periods={d: vs for d, vs in old.periods.items() if d not in many} | {d: [name] for d in dates})
+
+    done = _commit(spark, path, change) is not None
+    vacuum(spark, path)
+    return done
+
+
+def vacuum(spark: SparkSession, path: str, keep: float = KEEP) -> int:
+    """Deletes manifests superseded for over ``keep`` seconds, and files that no other names and that are as old; tells how many writes or periods of writes went."""
+    before = time.time() - keep
+    kept = [snapshot(spark, path, v) for v in _versions(spark, path)]
+    gone = [s for s, then in zip(kept, kept[1:], strict=False) if then.at < before]
+    kept = kept[len(gone) :]
+    for s in gone:
+        _delete(spark, _manifest(path, s.version))
+    named = {(v, d) for s in kept for d, vs in s.periods.items() for v in vs}
+    n = 0
+    for folder, changed in _names(spark, f"{path}/data").items():
+        if changed >= before * 1000:
+            continue
+        dates = {d[5:] for d in _names(spark, f"{path}/data/{folder}") if d.startswith("date=")}
+        dead = {d for d in dates if (folder[2:], d) not in named}
+        for d in dead if dead != dates else ():
+            _delete(spark, f"{path}/data/{folder}/date={d}")
+        if dead == dates:
+            _delete(spark, f"{path}/data/{folder}")
+        n += len(dead) or not dates
+    return n
+
+
+def load_rollup(spark: SparkSession, path: str, mt: MetricTable, filters=(), start: int | None = None, end: int | None = None, version: int | None = None) -> Rollup:
+    """A stored rollup as of now (or of a kept ``version``); it keeps reading these files when others save. With ``start`` and ``end`` only the periods of that range are listed and read."""
+    now = snapshot(spark, path, version)
+    if now is None:
+        raise FileNotFoundError(f"no rollup is stored in {path}")
+    filters = tuple(filters) or tuple(filter_from(f) for f in json.loads(now.filters))
+    low, high = [None if x is None else _period_of(x, now.meta.window) for x in (None if start is None else start - now.meta.window, end)]
+    dates = {d for d in now.periods if (low is None or d >= low) and (high is None or d <= high)}
+    return Rollup(_read(spark, path, now, dates), mt, now.meta, filters)
 
 
 # ---- a folder of several rollups ------------------------------------------------------------------
@@ -148,17 +353,19 @@ def place(root: str, meta: RollupMeta) -> str:
 
 def catalog(spark: SparkSession, root: str) -> DataFrame:
     """One row per rollup below ``root`` with its ``path``; none where nothing is stored."""
-    kinds = f"{CATALOG}, meta string"
-    if not _exists(spark, f"{root}/*/catalog/*.parquet"):
+    kinds = f"{CATALOG}, meta string, filters string, version bigint"
+    if not _exists(spark, f"{root}/*/manifest/*.json"):
         return spark.createDataFrame([], f"{kinds}, path string")
-    rows = spark.read.schema(kinds).parquet(f"{root}/*/catalog")
-    return rows.withColumn("path", F.regexp_replace(F.col("_metadata.file_path"), "/catalog/[^/]*$", ""))
+    rows = spark.read.schema(kinds).json(f"{root}/*/manifest/[0-9]*.json")
+    rows = rows.withColumn("path", F.regexp_replace(F.col("_metadata.file_path"), "/manifest/[^/]*$", ""))
+    return rows.groupBy("path").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "path"]), "version").alias("r")).select("r.*", "path")
 
 
-def find_rollups(spark: SparkSession, root: str, table: str, filter_key: str) -> list[tuple[str, RollupMeta]]:
-    """Path and metadata of the stored rollups of a table and filter set: as many as were stored for it, whatever the data."""
-    rows = catalog(spark, root).where((F.col("table") == table) & (F.col("filter_key") == filter_key))
-    return [(r.path, _meta(r.meta)) for r in rows.select("path", "meta").collect()]
+def find_rollups(spark: SparkSession, root: str, table: str, filter_key: str | None = None) -> list[tuple[str, RollupMeta, tuple]]:
+    """Path, metadata and filters of the stored rollups of a table (and filter set): as many as were stored for it, whatever the data."""
+    rows = catalog(spark, root).where(F.col("table") == table)
+    rows = rows if filter_key is None else rows.where(F.col("filter_key") == filter_key)
+    return [(r.path, _meta(r.meta), tuple(filter_from(f) for f in json.loads(r.filters))) for r in rows.select("path", "meta", "filters").collect()]
 
 
 def clear(spark: SparkSession, root: str) -> None:

@@ -32,7 +32,7 @@ class MetricTable:
     """A table of points: a time, string tags, float fields and columns that settle ties in time.
 
     ``places`` declares that the fields are decimal numbers with so many places, below 10^(18 - places): their sums and means are then
-    exact, so that they do not depend on the order of adding. Values that are no such numbers are rounded to the places; NaN and infinities are errors.
+    exact, so that they do not depend on the order of adding. Values that are no such numbers (more places, NaN, infinities) are errors.
     """
 
     name: str

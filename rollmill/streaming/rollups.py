@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.refresh import merge_states
-from ..operators.rollup import _state, build_rollup, states_of
-from ..spec import MetricTable, Rollup, RollupMeta, seconds
+from ..operators.rollup import DEFAULT, _state, build_rollup, states_of
+from ..sources import store
+from ..spec import MetricTable, Rollup, RollupMeta, fingerprint, seconds
 
 
 def zoned(stream: DataFrame, mt: MetricTable) -> DataFrame:
@@ -19,7 +18,7 @@ def zoned(stream: DataFrame, mt: MetricTable) -> DataFrame:
     return stream.withColumn(mt.time, F.col(mt.time).cast("timestamp"))
 
 
-def stream_rollup(stream: DataFrame, mt: MetricTable, window: int | str, tags, watermark: str = "1 hour", fns=("mean", "sum", "count", "min", "max")) -> DataFrame:
+def stream_rollup(stream: DataFrame, mt: MetricTable, window: int | str, tags, watermark: str = "1 hour", fns=DEFAULT) -> DataFrame:
     """A continuous rollup for output modes update or append: state is held for open windows only, points behind the watermark are dropped."""
     window = seconds(window)
     points = zoned(stream, mt).withWatermark(mt.time, watermark)
@@ -27,10 +26,15 @@ def stream_rollup(stream: DataFrame, mt: MetricTable, window: int | str, tags, w
     return out.select(F.col("w.start").alias("bucket"), *tags, *[f"{f}__{s}" for f in mt.fields for s in states_of(fns)])
 
 
-def stream_upsert(stream: DataFrame, mt: MetricTable, window: int | str, tags, path: str, checkpoint: str, fns=("mean", "sum", "count", "min", "max"), horizon: int | None = None) -> StreamingQuery:
-    """Writes the states of each micro-batch to ``path/batch_id=<n>``; a replayed batch overwrites its own folder, so no point counts twice.
+def stream_upsert(
+    stream: DataFrame, mt: MetricTable, window: int | str, tags, path: str, checkpoint: str, fns=DEFAULT, horizon: int | None = None, filters=(), name: str = "stream", start: int | None = None, end: int | None = None
+) -> StreamingQuery:
+    """Merges each micro-batch into the rollup stored in ``path`` (``store.place`` of its ``meta`` below a root makes ``serve`` find it).
 
-    Takes late points, with ``horizon`` only as long as they lie within that many seconds of the batch's latest.
+    States and the number of the batch are committed in one manifest, so a batch that is replayed after a crash counts once; ``name`` tells streams
+    into one rollup apart. Only touched periods get a new write, and periods of many writes are folded together in place; readers keep the files that they began
+    with. Takes late points, with ``horizon`` only as long as they lie within that many seconds of the batch's latest. The stored range is [start, end):
+    open by default, that is, the stream brings every point there is.
     """
 
     def write(batch: DataFrame, n: int) -> None:
@@ -38,17 +42,21 @@ def stream_upsert(stream: DataFrame, mt: MetricTable, window: int | str, tags, p
             latest = batch.agg(F.max(mt.time)).first()[0]  # one value
             if latest is not None:
                 batch = batch.where(F.col(mt.time) >= F.lit(latest - timedelta(seconds=horizon)))
-        build_rollup(batch, mt, window, tags, (), fns).df.write.mode("overwrite").parquet(f"{path}/batch_id={n}")
+        store.merge_rollup(build_rollup(batch, mt, window, tags, filters, fns, start, end), path, name, n)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def read_upserted(spark: SparkSession, path: str, mt: MetricTable, window: int | str, tags, fns=("mean", "sum", "count", "min", "max")) -> Rollup:
-    """The stored batches merged into one rollup."""
-    empty = Rollup(spark.read.parquet(path).drop("batch_id"), mt, RollupMeta(mt.name, seconds(window), tuple(tags), tuple(fns), tuple(mt.fields)))
-    return merge_states(replace(empty, df=empty.df.limit(0)), empty.df)
+def upserted_meta(mt: MetricTable, window: int | str, tags, fns=DEFAULT, filters=(), start: int | None = None, end: int | None = None) -> RollupMeta:
+    """What ``stream_upsert`` stores, for ``store.place``."""
+    return RollupMeta(mt.name, seconds(window), tuple(tags), tuple(fns), mt.fields, fingerprint(filters), start, end)
 
 
-def compact(spark: SparkSession, path: str, target: str, mt: MetricTable, window: int | str, tags, fns=("mean", "sum", "count", "min", "max")) -> None:
-    """Folds all batches of ``path`` into one of ``target``."""
-    read_upserted(spark, path, mt, window, tags, fns).df.write.mode("overwrite").parquet(f"{target}/batch_id=0")
+def read_upserted(spark: SparkSession, path: str, mt: MetricTable, window: int | str = 0, tags=(), fns=DEFAULT) -> Rollup:
+    """What streams have stored in ``path`` so far; window, tags and functions are those of the store."""
+    return store.load_rollup(spark, path, mt)
+
+
+def compact(spark: SparkSession, path: str, target: str, mt: MetricTable, window: int | str = 0, tags=(), fns=DEFAULT) -> None:
+    """A copy with one write a period; ``store.compact`` does the same in place."""
+    store.save_rollup(read_upserted(spark, path, mt), target)
