@@ -8,8 +8,6 @@ the corpus in three steps: per document, in each task before the shuffle, then p
 from __future__ import annotations
 
 import functools
-import re
-import struct
 
 import numpy as np
 import pyarrow as pa
@@ -18,128 +16,101 @@ from pyspark.sql import functions as F
 
 from .common import keyed_join, materialize, small
 from .packing import ByteBpe
-from .pieces import SPACE, PieceBpe
+from .pieces import SPACE, Pieces
 
-#: Segments whose alignment a worker remembers: some 120 MB where a corpus has as many.
-REMEMBERED = 300_000
 #: A table of pairs with at most so many rows (32 MB) goes to every executor; a larger one is joined by a shuffle, with frequent pairs dealt out.
 SENT = 1_000_000
 #: A pair of ids in one number: the first in the upper bits.
 BITS = 32
 
 
-class Aligner(dict):
-    """Maps a segment (what follows one space) to its groups as text, its linked pairs of ids (one for each link, as 64-bit numbers), and its tokens of side A.
-
-    Both sides cut before a single space between other characters, so segments do not depend on each other. ``bare`` is the same for text that no space comes before.
-    """
-
-    _WHITE = r"\s\x1c-\x1f\x85"
-    #: White space next to a space belongs to the same run.
-    _RUN = re.compile(rf"[{_WHITE}] |^[{_WHITE}]| $| [{_WHITE}]")
-    _SINGLE = re.compile(rf"(?<=[^{_WHITE}]) (?=[^{_WHITE}])")
-    #: Lines that are not empty and have no white space at their ends.
-    _LINES = re.compile(rf"[^{_WHITE}]([^\n]*[^{_WHITE}])?(\n[^{_WHITE}]([^\n]*[^{_WHITE}])?)+")
+class Aligner:
+    """Two vocabularies that a worker holds, and the alignment of a list of texts, which lie one after the other in arrays."""
 
     def __init__(self, path_a: str, path_b: str):
         import sentencepiece
 
-        self.a, self.b = ByteBpe(path_a), PieceBpe(path_b)
-        self.after_space = sentencepiece.SentencePieceProcessor(model_file=path_b).encode  # puts a space in front
-        self.size_a = {i: len(t) for t, i in self.a.bpe._mergeable_ranks.items()}
-        self.size_b = [len(s) for s in self.b.shows]
-        self.bare: dict[str, tuple[str, bytes, int]] = {}
-
-    def align(self, shown: str) -> tuple[list[int], list[int], list[tuple[int, int]], list[tuple[list[int], list[int]]]]:
-        """Ids of both sides, links by positions, and groups by ids."""
-        a, b = self.a.ordinary(shown), self.after_space(shown[1:]) if shown[0] == " " else self.b.tokens(shown)
-        size_a, size_b, n_a = self.size_a, self.size_b, len(a)
-        links, i, j, end_a, end_b = [], 0, 0, 0, 0
-        stop_a, stop_b = size_a[a[0]], size_b[b[0]]
-        over = list(range(n_a + len(b)))  # the tokens of A, then of B; each points to an earlier one of its component
-        while True:
-            links.append((i, j))
-            x, y = i, n_a + j
-            while over[x] != x:
-                over[x] = x = over[over[x]]
-            while over[y] != y:
-                over[y] = y = over[over[y]]
-            if x < y:
-                over[y] = x
-            elif y < x:
-                over[x] = y
-            end_a, end_b = stop_a, stop_b
-            if end_a <= end_b:
-                i += 1
-                if i == n_a:
-                    if end_a < end_b or j + 1 == len(b):
-                        break
-                else:
-                    stop_a += size_a[a[i]]
-            if end_b <= end_a:
-                j += 1
-                if j == len(b):
-                    break
-                stop_b += size_b[b[j]]
-        groups: dict[int, tuple[list[int], list[int]]] = {}
-        for k, token in enumerate(a):
-            while over[k] != k:
-                k = over[k]
-            if k in groups:
-                groups[k][0].append(token)
-            else:
-                groups[k] = ([token], [])
-        for k, token in enumerate(b, n_a):
-            while over[k] != k:
-                k = over[k]
-            groups[k][1].append(token)
-        return a, b, links, list(groups.values())
-
-    def _made(self, shown: str) -> tuple[str, bytes, int]:
-        a, b, links, groups = self.align(shown)
-        text = ";".join([f"{','.join(map(str, x))}|{','.join(map(str, y))}" for x, y in groups])
-        return text, struct.pack(f"<{len(links)}q", *[a[i] << BITS | b[j] for i, j in links]), len(a)
+        self.a = ByteBpe(path_a).bpe
+        self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
+        shows = Pieces(path_b).shows
+        ranks = self.a._mergeable_ranks
+        self.size_a = np.zeros(max(ranks.values()) + 1, np.int64)
+        for token, i in ranks.items():
+            self.size_a[i] = len(token)
+        self.size_b = np.array([len(s) for s in shows], np.int64)
+        #: Each id as it is written before a comma and at the end of its side of a group; the ids of A, then of B.
+        self.written = [f"{i}{end}" for n, last in ((len(self.size_a), "|"), (len(shows), ";")) for i in range(n) for end in (",", last)]
+
+    def tokens(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of both sides of texts that are not empty, each after a space (side B adds it)."""
+        a = [self.a.encode_to_numpy(" " + t, disallowed_special=()).astype(np.int64) for t in texts]
+        return a, [np.array(ids, np.int64) for ids in self.b.encode(texts, num_threads=1)]
+
+    def links(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the tokens of A and B whose bytes overlap: those of B from the first that ends behind the start of one of A to the last that starts before its end."""
+        size_a, size_b = self.size_a[a], self.size_b[b]
+        end_a, end_b = np.cumsum(size_a), np.cumsum(size_b)
+        if len(a) and end_a[-1] != end_b[-1]:
+            raise ValueError("the tokens of both sides do not cover the same bytes")
+        low = np.searchsorted(end_b, end_a - size_a, "right")
+        n = np.searchsorted(end_b - size_b, end_a, "left") - low
+        i = np.repeat(np.arange(len(a)), n)
+        return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + low[i]
 
     @staticmethod
-    def _joined(parts) -> tuple[str, bytes, int]:
-        return ";".join([p[0] for p in parts]), b"".join([p[1] for p in parts]), sum([p[2] for p in parts])
-
-    def _kept(self, known: dict, segment: str, made: tuple[str, bytes, int]) -> tuple[str, bytes, int]:
-        if len(segment) <= 48:
-            if len(known) >= REMEMBERED:
-                known.clear()
-            known[segment] = made
-        return made
-
-    def _bare(self, segment: str) -> tuple[str, bytes, int]:
-        """A segment without a space before it: a line feed, the start of a line, or a sign at the end of a word."""
-        if made := self.bare.get(segment):
-            return made
-        cut = self._cut(segment)
-        return self._kept(self.bare, segment, self._joined(list(map(self._bare, cut))) if cut else self._made(segment))
-
-    def _cut(self, segment: str):
-        """A segment in two, where both sides cut: before a sign at the end of a word. None if there is no such place."""
-        if len(segment) > 1 and segment[-1] in ".,;:!?" and segment[-2].isalpha() and segment[-2:] not in self.b.joins:
-            return segment[:-1], segment[-1]
-        return None
-
-    def __missing__(self, segment: str) -> tuple[str, bytes, int]:
-        if "\n" in segment and self._LINES.fullmatch(segment):
-            first, *rest = segment.split("\n")
-            made = self._joined([self[first], *[x for line in rest for x in (self._bare("\n"), self._bare(line))]])
-        elif cut := self._cut(segment):
-            made = self._joined([self[cut[0]], self._bare(cut[1])])
-        else:
-            made = self._made(" " + segment)
-        return self._kept(self, segment, made)
-
-    def text(self, text: str) -> tuple[str, bytes, int]:
-        """As for a segment, of a whole text. Nothing for a text whose bytes the second side does not give back."""
-        if not text or SPACE in text:
-            return "", b"", 0
-        segments = self._SINGLE.split(text) if self._RUN.search(text) else text.split(" ")
-        return self._joined(list(map(self.__getitem__, segments)))
+    def components(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Union-find over all links at once: the smallest node of each node's component. Roots of linked nodes are hooked to the smaller one, then paths are halved until all are flat."""
+        over = np.arange(n)
+        while True:
+            rx, ry = over[x], over[y]
+            apart = rx != ry
+            if not apart.any():
+                return over
+            x, y = x[apart], y[apart]
+            np.minimum.at(over, np.maximum(rx, ry)[apart], np.minimum(rx, ry)[apart])
+            while True:
+                above = over[over]
+                if (above == over).all():
+                    break
+                over = above
+
+    def align(self, texts: list[str]):
+        """Per text: tokens of A and B, groups, links, the groups as text, and the linked pairs of ids with their number."""
+        got_a, got_b = self.tokens(texts)
+        n_a, n_b = [np.array([len(x) for x in got], np.int64) for got in (got_a, got_b)]
+        a, b = np.concatenate(got_a), np.concatenate(got_b)
+        i, j = self.links(a, b)
+        over = self.components(len(a) + len(b), i, j + len(a))
+        # every component holds a token of A, so its smallest node is one; components follow each other as in the text
+        first = over[: len(a)] == np.arange(len(a))
+        number = np.cumsum(first) - 1
+        group_a, group_b = number[over[: len(a)]], number[over[len(a) :]]
+        many_a, many_b = np.bincount(group_a, minlength=first.sum()), np.bincount(group_b, minlength=first.sum())
+        upto_a, upto_b = np.cumsum(many_a), np.cumsum(many_b)
+        last_a, last_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        last_a[upto_a - 1] = last_b[upto_b - 1] = 1
+        codes = np.empty(len(a) + len(b), np.int64)
+        codes[np.arange(len(a)) + (upto_b - many_b)[group_a]] = 2 * a + last_a
+        codes[np.arange(len(b)) + upto_a[group_b]] = 2 * (b + len(self.size_a)) + last_b
+        pair = a[i] << BITS | b[j]
+        stop_a, stop = np.cumsum(n_a), np.cumsum(n_a + n_b)
+        stop_links = np.searchsorted(i, stop_a, "left")
+        n_groups = np.add.reduceat(first, stop_a - n_a) if len(a) else first
+        written, at, at_link, out = self.written, 0, 0, []
+        for k in range(len(texts)):
+            shown = "".join(map(written.__getitem__, codes[at : stop[k]].tolist()))[:-1]
+            out.append((int(n_a[k]), int(n_b[k]), int(n_groups[k]), int(stop_links[k] - at_link), shown, np.unique(pair[at_link : stop_links[k]], return_counts=True)))
+            at, at_link = stop[k], stop_links[k]
+        return out
+
+    def texts(self, texts: list[str | None]):
+        """As ``align``, with nothing for texts that are null, empty, or that side B does not give back (it writes spaces as U+2581)."""
+        usable = [k for k, t in enumerate(texts) if t and SPACE not in t]
+        nothing = np.zeros(0, np.int64)
+        out = [(0, 0, 0, 0, "", (nothing, nothing))] * len(texts)
+        for k, made in zip(usable, self.align([texts[k] for k in usable]) if usable else (), strict=True):
+            out[k] = made
+        return out
 
 
 @functools.lru_cache(maxsize=2)
@@ -150,16 +121,12 @@ def aligner(path_a: str, path_b: str) -> Aligner:
 def _align(batches, path_a: str, path_b: str):
     by = aligner(path_a, path_b)
     for batch in small(batches):
-        done = [by.text(t.as_py() or "") for t in batch.column(batch.num_columns - 1)]
-        groups, n_a = [d[0] for d in done], [d[2] for d in done]
-        n_groups = [g.count(";") + 1 if g else 0 for g in groups]
-        n_b = [g.count(",") + 2 * n - x for g, n, x in zip(groups, n_groups, n_a, strict=True)]
-        linked = [np.unique(np.frombuffer(d[1], "<i8"), return_counts=True) for d in done]
-        columns = [pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups, [len(d[1]) // 8 for d in done])]
-        ends = np.cumsum([0, *[len(p) for p, _ in linked]])
-        flat = [pa.array(np.concatenate([x[k] for x in linked]) if linked else [], pa.int64()) for k in (0, 1)]
+        done = by.texts([t.as_py() for t in batch.column(batch.num_columns - 1)])
+        columns = [pa.array([d[k] for d in done], pa.int64()) for k in range(4)]
+        ends = np.cumsum([0, *[len(d[5][0]) for d in done]])
+        flat = [pa.array(np.concatenate([d[5][k] for d in done]), pa.int64()) for k in (0, 1)]
         pairs = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(flat, ["pair", "n"]))
-        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns, pa.array(groups, pa.string()), pairs], names=[*batch.schema.names[:-1], "n_a", "n_b", "n_groups", "n_links", "groups", "pairs"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns, pa.array([d[4] for d in done], pa.string()), pairs], names=[*batch.schema.names[:-1], "n_a", "n_b", "n_groups", "n_links", "groups", "pairs"])
 
 
 def align(docs: DataFrame, path_a: str, path_b: str, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
