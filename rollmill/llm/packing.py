@@ -20,13 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small
 
 LENGTH = 1024
 #: Rests that one task packs at a time are about half as many; more leave less padding.
 GROUP = 4096
-#: Segments of text whose ids a worker remembers.
-REMEMBERED = 800_000
+#: Segments of text whose ids a worker remembers: some 60 MB where a corpus has as many.
+REMEMBERED = 250_000
 
 
 def byte_symbols() -> dict[int, str]:
@@ -88,7 +88,7 @@ def _bpe(path: str) -> ByteBpe:
 def _pieces(batches, path: str, end_id: int, length: int):
     bpe = _bpe(path)
     end = np.array([end_id], "<u4").tobytes()
-    for batch in batches:
+    for batch in small(batches):
         source, start, size, crc, total = [], [], [], [], []
         for i, text in enumerate(batch.column(batch.num_columns - 1)):
             ids = bpe.ids(text.as_py() or "") + end
