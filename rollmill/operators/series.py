@@ -35,43 +35,79 @@ def _entry(kind: str):
     return lambda w: F.struct(F.lit(kind).alias("type"), w.cast("string").alias("word"))
 
 
+#: Ids that one row of the index holds, as bits of a long.
+BLOCK = 6
+
+
 def index_build(descriptions: DataFrame, id_col: str, types=None) -> DataFrame:
-    """Postings ``(type, word, id)``: a string gives one, an array one per element; columns of other types are ignored."""
+    """The inverted index as bitmaps: ``(type, word, block, bits)``, where bit i of a block stands for the id ``block * 64 + i``.
+
+    A string gives one word, an array one per element; columns of other types are ignored, null words too. Bits are put together before the
+    exchange; a word that many descriptions have takes a 64th of their rows. Ids are integers.
+    """
     types = [t for t in (types or INDEX_TYPES) if t in descriptions.columns]
     entries = []
     for t in types:
         words = F.col(t) if descriptions.schema[t].dataType.typeName() == "array" else F.array(t)
         entries.append(F.transform(words, _entry(t)))
-    rows = descriptions.select(F.col(id_col).alias("id"), F.explode(F.flatten(F.array(*[F.coalesce(e, F.array().cast("array<struct<type:string,word:string>>")) for e in entries]))).alias("e"))
-    return rows.select("e.type", "e.word", "id").where(F.col("word").isNotNull()).distinct()
+    rows = descriptions.select(F.col(id_col).cast("long").alias("id"), F.explode(F.flatten(F.array(*[F.coalesce(e, F.array().cast("array<struct<type:string,word:string>>")) for e in entries]))).alias("e"))
+    bit = F.expr(f"shiftleft(1L, cast(id & {(1 << BLOCK) - 1} as int))")
+    return rows.where(F.col("e.word").isNotNull() & F.col("id").isNotNull()).groupBy("e.type", "e.word", F.shiftright("id", BLOCK).alias("block")).agg(F.bit_or(bit).alias("bits"))
+
+
+def _ids(bitmaps: DataFrame, *keep: str) -> DataFrame:
+    """The ids of blocks, one row each."""
+    here = F.filter(F.sequence(F.lit(0), F.lit((1 << BLOCK) - 1)), lambda i: F.call_function("getbit", F.col("bits"), i) == 1)
+    return bitmaps.select(*keep, "block", F.explode(here).alias("i")).select(*keep, (F.shiftleft("block", BLOCK) + F.col("i")).alias("id"))
+
+
+def postings(index: DataFrame) -> DataFrame:
+    """The index as rows ``(type, word, id)``."""
+    return _ids(index, "type", "word")
+
+
+def _leaves(node) -> list[Eq]:
+    return [node] if isinstance(node, Eq) else [leaf for n in node.nodes for leaf in _leaves(n)]
+
+
+def _search(index: DataFrame, words: list[tuple[str, str]], combine) -> DataFrame:
+    """Ids whose bits remain when ``combine`` has put together the bits of each word (by its place in ``words``): one scan, one exchange by block, whatever the number of words."""
+    wanted = {}
+    for kind, word in words:
+        wanted.setdefault(kind, set()).add(word)
+    asked = reduce(lambda a, b: a | b, [(F.col("type") == kind) & F.col("word").isin(*sorted(ws)) for kind, ws in sorted(wanted.items())])
+    bits = [F.coalesce(F.bit_or(F.when((F.col("type") == kind) & (F.col("word") == word), F.col("bits"))), F.lit(0).cast("long")).alias(f"w{k}") for k, (kind, word) in enumerate(words)]
+    blocks = index.where(asked).groupBy("block").agg(*bits)
+    return _ids(blocks.select("block", combine([F.col(f"w{k}") for k in range(len(words))]).alias("bits")).where(F.col("bits") != 0))
+
+
+def _all(bits):
+    return reduce(lambda a, b: a.bitwiseAND(b), bits)
 
 
 def search_word(index: DataFrame, kind: str, word: str) -> DataFrame:
-    return index.where((F.col("type") == kind) & (F.col("word") == word)).select("id").distinct()
+    return _search(index, [(kind, word)], _all)
 
 
 def search_all(index: DataFrame, kind: str, words) -> DataFrame:
-    """Ids that have all words: counted per id, so that the intersection is spread over ids."""
-    words = sorted(set(words))
-    hits = index.where((F.col("type") == kind) & F.col("word").isin(*words))
-    return hits.groupBy("id").agg(F.count_distinct("word").alias("n")).where(F.col("n") == len(words)).select("id")
+    """Ids that have all words."""
+    return _search(index, [(kind, w) for w in sorted(set(words))], _all)
 
 
 def search_tree(index: DataFrame, node, kind: str = "filter") -> DataFrame:
-    """Ids that fit a filter tree: union for or, intersection for and."""
-    if isinstance(node, Eq):
-        return search_word(index, kind, node.canonical())
-    parts = [search_tree(index, n, kind) for n in node.nodes]
-    if isinstance(node, Or):
-        return reduce(DataFrame.union, parts).distinct()
-    if isinstance(node, And):
-        return reduce(DataFrame.intersect, parts)
-    raise ValueError(f"not a filter node: {node!r}")
+    """Ids that fit a filter tree: its bits joined by or and and in one pass over the blocks."""
+    words = sorted({leaf.canonical() for leaf in _leaves(node)})
+
+    def bits(n, of):
+        if isinstance(n, Eq):
+            return of[words.index(n.canonical())]
+        if not isinstance(n, (Or, And)):
+            raise ValueError(f"not a filter node: {n!r}")
+        return reduce((lambda a, b: a.bitwiseOR(b)) if isinstance(n, Or) else (lambda a, b: a.bitwiseAND(b)), [bits(x, of) for x in n.nodes])
+
+    return _search(index, [(kind, w) for w in words], lambda of: bits(node, of))
 
 
 def match(index: DataFrame, props: dict[str, str | list[str]]) -> DataFrame:
     """Ids that have every word of every property."""
-    asked = [(t, w) for t, ws in props.items() for w in ([ws] if isinstance(ws, str) else ws)]
-    asked = sorted(set(asked))
-    hit = reduce(lambda a, b: a | b, [(F.col("type") == t) & (F.col("word") == w) for t, w in asked])
-    return index.where(hit).groupBy("id").agg(F.count_distinct("type", "word").alias("n")).where(F.col("n") == len(asked)).select("id")
+    return _search(index, sorted({(t, w) for t, ws in props.items() for w in ([ws] if isinstance(ws, str) else ws)}), _all)

@@ -587,7 +587,7 @@ _IX = "ix AS (SELECT 'filter' AS type, 'o_orderstatus=' || o_orderstatus AS word
 
 @query("index_build", f"WITH {_IX} SELECT type, word, id FROM ix")
 def index_build(spark, d):
-    return _index(spark, d)
+    return series.postings(_index(spark, d))
 
 
 @query("index_search_word", f"WITH {_IX} SELECT DISTINCT id FROM ix WHERE type = 'filter' AND word = 'o_orderstatus=P'")
