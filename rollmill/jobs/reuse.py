@@ -52,12 +52,58 @@ def reuse_match(log: DataFrame, catalog: DataFrame) -> DataFrame:
     ``log``: ``fingerprint, tags, window_s, agg_fn, q_start, q_end``; ``catalog``: ``rollup_id, fingerprint, r_tags, r_window, r_start, r_end``.
     Queries repeat a few shapes (``SHAPE``): each different shape is matched once, and the log is joined with the shapes' rollups.
     """
+    return log.join(_served(log, catalog), list(SHAPE)).select(*log.columns, F.inline("__rollups"))
+
+
+def _served(log: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Per shape of the log the rollups that can serve it, as a list (of one fingerprint's rollups at most)."""
     fits = is_subset(F.col("tags"), F.col("r_tags")) & (F.col("window_s") % F.col("r_window") == 0)
     same = (F.array_sort("tags") == F.array_sort("r_tags")) & (F.col("window_s") == F.col("r_window"))
     shapes = log.select(*SHAPE).distinct()
     served = shapes.join(catalog, "fingerprint").where(fits & ((F.col("agg_fn") != "median") | same))
-    served = served.groupBy(*SHAPE).agg(F.collect_list(F.struct(*[c for c in catalog.columns if c != "fingerprint"])).alias("__rollups"))
-    return log.join(served, list(SHAPE)).select(*log.columns, F.inline("__rollups"))
+    return served.groupBy(*SHAPE).agg(F.collect_list(F.struct(*[c for c in catalog.columns if c != "fingerprint"])).alias("__rollups"))
+
+
+def reuse_cover(log: DataFrame, catalog: DataFrame, query_col: str = "query_id") -> DataFrame:
+    """Per query the fewest rollups that together hold what any of them holds of its range, in whole windows: ``rollups, n_rollups, covered_s, missing_s``.
+
+    From the left always the rollup that reaches furthest, then the coarsest, then the smallest id; stretches that none has are missing. A fold over the
+    rollups of the query's shape in the order of their starts: the log is neither multiplied nor shuffled by query. Queries that no rollup serves miss their whole range.
+    """
+    w = F.col("window_s")
+    low, high = (F.floor(F.col("q_start") / w) * w).cast("long"), (F.ceil(F.col("q_end") / w) * w).cast("long")
+    whole = lambda r: F.struct(
+        F.greatest((F.ceil(r["r_start"] / w) * w).cast("long"), F.col("__low")).alias("a"), F.least((F.floor(r["r_end"] / w) * w).cast("long"), F.col("__high")).alias("b"), r["r_window"].cast("long").alias("w"), (-r["rollup_id"]).cast("long").alias("i"),
+    )
+    rank = lambda x: F.struct(x["b"].alias("b"), x["w"].alias("w"), x["i"].alias("i"))
+    none = F.struct(F.col("__low").alias("b"), F.lit(0).cast("long").alias("w"), F.lit(0).cast("long").alias("i"))
+    state = lambda at, best, picks, missing: F.struct(at.alias("at"), best.alias("best"), picks.alias("picks"), missing.alias("missing"))
+
+    def taken(s):
+        """The best rollup so far joins the cover if it reaches further."""
+        more = s["best"]["b"] > s["at"]
+        return F.when(more, s["best"]["b"]).otherwise(s["at"]), F.when(more, F.concat(s["picks"], F.array(-s["best"]["i"]))).otherwise(s["picks"])
+
+    def step(s, x):
+        at, picks = taken(s)
+        beyond = x["a"] > s["at"]  # none of those still to come starts before
+        now = F.when(beyond, F.greatest(at, x["a"])).otherwise(s["at"])
+        best = F.when(beyond, rank(x)).otherwise(F.greatest(s["best"], rank(x)))
+        return state(now, best, F.when(beyond, picks).otherwise(s["picks"]), s["missing"] + F.when(beyond, F.greatest(x["a"] - at, F.lit(0).cast("long"))).otherwise(0))
+
+    def end(s):
+        at, picks = taken(s)
+        return F.struct(picks.alias("rollups"), (s["missing"] + F.greatest(F.col("__high") - at, F.lit(0).cast("long"))).alias("missing_s"))
+
+    rows = log.join(_served(log, catalog), list(SHAPE), "left").withColumn("__low", low).withColumn("__high", high)
+    parts = F.array_sort(F.filter(F.transform(F.coalesce("__rollups", F.array().cast(_rollups(catalog))), whole), lambda x: x["b"] > x["a"]))
+    rows = rows.withColumn("__c", F.aggregate(parts, state(F.col("__low"), none, F.array().cast("array<bigint>"), F.lit(0).cast("long")), step, end))
+    missing = F.col("__c.missing_s")
+    return rows.select(query_col, F.col("__c.rollups").alias("rollups"), F.size("__c.rollups").cast("long").alias("n_rollups"), (F.col("__high") - F.col("__low") - missing).alias("covered_s"), missing.alias("missing_s"))
+
+
+def _rollups(catalog: DataFrame) -> str:
+    return "array<struct<" + ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in catalog.schema.fields if f.name != "fingerprint") + ">>"
 
 
 def reuse_classify(matched: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from .jobs.suite import answer_suite, run_query
 from .operators import aggregate as A
 from .operators import gapfill, refresh, series
 from .operators import rollup as R
+from .operators.median import exact_median
 from .sources import metrics, store
 from .spec import And, Eq, MetricQuery, MetricTable, Or, resolve_relative
 from .streaming import rollups as S
@@ -230,6 +231,12 @@ _bucketed("bucket_median", ("median",), ("event_type",))
 _bucketed("bucket_first_last", ("first", "last"), ("event_type",))
 
 
+@query("median_spread", agg_sql(EVENTS, WEEK, ("event_type",), ("median",), EVENTS.fields))
+def median_spread(spark, d):
+    """Medians of groups of more values than are sorted in one place."""
+    return rounded(exact_median(events(spark, d), EVENTS, WEEK, ("event_type",), few=200))
+
+
 @query("bucket_first_last_ties", agg_sql(LINEITEM, 28 * DAY, LINEITEM.tags, ("first", "last"), LINEITEM.fields))
 def bucket_first_last_ties(spark, d):
     """Day-grain times: ties decide nearly every first and last."""
@@ -741,6 +748,43 @@ def reuse_summary(spark, d):
     return rounded(reuse.reuse_summary(reuse.reuse_classify(_matched(spark, d)), ("fingerprint",)))
 
 
+_CHAIN = """cat AS (SELECT CAST(n * 4 + v AS BIGINT) AS rollup_id, fingerprint, CASE WHEN v % 2 = 0 THEN ['host', 'platform'] ELSE ['host'] END AS r_tags, CAST(CASE WHEN v < 2 THEN 60 ELSE 600 END AS BIGINT) AS r_window,
+    CAST(1700000000 + 600 * (3 + 13 * v) + 77 AS BIGINT) AS r_start, CAST(1700000000 + 600 * (24 + 13 * v) + 77 AS BIGINT) AS r_end FROM (SELECT fingerprint, row_number() OVER (ORDER BY fingerprint) AS n FROM (SELECT DISTINCT fingerprint FROM keyed)), (VALUES (0), (1), (2), (3)) t(v))"""
+
+
+def _chained(log: DataFrame) -> DataFrame:
+    """Four rollups per fingerprint whose ranges follow each other with overlaps."""
+    from pyspark.sql import Window
+
+    keys = log.select("fingerprint").distinct().withColumn("n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("fingerprint")).cast("long"))
+    v = F.col("v")
+    start = (1_700_000_000 + 600 * (3 + 13 * v) + 77).cast("long")
+    return keys.withColumn("v", F.explode(F.array(*[F.lit(k) for k in range(4)]))).select(
+        (F.col("n") * 4 + v).alias("rollup_id"), "fingerprint", F.when(v % 2 == 0, F.array(F.lit("host"), F.lit("platform"))).otherwise(F.array(F.lit("host"))).alias("r_tags"),
+        F.when(v < 2, 60).otherwise(600).cast("long").alias("r_window"), start.alias("r_start"), (start + 600 * 21).alias("r_end"),
+    )
+
+
+@query(
+    "reuse_cover",
+    f"""WITH RECURSIVE {_LOG}, {_CHAIN}, {_MATCH}, q AS (SELECT query_id, q_start // window_s * window_s AS low, (q_end + window_s - 1) // window_s * window_s AS high, window_s FROM log),
+    iv AS (SELECT query_id, rollup_id, matched.r_window AS w, greatest((r_start + window_s - 1) // window_s * window_s, low) AS a, least(r_end // window_s * window_s, high) AS b FROM matched JOIN q USING (query_id, window_s)),
+    walk AS (SELECT query_id, low AS pos, high, CAST(0 AS BIGINT) AS missing, CAST('' AS VARCHAR) AS picks, CAST(0 AS BIGINT) AS n FROM q
+        UNION ALL
+        SELECT query_id, coalesce(best.b, nxt), high, missing + CASE WHEN best.b IS NULL THEN nxt - pos ELSE 0 END, picks || CASE WHEN best.b IS NULL THEN '' ELSE ',' || (-best.i) END, n + CASE WHEN best.b IS NULL THEN 0 ELSE 1 END
+        FROM (SELECT walk.query_id, walk.pos, walk.high, walk.missing, walk.picks, walk.n, max(CASE WHEN a <= pos AND b > pos THEN struct_pack(b := b, w := w, i := -rollup_id) END) AS best, coalesce(min(CASE WHEN a > pos AND b > a THEN a END), walk.high) AS nxt
+            FROM walk LEFT JOIN iv ON iv.query_id = walk.query_id WHERE walk.pos < walk.high GROUP BY 1, 2, 3, 4, 5, 6))
+    SELECT query_id, substr(picks, 2) AS rollups, n AS n_rollups, CAST(high - low - missing AS BIGINT) AS covered_s, CAST(missing AS BIGINT) AS missing_s FROM walk JOIN (SELECT query_id, low FROM q) USING (query_id) WHERE pos >= high""",
+)
+def reuse_cover(spark, d):
+    """Queries answered from several stored ranges: which rollups cover each, and what is missing."""
+    log = _keyed(spark, d).select("query_id", *reuse.SHAPE, "q_start", "q_end")
+    path = store.shared_folder(spark, "log")
+    log.write.parquet(path)
+    log = spark.read.schema(log.schema).parquet(path)
+    return reuse.reuse_cover(log, _chained(log)).withColumn("rollups", F.array_join("rollups", ","))
+
+
 @query(
     "set_logic",
     "WITH s AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderstatus)) AS a, list_sort(list(DISTINCT CASE WHEN o_orderpriority < '3' THEN 'P' ELSE 'F' END)) AS b FROM orders GROUP BY 1) SELECT o_custkey, list_has_all(b, a) AS subset, array_to_string(list_sort(list_intersect(a, b)), ',') AS both, array_to_string(list_sort(list_distinct(list_concat(a, b))), ',') AS either, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ',') AS only_a FROM s",
@@ -763,6 +807,22 @@ def audit_rollup(spark, d):
     return audit.audit_rollup(left, right, ("event_type",), ("mean_value", "mean_k")).select("rows", "missing", "extra", "differing")
 
 
+_OFF = f"event_type = 'view' AND ts >= {_at(T1 + DAY)} AND ts < {_at(T1 + 2 * DAY)}"
+_WRONG = f"WITH {EV}, w AS (SELECT *, CASE WHEN {_OFF} THEN value + 1 ELSE value END AS off FROM ev WHERE {RANGE}), a AS (SELECT {_bucket(HOUR)} AS bucket, event_type, user_id, {SQL_FN['mean'].format('off')} AS s1, {SQL_FN['mean'].format('value')} AS f1, max(off) AS s2, max(value) AS f2 FROM w GROUP BY ALL)"
+
+
+@query("audit_store", f"{_WRONG} SELECT bucket, event_type, user_id, 'mean_value' AS measure, s1 AS stored, f1 AS fresh FROM a WHERE abs(s1 - f1) > 1e-9 UNION ALL SELECT bucket, event_type, user_id, 'max_value', s2, f2 FROM a WHERE abs(s2 - f2) > 1e-9")
+def audit_store(spark, d):
+    """A store that is wrong for one type on one day: the cells are found, and only that day is compared."""
+    path, e = store.shared_folder(spark, "rollup"), events(spark, d)
+    wrong = (F.col("event_type") == "view") & C.in_range("ts", T1 + DAY, T1 + 2 * DAY)
+    store.save_rollup(R.build_rollup(e.withColumn("value", F.when(wrong, F.col("value") + 1).otherwise(F.col("value"))), EVENTS, HOUR, EVENTS.tags, (), ("mean", "max"), T0, T2, ("value",)), path)
+    found = audit.audit_store(spark, path, EVENTS, e)
+    if found.compared != ((T1 + DAY, T1 + 2 * DAY),):
+        raise AssertionError(f"compared {found.compared}")
+    return found.cells
+
+
 @query("audit_mean_of_means", f"WITH {EV}, a AS (SELECT {_bucket(600)} AS b, event_type, user_id, avg(value) AS m FROM ev GROUP BY ALL), c AS (SELECT b, event_type, avg(m) AS m FROM a GROUP BY ALL), l AS (SELECT {_bucket(HOUR, 'b')} AS bucket, event_type, avg(m) AS m FROM c GROUP BY ALL), r AS (SELECT {_bucket(HOUR)} AS bucket, event_type, avg(value) AS m FROM ev GROUP BY ALL) SELECT count(*) AS rows, count(*) FILTER (WHERE abs(l.m - r.m) > 1e-6 * greatest(1.0, abs(r.m))) AS differing, round(max(abs(l.m - r.m)), 6) AS max_abs FROM l FULL JOIN r USING (bucket, event_type)")
 def audit_mean_of_means(spark, d):
     """How far unweighted means of means are from the means."""

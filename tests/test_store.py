@@ -319,3 +319,23 @@ def test_values_that_are_not_of_the_declared_places_are_errors(spark, value):
     got = R.finalize(R.build_rollup(df, loose, 60, ("host",)), ("mean", "count")).first()
     direct = A.bucket_agg(df, loose, 60, ("host",), ("mean", "count")).first()
     assert str(got) == str(direct) and got.count_cpu == 2
+
+
+# ---- audits ------------------------------------------------------------------------------------
+
+
+def test_an_audit_reads_only_periods_that_differ(spark, points, tmp_path):
+    from rollmill.jobs.audit import audit_store
+
+    path = str(tmp_path / "r")
+    store.save_rollup(built(points, T + 1800, T + 4 * DAY), path)
+    clean = audit_store(spark, path, MT, points)
+    assert clean.compared == () and clean.cells.count() == 0
+    lost = (F.col("time") >= C.moment(T + DAY)) & (F.col("time") < C.moment(T + DAY + 3600)) & (F.col("host") == "h1")
+    late = spark.createDataFrame([(EPOCH + timedelta(seconds=T + 3 * DAY + 60), "h9", None, 1.0)], points.schema)
+    found = audit_store(spark, path, MT, points.where(~lost).unionByName(late))
+    first = (T + DAY) // DAY * DAY
+    assert found.compared == ((first, first + DAY), (first + 2 * DAY, first + 3 * DAY))
+    cells = found.cells.collect()
+    assert {(r.host, r.stored is None, r.fresh is None) for r in cells} == {("h1", False, True), ("h9", True, False)}
+    assert sum(r.host == "h9" for r in cells) == 2 and all(r.platform is None for r in cells if r.host == "h9")
