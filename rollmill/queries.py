@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .jobs import audit, reuse
+from .jobs import advise, audit, reuse
 from .jobs.serve import absorb, serve
 from .jobs.suite import answer_suite, run_query
 from .operators import aggregate as A
@@ -785,6 +785,33 @@ def reuse_cover(spark, d):
     return reuse.reuse_cover(log, _chained(log)).withColumn("rollups", F.array_join("rollups", ","))
 
 
+ADVICE = (600, HOUR, 2 * HOUR, DAY)
+
+
+def _advice_sql(k: int) -> str:
+    """Greedy choice, one pair of CTEs a round."""
+    sets = [(tags, w) for w in ADVICE for tags in ((), ("event_type",), ("user_id",), ("event_type", "user_id"))]
+    sizes = " UNION ALL ".join(f"SELECT [{', '.join(repr(t) for t in tags)}]::VARCHAR[] AS rt, {w} AS rw, count(*) AS size FROM (SELECT DISTINCT {', '.join([_bucket(w), *tags])} FROM ev)" for tags, w in sets)
+    ctes = [EV, f"sizes AS ({sizes})", "l AS (SELECT ([[], ['event_type'], ['user_id'], ['event_type', 'user_id']]::VARCHAR[][])[o_orderkey % 4 + 1] AS tags, [600, 3600, 7200, 86400, 86400][o_custkey % 5 + 1] AS w FROM orders)",
+        "c0 AS (SELECT struct_pack(t := tags, w := w) AS sh, count(*) AS n, (SELECT count(*) FROM ev) AS cost FROM l GROUP BY 1)", "pairs AS (SELECT sh, rt, rw, size FROM c0, sizes WHERE list_has_all(rt, sh.t) AND sh.w % rw = 0)"]
+    for i in range(1, k + 1):
+        ctes.append(f"p{i} AS (SELECT {i} AS pick, rt, rw, size, sum(n * greatest(cost - size, 0)) AS benefit FROM pairs JOIN c{i - 1} USING (sh) GROUP BY ALL ORDER BY benefit DESC, size, rt, rw LIMIT 1)")
+        ctes.append(f"c{i} AS (SELECT c.sh, c.n, least(c.cost, min(q.size)) AS cost FROM c{i - 1} AS c LEFT JOIN (SELECT pairs.sh AS sh, pairs.size AS size FROM pairs JOIN p{i} ON pairs.rt = p{i}.rt AND pairs.rw = p{i}.rw) AS q ON q.sh = c.sh GROUP BY c.sh, c.n, c.cost)")
+    picks = " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(1, k + 1))
+    return f"WITH {', '.join(ctes)} SELECT CAST(pick AS BIGINT) AS pick, array_to_string(rt, ',') AS r_tags, CAST(rw AS BIGINT) AS r_window, size AS rows, CAST(benefit AS BIGINT) AS benefit FROM ({picks}) WHERE benefit > 0"
+
+
+@query("advise_rollups", _advice_sql(4))
+def advise_rollups(spark, d):
+    """Four rollups of events for a log of queries made from orders."""
+    o, e = spark.read.parquet(f"{d}/orders.parquet"), events(spark, d)
+    names = [[], ["event_type"], ["user_id"], ["event_type", "user_id"]]
+    tags = F.array(*[F.array(*[F.lit(t) for t in ts]).cast("array<string>") for ts in names])
+    log = o.select(F.element_at(tags, (F.col("o_orderkey") % 4 + 1).cast("int")).alias("tags"), F.element_at(F.array(*[F.lit(w).cast("long") for w in (*ADVICE, DAY)]), (F.col("o_custkey") % 5 + 1).cast("int")).alias("window_s"))
+    sizes = advise.lattice_sizes(e, EVENTS, ADVICE, EVENTS.tags)
+    return advise.advise_rollups(log, sizes, e.count(), 4).withColumn("r_tags", F.array_join("r_tags", ","))
+
+
 @query(
     "set_logic",
     "WITH s AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderstatus)) AS a, list_sort(list(DISTINCT CASE WHEN o_orderpriority < '3' THEN 'P' ELSE 'F' END)) AS b FROM orders GROUP BY 1) SELECT o_custkey, list_has_all(b, a) AS subset, array_to_string(list_sort(list_intersect(a, b)), ',') AS both, array_to_string(list_sort(list_distinct(list_concat(a, b))), ',') AS either, array_to_string(list_sort(list_filter(a, lambda x: NOT list_contains(b, x))), ',') AS only_a FROM s",
