@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import keyed_join, materialize
 from .components import connected_components
 
 BITS = 64
@@ -273,9 +273,12 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Documents are linked where their fingerprints differ in at most ``k`` bits; component_id is the
     smallest doc_id that links reach. Null and blank texts have fingerprint 0 and are
-    linked like any other. A null doc_id takes part, counting as greater than any id (null where alone). Repeated rows stay repeated.
+    linked like any other, texts may be of any length. A null doc_id takes part, counting as greater than any id (null where alone). Repeated rows stay repeated. Other columns are ignored; an empty table gives none.
     """
     rows = materialize(fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))), "fingerprints")
-    groups = classes(rows, k, max_key)
-    named = groups.join(rows.join(groups, "fp").groupBy("root").agg(F.min("doc_id").alias("component_id")), "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # a fingerprint that many rows have is counted before the exchange, and joined back in parts
+    per = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "per-fingerprint")
+    grouped = materialize(per.join(classes(per, k, max_key), "fp"), "grouped")
+    named = grouped.select("fp", "n", "root").join(grouped.groupBy("root").agg(F.min("least").alias("component_id")), "root").drop("root")
+    out = keyed_join(rows, materialize(named, "named"), ["fp"], "n", ("doc_id",))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
