@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, materialize
+from .common import ASCII_SPACE, keyed_join, materialize
 
 LINES = 3
 
@@ -45,8 +45,9 @@ def windows(rows: DataFrame, lines: int = LINES) -> DataFrame:
 def removals(rows: DataFrame, lines: int = LINES) -> DataFrame:
     """``(__id, __th, cover)``: per document the line ranges [lo, hi) to remove, in places among the lines with a word."""
     w = materialize(windows(rows, lines), "windows")
-    firsts = w.groupBy("h1", "h2").agg(F.min(F.struct("__id", "k", "__th")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    later = w.join(firsts, ["h1", "h2"]).where(F.struct("__id", "k", "__th") != F.col("first"))
+    firsts = w.groupBy("h1", "h2").agg(F.min(F.struct("__id", "k", "__th")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # a window that many documents hold is joined in parts
+    later = keyed_join(w, materialize(firsts, "firsts"), ["h1", "h2"], "n", ("__id", "__th", "k")).where(F.struct("__id", "k", "__th") != F.col("first"))
     own = F.col("__id").eqNullSafe(F.col("first.__id")) & (F.col("__th") == F.col("first.__th"))
     lo = F.when(own, F.greatest(F.col("k"), F.col("first.k") + lines)).otherwise(F.col("k"))
     # a document's ranges are no more than its lines
