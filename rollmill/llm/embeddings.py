@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import keyed_join, materialize
 from .components import connected_components
 from .simhash import Forest
 
@@ -92,6 +92,11 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Each vector times the power of two that brings its largest component to 0.5 .. 1: exact, and no square over- or underflows."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
@@ -100,7 +105,7 @@ def _keys(batches, tables: int, width: int):
     """``vector number, band, key`` for every vector and band."""
     for batch in batches:
         if batch.num_rows:
-            keys = _band_keys(_unit(_matrix(batch.column(1))), tables, width)
+            keys = _band_keys(_unit(_scaled(_matrix(batch.column(1)))), tables, width)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(keys), pa.list_(pa.int64()))], names=["v", "keys"])
 
 
@@ -109,7 +114,7 @@ class _Side:
 
     def __init__(self, table: pa.Table | None = None, shape: tuple[int, int] | None = None, parts: tuple | None = None):
         if parts is None:
-            self.x = _matrix(table.column("vec").combine_chunks())
+            self.x = _scaled(_matrix(table.column("vec").combine_chunks()))
             unit = _unit(self.x)
             self.signs, self.factor = codes(unit)
             self.turned = unit @ rotation(unit.shape[1])
@@ -227,7 +232,8 @@ def _tasks(batches, limit: float, shape: tuple[int, int]):
 def embedding_groups(vectors: DataFrame, limit: float = LIMIT, id_col: str = "vec_id", vec_col: str = "embedding", label_col: str = "label", block: int = BLOCK) -> DataFrame:
     """Per row ``vec_id, n_links, component_id, kept``; only vectors of equal labels and dimensions are compared.
 
-    Null labels, null or zero vectors and vectors with null or non-finite components link with nothing.
+    Null labels, null or zero vectors and vectors with null or non-finite components link with nothing; an empty table gives none.
+    Components may be of any finite size.
     Repeated rows link with each other like any equal vectors. A null id can be linked but never names a component unless alone.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(label_col).alias("label"), F.col(vec_col).alias("raw"))
@@ -265,8 +271,10 @@ def embedding_groups(vectors: DataFrame, limit: float = LIMIT, id_col: str = "ve
     named = good.select("v", "h1", "h2", "n", "least").join(counts, "v", "left").join(linked.withColumnRenamed("node", "v"), "v", "left")
     named = materialize(named.withColumn("component", F.coalesce("component", "v")), "named")
     least = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "component").select("h1", "h2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("component_id").alias("cid"))
-    out = keyed.join(named, ["h1", "h2"], "left").select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("cid", "vec_id").alias("component_id"))
+    named = named.join(least, "component").select("h1", "h2", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    # a vector that many rows hold is joined in parts
+    out = keyed_join(keyed.where("good").select("vec_id", "h1", "h2"), materialize(named, "answers"), ["h1", "h2"], "n", ("vec_id",)).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    out = out.unionByName(keyed.where(~F.col("good")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
 
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rollmill.llm import common, embeddings, pii, substring, toxicity
+from rollmill.llm import common, embeddings, linededup, pii, simhash, substring, toxicity
 from rollmill.llm.stages import STAGES
 
 SF = "/root/testdata/sf0.001"
@@ -340,3 +340,25 @@ def test_the_pipeline_runs_and_packs_what_the_mix_took(spark):
     empty = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_vectors_of_extreme_sizes_link(spark):
+    """Squares that would under- or overflow do not matter; subnormal and mixed components neither."""
+    rows = [(1, [1e-200, 2e-200, 3e-200], 0), (2, [1e200, 2e200, 3e200], 0), (3, [1.0, 2.0, 3.0], 0), (4, [1e308, -1e308, 0.0], 0), (5, [5e-324, -5e-324, 0.0], 0), (6, [1e300, 1.0, 0.0], 0), (None, [0.0, 0.0, 0.0], 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.embedding_groups(df).collect()}
+    assert got == {1: (2, 1, True), 2: (2, 1, False), 3: (2, 1, False), 4: (1, 4, True), 5: (1, 4, False), 6: (0, 6, True), None: (0, None, True)}
+    assert embeddings.embedding_groups(df.limit(0)).count() == 0
+
+
+def test_frequent_keys_are_joined_in_parts(spark, monkeypatch):
+    """Blank texts, one vector and one window that many rows share, with few rows of a key to a task."""
+    monkeypatch.setattr("rollmill.llm.common.KEY_ROWS", 20)
+    blank = spark.createDataFrame([(i, " " if i % 3 else None) for i in range(200)] + [(900, "one two three four")], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in simhash.simhash_groups(blank).collect()}
+    assert got == {(i, 0) for i in range(200)} | {(900, 900)}
+    same = spark.createDataFrame([(i, [1.0, 2.0], 3) for i in range(150)], "vec_id long, embedding array<double>, label int")
+    assert {(r.n_links, r.component_id) for r in embeddings.embedding_groups(same).collect()} == {(149, 0)}
+    lines = spark.createDataFrame([(i, f"own {i}\nfirst\nsecond\nthird\nlast {i}") for i in range(120)], "doc_id long, text string")
+    out = {r["__row"].doc_id: r.kept_text for r in linededup.dedup_lines(lines).collect()}
+    assert out == {i: f"own {i}\nlast {i}" if i else "own 0\nfirst\nsecond\nthird\nlast 0" for i in range(120)}
