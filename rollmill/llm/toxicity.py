@@ -5,8 +5,8 @@ weights, every training text that mentions an identity term is paired with the s
 swapped for another of its group, and the difference of the two scores is penalised: a neutral mention of a group
 then weighs as much as that of any other, and nothing by itself.
 
-The model is fitted on the driver from a bounded sample of labelled rows (``MAX_ROWS``) with a bounded number of
-features (``MAX_FEATURES``); which features count is found by Spark over the sample. Every text is scored.
+The model is fitted on the driver from a bounded sample of labelled rows (``MAX_ROWS``); which of
+its features count is found by Spark. Every text is scored.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 #: At most this many labelled rows of each class are used for fitting.
 MAX_ROWS = 10_000
-MAX_FEATURES = 2_000
 #: Letters of the word beginnings that are features beside the whole word.
 BEGINNINGS = (4, 5, 6, 7)
 #: Weight of the counterfactual penalty and of the plain one.
@@ -138,7 +137,7 @@ def _known(batches, numbers: dict[str, int]):
         yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int64()), pa.array(found, pa.list_(pa.int64())), pa.array(pairs, pa.list_(pa.list_(pa.int64())))], names=["toxic", "found", "pairs"])
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Fits on at most ``max_rows`` labelled rows of each class that are not held out, chosen by a hash of the id.
 
     Of rows that repeat an id the least text counts; null texts have no features. Without usable labels the score is constant.
@@ -163,7 +162,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, max_feat
         # toxic features: seldom in clean texts; and those most telling either way
         ratio = (F.col("t") + 0.1) / n1 / ((F.col("c") + 0.1) / n0)
         best = counts.where((F.col("t") + F.col("c") >= 3) & ((ratio > 3) | (ratio < 1 / 3))).withColumn("z", F.abs(gap / spread)).where("z > 3")
-        names = [r.feature for r in best.orderBy(F.desc("z"), "feature").limit(max_features).collect()]
+        names = [r.feature for r in best.orderBy(F.desc("z"), "feature").collect()]  # no more than the sample's texts have
         terms = ["w:" + t for group in IDENTITIES for t in group]
         names = list(dict.fromkeys(names + terms))
         numbers = {n: i for i, n in enumerate(names)}
@@ -186,7 +185,7 @@ def _scores(batches, model: Model):
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Per document ``doc_id, held_out, score, predicted``. Null and empty texts get the score of no features; a null id is not held out.
 
-    The model is a dict of at most ``MAX_FEATURES`` weights and the identity terms, sent with the task.
+    Repeated rows are scored each, texts of any length in whole; other columns are ignored, an empty table gives none. The model, a dict of the sample's telling features, is sent with the task.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.col(text_col).alias("__text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
