@@ -1,6 +1,10 @@
+import pytest
+
+from rollmill.jobs.serve import serve
 from rollmill.operators import aggregate as A
 from rollmill.operators import rollup as R
-from rollmill.spec import MetricTable
+from rollmill.sources import store
+from rollmill.spec import MetricQuery, MetricTable
 from rollmill.streaming import rollups as S
 
 MT = MetricTable("m", "time", ("host",), ("v",), ("id",))
@@ -47,3 +51,33 @@ def test_points_beyond_the_horizon_are_left_out(spark, tmp_path):
     spark.sql("SELECT id, timestamp_ntz '2024-01-01 00:00:00' + make_dt_interval(0, id, 0, 0) AS time, 'h' AS host, 1.0D AS v FROM range(5)").coalesce(1).write.parquet(src)
     S.stream_upsert(spark.readStream.schema(SCHEMA).parquet(src), MT, 600, ("host",), out, check, horizon=7200).awaitTermination()
     assert sorted(r.bucket.hour for r in S.read_upserted(spark, out, MT, 600, ("host",)).df.collect()) == [2, 3, 4]
+
+
+@pytest.mark.parametrize("when", ["before", "after"])
+def test_a_stream_killed_around_a_commit_counts_every_point_once(spark, tmp_path, monkeypatch, when):
+    """The second batch dies before or after its states are committed; the restarted stream replays it, and a dashboard is served what batches give."""
+    src, root, check = (str(tmp_path / x) for x in ("src", "root", "check"))
+    points = _points(spark)
+    points.repartition(4).write.parquet(src)
+    path = store.place(root, S.upserted_meta(MT, 600, ("host",)))
+    stream = lambda: S.stream_upsert(spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(src), MT, 600, ("host",), path, check)
+    real = store.merge_rollup
+
+    def dies(delta, where, source, n):
+        if n < 1:
+            return real(delta, where, source, n)
+        if when == "after":
+            assert real(delta, where, source, n)
+        raise RuntimeError("killed")
+
+    with monkeypatch.context() as m:
+        m.setattr(store, "merge_rollup", dies)
+        with pytest.raises(Exception, match="killed"):
+            stream().awaitTermination()
+    assert store.snapshot(spark, path).ledger == {"stream": 1 if when == "after" else 0}
+    reader = store.load_rollup(spark, path, MT).df
+    n_before = reader.count()
+    stream().awaitTermination()
+    assert store.snapshot(spark, path).ledger == {"stream": 3} and reader.count() == n_before
+    got = serve(root, points.limit(0), MT, MetricQuery("m", ("v",), "mean", 1200, ("host",), (), 1704067200, 1704074400))
+    assert got.kind == "hit" and _rows(got.df) == _rows(A.bucket_agg(points, MT, 1200, ("host",), ("mean",)))
