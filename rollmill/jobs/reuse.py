@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import duration_seconds, filter_key, is_subset, missing_range, ordered_filter_key
+from ..spec import UNMERGED
 
 DOCUMENT = """bucket string, table string, yield string, doTrace boolean, range struct<start: bigint, end: bigint>,
     relativeRange struct<fr: string, to: string>,
@@ -60,7 +61,7 @@ def _served(log: DataFrame, catalog: DataFrame) -> DataFrame:
     fits = is_subset(F.col("tags"), F.col("r_tags")) & (F.col("window_s") % F.col("r_window") == 0)
     same = (F.array_sort("tags") == F.array_sort("r_tags")) & (F.col("window_s") == F.col("r_window"))
     shapes = log.select(*SHAPE).distinct()
-    served = shapes.join(catalog, "fingerprint").where(fits & ((F.col("agg_fn") != "median") | same))
+    served = shapes.join(catalog, "fingerprint").where(fits & (~F.col("agg_fn").isin(*UNMERGED) | same))
     return served.groupBy(*SHAPE).agg(F.collect_list(F.struct(*[c for c in catalog.columns if c != "fingerprint"])).alias("__rollups"))
 
 

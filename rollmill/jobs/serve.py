@@ -11,7 +11,7 @@ from ..operators.gapfill import fill_grid
 from ..operators.refresh import delta_for
 from ..operators.rollup import DEFAULT, answer, answer_parts, build_rollup, serves, slice_rollup
 from ..sources import store
-from ..spec import MetricQuery, MetricTable, Rollup, RollupMeta, fingerprint
+from ..spec import UNMERGED, MetricQuery, MetricTable, Rollup, RollupMeta, fingerprint
 from .suite import run_query
 
 
@@ -81,7 +81,7 @@ def serve(root: str, raw: DataFrame, mt: MetricTable, query: MetricQuery | str |
     """
     spark = raw.sparkSession
     q = (query if isinstance(query, MetricQuery) else MetricQuery.from_json(query)).at(now)
-    if q.fn in (None, "median") or q.start is None or q.end is None:
+    if q.fn in (None, *UNMERGED) or q.start is None or q.end is None:
         return Served(run_query(raw, mt, q), "raw")
     low, high = q.start // q.window * q.window, -(-q.end // q.window) * q.window
     fields = mt.chosen(q.fields)

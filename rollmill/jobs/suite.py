@@ -11,7 +11,7 @@ from ..operators.aggregate import apply_filters, bucket_agg, in_time, select_raw
 from ..operators.gapfill import fill_grid
 from ..operators.median import exact_median
 from ..operators.rollup import answer, build_rollup
-from ..spec import MetricQuery, MetricTable, fingerprint
+from ..spec import UNMERGED, MetricQuery, MetricTable, fingerprint
 
 
 def run_query(df: DataFrame, mt: MetricTable, query: MetricQuery | str | dict, now: int | None = None) -> DataFrame:
@@ -58,9 +58,9 @@ def answer_suite(df: DataFrame, mt: MetricTable, queries: dict[str, MetricQuery]
         by.setdefault(fingerprint(q.filters), []).append((name, q.at(now)))
     out = Suite()
     for group in by.values():
-        merged = [(n, q) for n, q in group if q.fn not in (None, "median")]
+        merged = [(n, q) for n, q in group if q.fn not in (None, *UNMERGED)]
         for name, q in group:
-            if q.fn in (None, "median"):
+            if q.fn in (None, *UNMERGED):
                 out[name] = run_query(df, mt, q)
         if not merged:
             continue

@@ -47,7 +47,7 @@ def aggregate_column(fn: str, name: str, mt: MetricTable) -> Column:
     value = F.col(name)
     made = {
         "mean": lambda: F.avg(value) if mt.places is None else quotient(total(value, mt), F.count(value)), "sum": lambda: total(value, mt).cast("double"), "min": lambda: F.min(value), "max": lambda: F.max(value),
-        "count": lambda: F.count(value), "median": lambda: F.median(value),
+        "count": lambda: F.count(value), "median": lambda: F.median(value), "approx_median": lambda: F.percentile_approx(value, 0.5, 10_000),
         "first": lambda: F.min(edge(value, mt))["v"], "last": lambda: F.max(edge(value, mt))["v"],
     }
     if fn not in made:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import in_range, is_zoned
-from ..spec import MetricTable, Rollup, RollupMeta, fingerprint, seconds
+from ..spec import UNMERGED, MetricTable, Rollup, RollupMeta, fingerprint, seconds
 from .aggregate import apply_filters, bucket_agg, edge, in_time, quotient, total
 
 NEEDS = {"mean": ("n", "sum"), "sum": ("sum",), "count": ("n",), "min": ("min",), "max": ("max",), "first": ("first",), "last": ("last",)}
@@ -117,9 +117,9 @@ def union_parts(*parts: DataFrame) -> DataFrame:
 
 def serves(meta: RollupMeta, tags, window: int, fn: str) -> bool:
     """Whether a rollup can answer: fewer or equal tags, a multiple of its window; a median only in its own shape."""
-    if fn == "median":
-        return "median" in meta.fns and set(tags) == set(meta.tags) and window == meta.window
-    return set(tags) <= set(meta.tags) and window % meta.window == 0 and set(NEEDS[fn]) <= set(states_of([f for f in meta.fns if f != "median"]))
+    if fn in UNMERGED:
+        return fn in meta.fns and set(tags) == set(meta.tags) and window == meta.window
+    return set(tags) <= set(meta.tags) and window % meta.window == 0 and set(NEEDS[fn]) <= set(states_of([f for f in meta.fns if f not in UNMERGED]))
 
 
 def answer(rollup: Rollup, fn: str, window: int | str, tags, fields=("*",), start: int | None = None, end: int | None = None, combine: str = "states", raw: DataFrame | None = None) -> DataFrame:

@@ -47,7 +47,7 @@ def rounded(df: DataFrame) -> DataFrame:
 
 
 EV = "ev AS (SELECT event_id, ts, event_type, CAST(user_id AS VARCHAR) AS user_id, value, CAST(json_extract_string(props, '$.k') AS DOUBLE) AS k FROM events)"
-SQL_FN = {"mean": "CAST(sum(CAST({0} AS DECIMAL(18, 2))) AS DOUBLE) / nullif(count({0}), 0)", "sum": "CAST(sum(CAST({} AS DECIMAL(18, 2))) AS DOUBLE)", "min": "min({})", "max": "max({})", "count": "count({})", "median": "median({})"}
+SQL_FN = {"mean": "CAST(sum(CAST({0} AS DECIMAL(18, 2))) AS DOUBLE) / nullif(count({0}), 0)", "sum": "CAST(sum(CAST({} AS DECIMAL(18, 2))) AS DOUBLE)", "min": "min({})", "max": "max({})", "count": "count({})", "median": "median({})", "approx_median": "quantile_disc({}, 0.5)"}
 
 
 def _bucket(window: int, col: str = "ts") -> str:
@@ -65,7 +65,7 @@ def _measure(fn: str, field: str, mt: MetricTable) -> str:
         body = f"first({field} ORDER BY {order}) FILTER (WHERE {field} IS NOT NULL)"
     else:
         body = SQL_FN[fn].format(field)
-    return f"round({body}, 6) AS {fn}_{field}" if fn == "median" else f"{body} AS {fn}_{field}"
+    return f"round({body}, 6) AS {fn}_{field}" if "median" in fn else f"{body} AS {fn}_{field}"
 
 
 def agg_sql(mt: MetricTable, window: int, tags, fns, fields, where: str = "TRUE", extra: str = "") -> str:
@@ -231,6 +231,12 @@ _bucketed("bucket_median", ("median",), ("event_type",))
 _bucketed("bucket_first_last", ("first", "last"), ("event_type",))
 
 
+@query("bucket_approx_median", agg_sql(EVENTS, HOUR, ("event_type",), ("approx_median",), EVENTS.fields))
+def bucket_approx_median(spark, d):
+    """From sketches; groups of up to ten thousand values are exact."""
+    return rounded(A.bucket_agg(events(spark, d), EVENTS, HOUR, ("event_type",), ("approx_median",)))
+
+
 @query("median_spread", agg_sql(EVENTS, WEEK, ("event_type",), ("median",), EVENTS.fields))
 def median_spread(spark, d):
     """Medians of groups of more values than are sorted in one place."""

@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 #: Seconds of the units a duration may have.
 UNITS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800, "y": 31536000}
-#: Aggregate functions; all but the median have states that merge.
-FUNCTIONS = ("mean", "sum", "min", "max", "count", "median", "first", "last")
+#: Aggregate functions; all but medians have states that merge. ``approx_median`` is off by a ten-thousandth of a group's values at most, and keeps no more of them than a sketch.
+FUNCTIONS = ("mean", "sum", "min", "max", "count", "median", "approx_median", "first", "last")
+UNMERGED = ("median", "approx_median")
 
 
 def seconds(duration: str | int) -> int:

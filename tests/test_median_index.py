@@ -49,3 +49,9 @@ def test_a_tree_is_one_scan_and_one_exchange(spark, tmp_path):
     want = sorted(i for i in range(-100, 3000) if mod(i, 3) in (0, 1) and (mod(i, 5) == 2 or (mod(i, 3) == 1 and mod(i, 5) == 3)))
     assert sorted(r.id for r in found.collect()) == want
     assert sorted(map(tuple, series.postings(index).where("type = 'aggregation'").select("word", "id").collect())) == [("mean", i) for i in range(-100, 3000)]
+
+
+def test_the_approximate_median_is_off_by_few_ranks(spark):
+    df = table(spark, [(datetime(2024, 1, 1), "a", float(i * 7919 % 30011), None) for i in range(30011)])
+    got = A.bucket_agg(df, MT, 3600, ("host",), ("approx_median",)).first()
+    assert abs(got.approx_median_u - 15005) <= 4 and got.approx_median_v is None
