@@ -548,6 +548,16 @@ def snapshot_read(spark, d):
     return before
 
 
+@query("load_one_tag", agg_sql(EVENTS, DAY, ("event_type",), ("mean", "count"), ("value",), "user_id = '7'"))
+def load_one_tag(spark, d):
+    """From a rollup that is clustered by its tags: one user's rows lie in few of the files."""
+    path, e = store.shared_folder(spark, "rollup"), events(spark, d)
+    store.save_rollup(R.build_rollup(e, EVENTS, DAY, EVENTS.tags, (), ("mean", "count")), path)
+    store.cluster(spark, path, rows_per_file=200)
+    one = store.load_rollup(spark, path, EVENTS, where={"user_id": "7"})
+    return rounded(R.finalize(R.regroup(one, ("event_type",)), ("mean", "count"), ("value",)))
+
+
 @query("save_part", agg_sql(EVENTS, HOUR, EVENTS.tags, ("mean", "count"), ("value", "k")))
 def save_part(spark, d):
     """A part that starts and ends inside days is stored over the whole: nothing else of those days is lost."""

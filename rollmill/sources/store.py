@@ -14,7 +14,8 @@ import tempfile
 import time
 import uuid
 from collections.abc import Callable
-from dataclasses import asdict, dataclass, replace
+from bisect import bisect_right
+from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import in_range, moment, to_epoch
-from ..operators.rollup import merge_rows
+from ..operators.rollup import merge_rows, union_parts
 from ..spec import MetricTable, Rollup, RollupMeta, filter_from
 
 CATALOG = "table string, agg_fn string, filter_key string, group_keys array<string>, window_s bigint, range_start bigint, range_end bigint"
@@ -128,11 +129,13 @@ class Snapshot:
     periods: dict[str, list[str]]
     ledger: dict[str, int]
     at: float
+    #: Of writes that are clustered: the cut points of each tag, by which their files are dealt to cells.
+    layouts: dict[str, dict[str, list[str]]] = field(default_factory=dict)
 
     def json(self) -> str:
-        m = self.meta
+        m, used = self.meta, {v for vs in self.periods.values() for v in vs}
         shown = {"table": m.table, "agg_fn": ",".join(m.fns), "filter_key": m.filter_key, "group_keys": sorted(m.tags), "window_s": m.window, "range_start": m.start, "range_end": m.end}
-        return json.dumps(shown | {"version": self.version, "meta": json.dumps(asdict(m)), "schema": self.schema, "filters": self.filters, "periods": self.periods, "ledger": self.ledger, "at": self.at})
+        return json.dumps(shown | {"version": self.version, "meta": json.dumps(asdict(m)), "schema": self.schema, "filters": self.filters, "periods": self.periods, "ledger": self.ledger, "at": self.at, "layouts": {v: c for v, c in self.layouts.items() if v in used}})
 
 
 def _meta(text: str) -> RollupMeta:
@@ -155,35 +158,102 @@ def snapshot(spark: SparkSession, path: str, version: int | None = None) -> Snap
             return None
         version = versions[-1]
     d = json.loads(_text(spark, _manifest(path, version)))
-    return Snapshot(version, _meta(d["meta"]), d["schema"], d["filters"], d["periods"], d["ledger"], d["at"])
+    return Snapshot(version, _meta(d["meta"]), d["schema"], d["filters"], d["periods"], d["ledger"], d["at"], d.get("layouts", {}))
 
 
 def _zoned(df: DataFrame) -> bool:
     return df.schema["bucket"].dataType.typeName() == "timestamp"
 
 
-def _read(spark: SparkSession, path: str, now: Snapshot, dates=None) -> DataFrame:
-    """The states of the named periods (all by default). Periods of several writes are merged, the others are read as they lie."""
+def _read(spark: SparkSession, path: str, now: Snapshot, dates=None, where: dict[str, str] | None = None) -> DataFrame:
+    """The states of the named periods (all by default). Periods of several writes are merged, the others are read as they lie; of clustered ones only the cells that can hold ``where``."""
     schema = T.StructType.fromJson(json.loads(now.schema))
     wanted = {d: vs for d, vs in now.periods.items() if dates is None or d in dates}
-    parts = []
-    for merged in (False, True):
-        paths = [f"{path}/data/v={v}/date={d}" for d, vs in sorted(wanted.items()) if (len(vs) > 1) == merged for v in vs]
-        if paths:
-            whole = T.StructType([*schema.fields, T.StructField("v", T.StringType()), T.StructField("date", T.StringType())])
-            df = spark.read.schema(whole).option("basePath", f"{path}/data").parquet(*paths).drop("v", "date")
-            parts.append(merge_rows(df, now.meta) if merged else df)
-    if not parts:
-        return spark.createDataFrame([], schema)
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-
-def _write(df: DataFrame, path: str, meta: RollupMeta) -> tuple[str, list[str]]:
+    groups: dict[tuple[bool, str], list[str]] = {}
+    for d, vs in sorted(wanted.items()):
+        for v in vs:
+            groups.setdefault((len(vs) > 1, v if v in now.layouts else ""), []).append(f"{path}/data/v={v}/date={d}")
+    once, several = [], []
+    for (merged, layout), paths in sorted(groups.items()):
+        own = ["v", "date", "cell"] if layout else ["v", "date"]
+        whole = T.StructType([*schema.fields, *[T.StructField(c, T.IntegerType() if c == "cell" else T.StringType()) for c in own]])
+        df = spark.read.schema(whole).option("basePath", f"{path}/data").parquet(*paths)
+        if layout and where:
+            df = df.where(F.col("cell").isin(*_cells_with(now.layouts[layout], where)))
+        (several if merged else once).append(df.drop(*own))
+    if several:
+        once.append(merge_rows(union_parts(*several), now.meta))
+    return union_parts(*once) if once else spark.createDataFrame([], schema)
+
+
+# ---- clustering --------------------------------------------------------------------------------
+
+
+def _shape_of(cuts: dict[str, list[str]]) -> list[tuple[str, int]]:
+    """Tag and bit of each bit of a cell's number, from the lowest: the tags' bits by turns, so that cells that are near in all tags have near numbers."""
+    bits = {t: len(c).bit_length() for t, c in cuts.items()}
+    return [(t, b) for b in range(max(bits.values(), default=0)) for t in sorted(bits) if b < bits[t]]
+
+
+def _below(tag: str):
+    return lambda c: (c != "") & F.coalesce(c <= F.col(tag), F.lit(False))
+
+
+def _cell(cuts: dict[str, list[str]]) -> Column:
+    """The number of a row's cell."""
+    place = {t: F.size(F.filter(F.array(F.lit(""), *[F.lit(c) for c in cs]), _below(t))) for t, cs in cuts.items()}
+    out = F.lit(0)
+    for k, (t, b) in enumerate(_shape_of(cuts)):
+        out = out + F.shiftleft(F.shiftright(place[t], b).bitwiseAND(F.lit(1)), k)
+    return out.cast("int")
+
+
+def _cells_with(cuts: dict[str, list[str]], where: dict[str, str]) -> list[int]:
+    """The cells that can hold rows with these values of tags."""
+    shape = _shape_of(cuts)
+    fixed = {t: bisect_right(cuts[t], str(x)) for t, x in where.items() if t in cuts}
+    return [n for n in range(1 << len(shape)) if all((n >> k & 1) == (fixed[t] >> b & 1) for k, (t, b) in enumerate(shape) if t in fixed)]
+
+
+def cluster(spark: SparkSession, path: str, rows_per_file: int = 1_000_000, sample: int = 20_000) -> dict[str, list[str]]:
+    """Rewrites a stored rollup so that a filter on any one tag reads few of its files; tells the cut points.
+
+    The tags' values are cut into as many parts as make files of about ``rows_per_file`` rows in the largest period; a file holds one cell of that grid. The cut points come
+    from at most some ``sample`` rows: they decide where rows lie, not what is read. Readers keep what they have; later saves and merges of a period lie beside it unclustered until the next call.
+    """
+    cuts: dict[str, list[str]] = {}
+
+    def change(old: Snapshot | None) -> Snapshot | None:
+        if old is None or not old.meta.tags:
+            return None
+        df = _read(spark, path, old)
+        # one row a period
+        largest = df.groupBy(period(old.meta.window, _zoned(df)).alias("date")).count().agg(F.max("count"), F.sum("count")).first()
+        bits = max(0, -(-(largest[0] or 0) // rows_per_file) - 1).bit_length()
+        tags = sorted(old.meta.tags)
+        seen = df.select(*tags).sample(min(1.0, sample / max(1, largest[1] or 0)), seed=1).limit(2 * sample).collect()
+        for i, t in enumerate(tags):
+            parts, values = 1 << (bits // len(tags) + (i < bits % len(tags))), sorted(str(r[t]) for r in seen if r[t] is not None)
+            cuts[t] = sorted({values[len(values) * k // parts] for k in range(1, parts)}) if values else []
+            # a number of parts that bits can hold, without empty ones
+            cuts[t] = cuts[t][: (1 << (len(cuts[t]) + 1).bit_length() - 1) - 1]
+        name, dates = _write(df, path, old.meta, cuts)
+        return replace(old, periods={d: [name] for d in dates}, layouts={name: dict(cuts)})
+
+    _commit(spark, path, change)
+    vacuum(spark, path)
+    return cuts
+
+
+def _write(df: DataFrame, path: str, meta: RollupMeta, cuts: dict[str, list[str]] | None = None) -> tuple[str, list[str]]:
     """Writes rows as new files and tells the name of the write and its periods. Tasks are cut by size, not by period; files are sorted by series, so that filters on tags skip row groups."""
     seen, name = Observation(), uuid.uuid4().hex
     dated = df.withColumn("date", period(meta.window, _zoned(df))).observe(seen, F.collect_set("date").alias("dates"))
-    order = ["date", *sorted(meta.tags), "bucket"]
-    dated.hint("rebalance", F.col("date")).sortWithinPartitions(*order).write.mode("errorifexists").partitionBy("date").parquet(f"{path}/data/v={name}")
+    by = ["date"]
+    if cuts is not None:
+        dated, by = dated.withColumn("cell", _cell(cuts)), ["date", "cell"]
+    order = [*by, *sorted(meta.tags), "bucket"]
+    dated.hint("rebalance", *[F.col(c) for c in by]).sortWithinPartitions(*order).write.mode("errorifexists").partitionBy(*by).parquet(f"{path}/data/v={name}")
     return name, seen.get["dates"]
 
 
@@ -331,15 +401,19 @@ def vacuum(spark: SparkSession, path: str, keep: float = KEEP) -> int:
     return n
 
 
-def load_rollup(spark: SparkSession, path: str, mt: MetricTable, filters=(), start: int | None = None, end: int | None = None, version: int | None = None) -> Rollup:
-    """A stored rollup as of now (or of a kept ``version``); it keeps reading these files when others save. With ``start`` and ``end`` only the periods of that range are listed and read."""
+def load_rollup(spark: SparkSession, path: str, mt: MetricTable, filters=(), start: int | None = None, end: int | None = None, version: int | None = None, where: dict[str, str] | None = None) -> Rollup:
+    """A stored rollup as of now (or of a kept ``version``); it keeps reading these files when others save. With ``start`` and ``end`` only the periods of that range are listed and read, with ``where`` (values of tags) only
+    rows that have these, from the files that can hold them."""
     now = snapshot(spark, path, version)
     if now is None:
         raise FileNotFoundError(f"no rollup is stored in {path}")
     filters = tuple(filters) or tuple(filter_from(f) for f in json.loads(now.filters))
     low, high = [None if x is None else _period_of(x, now.meta.window) for x in (None if start is None else start - now.meta.window, end)]
     dates = {d for d in now.periods if (low is None or d >= low) and (high is None or d <= high)}
-    return Rollup(_read(spark, path, now, dates), mt, now.meta, filters)
+    df = _read(spark, path, now, dates, where)
+    for t, x in (where or {}).items():
+        df = df.where(F.col(t) == F.lit(str(x)))
+    return Rollup(df, mt, now.meta, filters)
 
 
 # ---- a folder of several rollups ------------------------------------------------------------------

@@ -32,7 +32,7 @@ def points(spark):
 
 
 def rows(df):
-    return sorted(tuple(r) for r in df.collect())
+    return sorted((tuple(r) for r in df.collect()), key=lambda r: tuple((x is not None, x) for x in r))
 
 
 def built(points, start=None, end=None, window=3600):
@@ -339,3 +339,50 @@ def test_an_audit_reads_only_periods_that_differ(spark, points, tmp_path):
     cells = found.cells.collect()
     assert {(r.host, r.stored is None, r.fresh is None) for r in cells} == {("h1", False, True), ("h9", True, False)}
     assert sum(r.host == "h9" for r in cells) == 2 and all(r.platform is None for r in cells if r.host == "h9")
+
+
+# ---- clustering --------------------------------------------------------------------------------
+
+
+def files_read(df):
+    """How many files the scans of a plan read."""
+    df.collect()
+    plan, total, todo = df._jdf.queryExecution().executedPlan(), 0, []
+    todo = [plan.finalPhysicalPlan() if plan.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else plan]
+    while todo:
+        node = todo.pop()
+        if node.getClass().getSimpleName() == "FileSourceScanExec":
+            total += node.metrics().apply("numFiles").value()
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            todo.append(node.plan())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return total
+
+
+def test_a_filter_on_any_one_tag_reads_a_quarter_of_a_clustered_rollup(spark, tmp_path):
+    path = str(tmp_path / "r")
+    rows_ = [(EPOCH + timedelta(seconds=T + 3600 * h), f"h{a:02}", None if b == 5 else f"p{b}", float(a + b)) for h in range(3) for a in range(24) for b in range(16)]
+    wide = spark.createDataFrame(rows_, "time timestamp_ntz, host string, platform string, cpu double")
+    store.save_rollup(built(wide), path)
+    whole = held(spark, path)
+    taken = store.load_rollup(spark, path, MT).df
+    cuts = store.cluster(spark, path, rows_per_file=80)
+    assert {t: len(c) for t, c in cuts.items()} == {"host": 3, "platform": 3}
+    assert held(spark, path) == whole and len(taken.collect()) == len(whole)
+    every = files_read(store.load_rollup(spark, path, MT).df)
+    assert every >= 16
+    for tag, value in (("host", "h07"), ("platform", "p0"), ("platform", "p9"), ("host", "unknown")):
+        one = store.load_rollup(spark, path, MT, where={tag: value})
+        assert files_read(one.df) <= every / 4 and rows(R.finalize(one, ("mean", "max"))) == [r for r in whole if r[1 + MT.tags.index(tag)] == value]
+    assert files_read(store.load_rollup(spark, path, MT, where={"host": "h07", "platform": "p0"}).df) <= every / 16
+    # late points lie beside the cells until they are folded in
+    late = built(spark.createDataFrame([(EPOCH + timedelta(seconds=T), "h07", "p0", 100.0)], wide.schema))
+    store.merge_rollup(late, path, "late")
+    assert max(r[-1] for r in rows(R.finalize(store.load_rollup(spark, path, MT, where={"host": "h07"}), ("mean", "max")))) == 100.0
+    after = held(spark, path)
+    store.cluster(spark, path, rows_per_file=80)
+    store.vacuum(spark, path, keep=-60)
+    assert held(spark, path) == after
+    save = built(wide.where("host = 'h01'"), T, T + 3600)
+    store.save_rollup(save, path)
+    assert len(held(spark, path)) == len(whole) - 16 * 24 + 16
