@@ -200,3 +200,17 @@ def test_audit_sees_differences(spark):
     b = spark.createDataFrame([(at(0), "a", 1.0), (at(1), None, 2.5), (at(3), "a", 3.0), (at(5), "a", 1.0)], schema)
     r = audit.audit_rollup(a, b, ("s",), ("v",)).first()
     assert (r.rows, r.missing, r.extra, r.differing, r.max_abs) == (5, 1, 1, 2, 0.5)
+
+
+def test_gaps_without_a_grid(spark):
+    """No join in the plan; repeated buckets stay, buckets outside the range tell of their series, one series without tags."""
+    at_ = at
+    df = spark.createDataFrame([(at_(60), "a", 1), (at_(60), "a", 2), (at_(240), "a", 3), (at_(900), "b", 4), (at_(70), None, 5)], "bucket timestamp_ntz, s string, count_v int")
+    out = gapfill.fill_grid(df, ("s",), 0, 300, 60, count_zero=True)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    got = sorted(((r.s or "", (r.bucket - EPOCH).seconds // 60, r.count_v) for r in out.collect()))
+    assert got == sorted([("a", k, v) for k, v in ((0, 0), (1, 1), (1, 2), (2, 0), (3, 0), (4, 3))] + [(s, k, 0) for s in ("b", "") for k in range(5)])
+    one = df.where("s = 'a' AND count_v > 1").drop("s")
+    assert [r.count_v for r in gapfill.fill_grid(one, (), 0, 300, 60).orderBy("bucket").collect()] == [None, 2, None, None, 3]
+    assert [r.count_v for r in gapfill.fill_grid(one.limit(0), (), 0, 120, 60).collect()] == [None, None]
+    assert gapfill.fill_grid(df, ("s",), 120, 120, 60).count() == 0
