@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,14 +31,22 @@ def edge(value: Column, mt: MetricTable) -> Column:
 
 def total(value: Column, mt: MetricTable) -> Column:
     """The sum of a field: a decimal that no order of adding changes if the table declares its places, else a double."""
-    return F.sum(value) if mt.places is None else F.sum(exact(value, mt)).cast(f"decimal(38,{mt.places})")
+    if mt.places is None:
+        return F.sum(value)
+    return (F.sum(units(value, mt)) * F.lit(Decimal(1).scaleb(-mt.places))).cast(f"decimal(38,{mt.places})")
+
 
+def units(value: Column, mt: MetricTable) -> Column:
+    """A field as a whole number of its last declared place. A value that is none (more places, too large, NaN or infinite) is an error, so that no sum is silently off.
 
-def exact(value: Column, mt: MetricTable) -> Column:
-    """A field as a decimal of the declared places. A value that is none (more places, too large, NaN or infinite) is an error, so that no sum is silently off."""
+    A number of at most 2^53 such units is right if dividing it gives the value back; larger values go through decimals.
+    """
+    value, scale = value.cast("double"), float(10**mt.places)
+    near = F.rint(value * scale)
     as_decimal = value.try_cast(f"decimal(18,{mt.places})")
-    refused = F.raise_error(F.concat(F.lit(f"{mt.name} declares {mt.places} places, but has the value "), value.cast("string")))
-    return F.when(value.isNull() | (as_decimal.cast("double") == value.cast("double")), as_decimal).otherwise(refused)
+    refused = F.raise_error(F.concat(F.lit(f"{mt.name} declares {mt.places} places, but has the value "), value.cast("string"))).cast("decimal(18,0)")
+    large = F.when(value.isNull(), F.lit(None).cast("decimal(18,0)")).when(as_decimal.cast("double") == value, (as_decimal * F.lit(Decimal(10**mt.places))).cast("decimal(18,0)")).otherwise(refused)
+    return F.when((F.abs(value) <= 2.0**53 / scale) & (near / scale == value), near.cast("long").cast("decimal(18,0)")).otherwise(large)
 
 
 def quotient(total: Column, n: Column) -> Column:
