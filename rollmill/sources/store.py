@@ -18,7 +18,7 @@ from bisect import bisect_right
 from dataclasses import asdict, dataclass, field, replace
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -247,14 +247,15 @@ def cluster(spark: SparkSession, path: str, rows_per_file: int = 1_000_000, samp
 
 def _write(df: DataFrame, path: str, meta: RollupMeta, cuts: dict[str, list[str]] | None = None) -> tuple[str, list[str]]:
     """Writes rows as new files and tells the name of the write and its periods. Tasks are cut by size, not by period; files are sorted by series, so that filters on tags skip row groups."""
-    seen, name = Observation(), uuid.uuid4().hex
-    dated = df.withColumn("date", period(meta.window, _zoned(df))).observe(seen, F.collect_set("date").alias("dates"))
+    name = uuid.uuid4().hex
+    dated = df.withColumn("date", period(meta.window, _zoned(df)))
     by = ["date"]
     if cuts is not None:
         dated, by = dated.withColumn("cell", _cell(cuts)), ["date", "cell"]
     order = [*by, *sorted(meta.tags), "bucket"]
     dated.hint("rebalance", *[F.col(c) for c in by]).sortWithinPartitions(*order).write.mode("errorifexists").partitionBy(*by).parquet(f"{path}/data/v={name}")
-    return name, seen.get["dates"]
+    # by the folders: where no row is, Spark may drop an observation with the plan
+    return name, [n[5:] for n in _names(df.sparkSession, f"{path}/data/v={name}") if n.startswith("date=")]
 
 
 def _commit(spark: SparkSession, path: str, change: Callable[[Snapshot | None], Snapshot | None]) -> Snapshot | None:
